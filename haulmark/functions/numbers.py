@@ -14,25 +14,30 @@ def money(value: Column) -> Column:
 def mean(value: Column, where: Column | None = None) -> Column:
     """Mean as a double from an exact sum; NULL when nothing qualifies."""
     picked = value if where is None else F.when(where, value)
-    return F.try_divide(F.sum(picked).cast("double"), F.count(picked))
+    return per(F.sum(picked), F.count(picked))
 
 
 def share(condition: Column) -> Column:
     """Fraction of the group's rows that satisfy ``condition``; NULL for no rows."""
-    return F.try_divide(F.count_if(condition).cast("double"), F.count(F.lit(1)))
+    return per(F.count_if(condition), F.count(F.lit(1)))
 
 
 def percent(condition: Column) -> Column:
     return share(condition) * 100
 
 
+def per(numerator: Column, denominator: Column) -> Column:
+    """Quotient as a double; NULL for a zero denominator."""
+    return F.try_divide(numerator.cast("double"), denominator)
+
+
 def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
-    return F.coalesce(F.try_divide(numerator.cast("double"), denominator), F.lit(0.0))
+    return F.coalesce(per(numerator, denominator), F.lit(0.0))
 
 
 def cost_per_km(freight: Column, distance: Column) -> Column:
     """NULL without a distance and for a zero distance."""
-    return F.try_divide(freight.cast("double"), distance)
+    return per(freight, distance)
 
 
 def null_if_nan(value: Column) -> Column:

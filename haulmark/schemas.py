@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # --- Fixed values: file stems and pinned column types of the nine source files. Columns
 # --- that are not listed are read as strings. ------------------------------------------
 SOURCE_FILES = {
@@ -197,12 +195,12 @@ LABEL_COLUMN = "is_late"
 ACTIVE_STATUSES = ["created", "shipped", "approved"]
 DEFAULT_THRESHOLD = 0.65
 
-MODEL_RUNS = T.StructType.fromDDL(
+MODEL_RUNS = (
     "run_id string, run_name string, logged_at timestamp_ntz, params map<string,string>,"
     " metrics map<string,double>, importances map<string,double>, artifact_uri string"
 )
 
-MODEL_VERSIONS = T.StructType.fromDDL(
+MODEL_VERSIONS = (
     "version string, trained_at timestamp_ntz, accuracy double, precision_late double,"
     " recall_late double, f1_late double, threshold double, is_active boolean,"
     " storage_path string, notes string"
