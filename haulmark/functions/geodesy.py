@@ -149,4 +149,7 @@ def add_geodesic_km(df: DataFrame, lat1: str, lng1: str, lat2: str, lng2: str, o
     )
     # The second branch is evaluated only for pairs that did not settle.
     hard = f"if(_settled <=> false, {_bisected_length(*ends, '_span')}, null)"
-    return work.selectExpr(*kept, f"coalesce(if(_settled, _km, null), {hard}) as `{out}`")
+    length = f"coalesce(if(_settled, _km, null), {hard})"
+    # A later filter on the distance must not be pushed into the unrolled steps: the optimizer
+    # would substitute each step into the next and grow without bound. A generator stops it.
+    return work.selectExpr(*kept, f"explode_outer(array({length})) as `{out}`")

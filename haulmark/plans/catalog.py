@@ -480,19 +480,15 @@ def report_flagged(t: Tables) -> DataFrame:
 
 @query
 def iso_week_label(t: Tables) -> DataFrame:
-    day = F.to_date("purchase_timestamp")
+    days = t.orders().select(F.to_date("purchase_timestamp").alias("day")).distinct()
+    day = F.col("day")
     monday = times.week_start(day)
-    return (
-        t.orders()
-        .select(day.alias("day"))
-        .distinct()
-        .select(
-            "day",
-            monday.alias("week_start"),
-            times.week_end(monday).alias("week_end"),
-            times.prior_week(monday).alias("prior_week"),
-            times.iso_week_label(day).alias("iso_week"),
-        )
+    return days.select(
+        "day",
+        monday.alias("week_start"),
+        times.week_end(monday).alias("week_end"),
+        times.prior_week(monday).alias("prior_week"),
+        times.iso_week_label(day).alias("iso_week"),
     )
 
 
