@@ -49,15 +49,29 @@ def _arc_length(alpha: str, sigma: str, sin_s: str, cos_s: str, mid: str) -> str
     return f"({_number(POLAR_RADIUS)} * {a} * ({sigma} - {b} * {sin_s} * ({mid} + {b} / 4D * ({first} - {second}))))"
 
 
-def _great_circle(lam: str, s1: str, c1: str, s2: str, c2: str) -> tuple[str, ...]:
-    """Equatorial azimuth, arc, its sine and cosine, and midpoint on the auxiliary sphere."""
-    east, north = f"({c2} * sin({lam}))", f"({c1} * {s2} - {s1} * {c2} * cos({lam}))"
-    sin_s = f"sqrt({east} * {east} + {north} * {north})"
-    cos_s = f"({s1} * {s2} + {c1} * {c2} * cos({lam}))"
+def _on_great_circle(df: DataFrame, kept: list[str]) -> DataFrame:
+    """Add sine, cosine and arc, equatorial azimuth and midpoint for the longitude ``_lam``.
+
+    Two projections, each short, because every reference to an inlined formula repeats it.
+    """
+    east, north = "(_c2 * sin(_lam))", "(_c1 * _s2 - _s1 * _c2 * cos(_lam))"
+    arc = df.selectExpr(
+        *kept,
+        "_lam",
+        f"sqrt({east} * {east} + {north} * {north}) as _sin",
+        "_s1 * _s2 + _c1 * _c2 * cos(_lam) as _cos",
+    )
     # The floors only matter where the numerator is 0 as well: coincident points, the equator.
-    alpha = f"({c1} * {c2} * sin({lam}) / greatest({sin_s}, {TINY}))"
-    mid = f"({cos_s} - 2D * {s1} * {s2} / greatest({_cos_squared(alpha)}, {TINY}))"
-    return alpha, f"atan2({sin_s}, {cos_s})", sin_s, cos_s, mid
+    alpha = f"(_c1 * _c2 * sin(_lam) / greatest(_sin, {TINY}))"
+    return arc.selectExpr(
+        *kept,
+        "_lam",
+        "_sin",
+        "_cos",
+        "atan2(_sin, _cos) as _sigma",
+        f"{alpha} as _alpha",
+        f"_cos - 2D * _s1 * _s2 / greatest({_cos_squared(alpha)}, {TINY}) as _mid",
+    )
 
 
 def _bisected_length(s1: str, c1: str, s2: str, c2: str, span: str) -> str:
@@ -137,15 +151,15 @@ def add_geodesic_km(df: DataFrame, lat1: str, lng1: str, lat2: str, lng2: str, o
         "_span",
         "_span as _lam",
     )
-    following = f"_span + {_longitude_gain(*_great_circle('_lam', *ends))} as _lam"
+    carried = [*kept, *ends, "_span"]
+    circle = ("_alpha", "_sigma", "_sin", "_cos", "_mid")
+    following = f"_span + {_longitude_gain(*circle)} as _lam"
     for _ in range(VINCENTY_STEPS):
-        work = work.selectExpr(*kept, *ends, "_span", "_lam as _before", following)
-    work = work.selectExpr(
-        *kept,
-        *ends,
-        "_span",
+        work = _on_great_circle(work, carried).selectExpr(*carried, "_lam as _before", following)
+    work = _on_great_circle(work, [*carried, "_before"]).selectExpr(
+        *carried,
         f"abs(_lam - _before) < {SETTLED} and _lam <= pi() as _settled",
-        f"{_arc_length(*_great_circle('_lam', *ends))} as _km",
+        f"{_arc_length(*circle)} as _km",
     )
     # The second branch is evaluated only for pairs that did not settle.
     hard = f"if(_settled <=> false, {_bisected_length(*ends, '_span')}, null)"
