@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-WEEK = "1996-07-01"  # Monday of the report week
+WEEK = "1995-07-17"  # Monday of the report week
 AS_OF = "1997-01-01 12:00:00"
 
 # The nine source tables read from the star schema.
@@ -505,7 +505,7 @@ ORACLES = {
         f"SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts WHERE seller_id = '7' {NEWEST} LIMIT 20",
     ),
     "shipment_lookup": _q(
-        FACTS, f"SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts WHERE order_id = '77'"
+        FACTS, f"SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts WHERE order_id = '1'"
     ),
     "shipments_export": _q(
         FACTS,

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import numbers
+from haulmark.staging import stage
 
 HOLDOUT_SHARE = 0.10
 HOLDOUT_MIN = 50
@@ -137,6 +138,7 @@ def roc_auc(scored: DataFrame, score: str = "delay_probability", label: str = "l
     counts = scored.groupBy(F.col(score).alias("s"), F.floor(F.col(score) * SCORE_STEPS).alias("b")).agg(
         F.count_if(late).alias("pos"), F.count_if(~late).alias("neg")
     )
+    counts = stage(counts, "scores")  # read by both sides of the join below
     lower = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         counts.groupBy("b")

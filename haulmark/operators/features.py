@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from haulmark.functions import numbers
 from haulmark.operators.lookups import lookup_stored
 from haulmark.schemas import FEATURE_COLUMNS, LABEL_COLUMN
+from haulmark.staging import stage
 
 # --- Fixed values: training minimum, encoded columns and inference defaults. --------------
 MIN_ROWS = 100
@@ -72,7 +73,11 @@ def exact_median(df: DataFrame, column: str, step: float) -> DataFrame:
 
 
 def imputation_stats(df: DataFrame) -> DataFrame:
-    """Median distance and mean seller rate of the given rows."""
+    """Median distance and mean seller rate of the given rows.
+
+    The two columns are written once: the median alone reads them three times.
+    """
+    df = stage(df.select("distance_km", "seller_historical_delay_rate"), "imputation")
     return df.agg(numbers.mean(F.col("seller_historical_delay_rate")).alias("rate_mean")).select(
         exact_median(df, "distance_km", DISTANCE_STEP).scalar().alias("distance_median"), "rate_mean"
     )
@@ -113,7 +118,8 @@ def vocabulary(df: DataFrame, column: str) -> DataFrame:
 
 
 def vocabularies(df: DataFrame) -> DataFrame:
-    """The codes of all encoded columns as one table."""
+    """The codes of all encoded columns as one table, read from one pass over ``df``."""
+    df = df.select(*ENCODED).distinct()
     first, *rest = [vocabulary(df, column) for column in ENCODED]
     for other in rest:
         first = first.unionByName(other)

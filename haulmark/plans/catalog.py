@@ -19,10 +19,11 @@ from haulmark.operators import registry, reporting, scoring
 from haulmark.plans.shipments import enriched_shipments, shipments_with
 from haulmark.session import pin_utc
 from haulmark.sources import star
+from haulmark.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-WEEK = "1996-07-03"
+WEEK = "1995-07-19"
 AS_OF = "1997-01-01 12:00:00"
 SELLER = "7"
 THRESHOLD = 0.65
@@ -437,7 +438,7 @@ def seller_shipments_page(t: Tables) -> DataFrame:
 
 @query
 def shipment_lookup(t: Tables) -> DataFrame:
-    return browse.details(browse.one_order(_listing(t), "77"))
+    return browse.details(browse.one_order(_listing(t), "1"))
 
 
 @query
@@ -512,7 +513,7 @@ def label_vocab(t: Tables) -> DataFrame:
 
 @query
 def feature_matrix(t: Tables) -> DataFrame:
-    rows = t.enriched()
+    rows = stage(t.enriched())
     matrix = ft.feature_matrix(rows, ft.Imputation.fit(rows), ft.vocabularies(rows), "order_id")
     return matrix.withColumn("distance_km", F.round("distance_km", 3))
 
@@ -520,7 +521,7 @@ def feature_matrix(t: Tables) -> DataFrame:
 @query
 def unseen_encoding(t: Tables) -> DataFrame:
     """Codes learned from January 1997, applied to all delivered orders."""
-    rows = t.facts("product", "seller")
+    rows = stage(t.facts("product", "seller"))
     learned = browse.within(rows, "1997-01-01", "1997-02-01").where(F.col("category_name") < "p")
     coded = ft.encode(rows, ft.vocabularies(learned))
     return coded.select("order_id", "category_encoded", "seller_state_encoded")
@@ -536,12 +537,17 @@ def inference_features(t: Tables) -> DataFrame:
 
 
 def _labelled(t: Tables) -> DataFrame:
+    """Narrow labelled rows, written once because the splits read them several times."""
+    return stage(_labels(t))
+
+
+def _labels(t: Tables) -> DataFrame:
     return t.facts().select("order_id", "purchase_timestamp", "is_late", F.col("is_late").cast("int").alias("label"))
 
 
 @query
 def class_weights(t: Tables) -> DataFrame:
-    return ft.class_weights(_labelled(t))
+    return ft.class_weights(_labels(t))
 
 
 @query
