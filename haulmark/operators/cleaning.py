@@ -53,13 +53,22 @@ def delivered_only(orders: DataFrame) -> DataFrame:
 
 
 def first_items(items: DataFrame) -> DataFrame:
-    """Per order and column, the first non-null value by item number."""
-    rank = F.struct(*ITEM_ORDER)
+    """Per order and column, the first non-null value by item number.
 
-    def first(name: str) -> Column:
-        return F.min_by(name, F.when(F.col(name).isNotNull(), rank)).alias(name)
-
-    return drop_null_keys(items, "order_id").groupBy("order_id").agg(*[first(name) for name in ITEM_VALUES])
+    Rows without any null, the usual case, feed one running minimum; only rows with a null
+    feed the minimum of each single column. Items without a number come last.
+    """
+    number = F.coalesce("order_item_id", F.lit(2**63 - 1)).alias("order_item_id")
+    rank = F.struct(number, *ITEM_ORDER[1:])
+    complete = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in ITEM_VALUES])
+    first = F.min(F.when(complete, rank)).alias("_complete")
+    partial = [F.min(F.when(~complete & F.col(name).isNotNull(), rank)).alias(f"_{name}") for name in ITEM_VALUES]
+    return (
+        drop_null_keys(items, "order_id")
+        .groupBy("order_id")
+        .agg(first, *partial)
+        .select("order_id", *[F.least("_complete", f"_{name}")[name].alias(name) for name in ITEM_VALUES])
+    )
 
 
 def payment_totals(payments: DataFrame) -> DataFrame:
