@@ -55,7 +55,8 @@ def newest_rows(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     bought = F.coalesce(F.col("purchase_timestamp"), F.lit(OLDEST).cast("timestamp_ntz"))
     rows = df.select(bought.alias("ts"), "order_id")
     rest = k
-    for step in (F.to_date("ts"), F.date_trunc("second", "ts"), F.substring("order_id", 1, 4)):
+    day, second = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    for step in (day, second, F.substring("order_id", 1, 4)):
         sizes = rows.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"))
         newer = W.orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
         ranked = sizes.select("b", "n", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("before"))
@@ -63,8 +64,9 @@ def newest_rows(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         if cut is None:
             return df.limit(0), df
         rows, rest = rows.where(step == cut.b), rest - cut.before
-    last = rows.orderBy(F.desc("ts"), F.desc("order_id")).limit(rest).agg(F.min(F.struct("ts", "order_id"))).first()[0]
-    mark = F.lit(str(last.ts)).cast("timestamp_ntz")
+    tied = rows.orderBy(F.desc("ts"), F.desc("order_id")).limit(rest)
+    last = tied.agg(F.min(F.struct(F.col("ts").cast("string").alias("ts"), "order_id"))).first()[0]
+    mark = F.lit(last.ts).cast("timestamp_ntz")
     newest = (bought > mark) | ((bought == mark) & (F.col("order_id") >= last.order_id))
     return df.where(~newest), df.where(newest)
 
