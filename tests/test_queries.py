@@ -40,6 +40,7 @@ def test_filters_and_columns_reach_the_scan(spark, sample, tmp_path):
     priced = sample.withColumn("price", sample.freight_value)
     priced.write.parquet(path)
     report = reporting.critical_sellers(spark.read.schema(priced.schema).parquet(path), "2024-01-03")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = report._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(purchase_timestamp" in text and "LessThan(purchase_timestamp" in text
     assert "distance_km" not in text and "category_name" not in text
