@@ -14,7 +14,6 @@ from haulmark.schemas import CANONICAL_NAMES, ORDER_TIMESTAMPS
 
 Sources = Mapping[str, DataFrame]
 
-ITEM_ORDER = ["order_item_id", "product_id", "seller_id", "price", "freight_value"]
 ITEM_VALUES = ["product_id", "seller_id", "price", "freight_value"]
 
 
@@ -58,16 +57,17 @@ def first_items(items: DataFrame) -> DataFrame:
     Rows without any null, the usual case, feed one running minimum; only rows with a null
     feed the minimum of each single column. Items without a number come last.
     """
-    number = F.coalesce("order_item_id", F.lit(2**63 - 1)).alias("order_item_id")
-    rank = F.struct(number, *ITEM_ORDER[1:])
-    complete = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in ITEM_VALUES])
-    first = F.min(F.when(complete, rank)).alias("_complete")
-    partial = [F.min(F.when(~complete & F.col(name).isNotNull(), rank)).alias(f"_{name}") for name in ITEM_VALUES]
+    rank = f"struct(coalesce(order_item_id, {2**63 - 1}) as order_item_id, {', '.join(ITEM_VALUES)})"
+    complete = " and ".join(f"{name} is not null" for name in ITEM_VALUES)
+    first = F.expr(f"min(if({complete}, {rank}, null)) as _complete")
+    partial = [
+        F.expr(f"min(if(not ({complete}) and {name} is not null, {rank}, null)) as _{name}") for name in ITEM_VALUES
+    ]
     return (
         drop_null_keys(items, "order_id")
         .groupBy("order_id")
         .agg(first, *partial)
-        .select("order_id", *[F.least("_complete", f"_{name}")[name].alias(name) for name in ITEM_VALUES])
+        .selectExpr("order_id", *[f"least(_complete, _{name}).{name} as {name}" for name in ITEM_VALUES])
     )
 
 

@@ -29,106 +29,91 @@ def read_star(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     """Promised 10 to 30 days after purchase by priority; delivered at the first ship date."""
-    raw = read_star(spark, folder, "orders")
     shipped = (
         read_star(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.min("l_shipdate").alias("_shipped"))
+        .agg(F.min("l_shipdate").alias("first_ship"))
     )
-    finished = F.col("o_orderstatus") == "F"
-    status = F.when(finished, "delivered").when(F.col("o_orderstatus") == "O", "shipped").otherwise("created")
-    promise = 10 + 5 * F.substring("o_orderpriority", 1, 1).cast("int")
-    return raw.join(shipped, "o_orderkey", "left").select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        status.alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        F.when(finished, F.col("_shipped")).alias("order_delivered_customer_date"),
-        (F.col("o_orderdate") + F.make_dt_interval(days=promise)).alias("order_estimated_delivery_date"),
+    joined = read_star(spark, folder, "orders").join(shipped, "o_orderkey", "left")
+    return joined.selectExpr(
+        "cast(o_orderkey as string) as order_id",
+        "cast(o_custkey as string) as customer_id",
+        "case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped' else 'created' end as order_status",
+        "o_orderdate as order_purchase_timestamp",
+        "if(o_orderstatus = 'F', first_ship, null) as order_delivered_customer_date",
+        "o_orderdate + make_dt_interval(10 + 5 * cast(substring(o_orderpriority, 1, 1) as int))"
+        " as order_estimated_delivery_date",
     )
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    tax_points = F.round(F.col("l_tax") * 100).cast("int")
-    return read_star(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("l_linenumber").cast("bigint").alias("order_item_id"),
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.col("l_suppkey").cast("string").alias("seller_id"),
-        F.col("l_extendedprice").alias("price"),
-        (F.col("l_quantity").cast("int") * (1 + tax_points) * F.lit(0.25)).alias("freight_value"),
+    return read_star(spark, folder, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as order_id",
+        "cast(l_linenumber as bigint) as order_item_id",
+        "cast(l_partkey as string) as product_id",
+        "cast(l_suppkey as string) as seller_id",
+        "l_extendedprice as price",
+        "cast(l_quantity as int) * (1 + cast(round(l_tax * 100) as int)) * 0.25D as freight_value",
     )
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    return read_star(spark, folder, "part").select(
-        F.col("p_partkey").cast("string").alias("product_id"), F.col("p_type").alias("product_category_name")
-    )
+    part = read_star(spark, folder, "part")
+    return part.selectExpr("cast(p_partkey as string) as product_id", "p_type as product_category_name")
 
 
 def category_translation(spark: SparkSession, folder: str) -> DataFrame:
     """Every category but STANDARD, which stays without a name."""
-    return (
-        read_star(spark, folder, "part")
-        .where(F.col("p_type") != "STANDARD")
-        .select(F.col("p_type").alias("product_category_name"))
-        .distinct()
-        .withColumn("product_category_name_english", F.lower("product_category_name"))
+    named = read_star(spark, folder, "part").where("p_type <> 'STANDARD'").select("p_type").distinct()
+    return named.selectExpr(
+        "p_type as product_category_name", "lower(p_type) as product_category_name_english"
     )
 
 
-def _state(nation: str):
-    return F.concat(F.lit("N"), F.col(nation).cast("string"))
-
-
 def sellers(spark: SparkSession, folder: str) -> DataFrame:
-    return read_star(spark, folder, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("seller_id"),
-        F.col("s_nationkey").cast("string").alias("seller_zip_code_prefix"),
-        F.col("s_name").alias("seller_city"),
-        _state("s_nationkey").alias("seller_state"),
+    return read_star(spark, folder, "supplier").selectExpr(
+        "cast(s_suppkey as string) as seller_id",
+        "cast(s_nationkey as string) as seller_zip_code_prefix",
+        "s_name as seller_city",
+        "concat('N', s_nationkey) as seller_state",
     )
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    return read_star(spark, folder, "customer").select(
-        F.col("c_custkey").cast("string").alias("customer_id"),
-        F.col("c_nationkey").cast("string").alias("customer_zip_code_prefix"),
-        F.col("c_name").alias("customer_city"),
-        _state("c_nationkey").alias("customer_state"),
+    return read_star(spark, folder, "customer").selectExpr(
+        "cast(c_custkey as string) as customer_id",
+        "cast(c_nationkey as string) as customer_zip_code_prefix",
+        "c_name as customer_city",
+        "concat('N', c_nationkey) as customer_state",
     )
 
 
 def geolocation(spark: SparkSession, folder: str) -> DataFrame:
     """Several points per nation; nation 24 has none."""
-    return (
-        read_star(spark, folder, "customer")
-        .where(F.col("c_nationkey") != 24)
-        .select(
-            F.col("c_nationkey").cast("string").alias("geolocation_zip_code_prefix"),
-            (-33 + F.col("c_nationkey") * 1.4 + (F.col("c_custkey") % 10) * 0.01).alias("geolocation_lat"),
-            (-70 + F.col("c_nationkey") * 1.3 + (F.col("c_custkey") % 7) * 0.01).alias("geolocation_lng"),
-            F.col("c_name").alias("geolocation_city"),
-            _state("c_nationkey").alias("geolocation_state"),
-        )
+    return read_star(spark, folder, "customer").where("c_nationkey <> 24").selectExpr(
+        "cast(c_nationkey as string) as geolocation_zip_code_prefix",
+        "-33 + c_nationkey * 1.4D + (c_custkey % 10) * 0.01D as geolocation_lat",
+        "-70 + c_nationkey * 1.3D + (c_custkey % 7) * 0.01D as geolocation_lng",
+        "c_name as geolocation_city",
+        "concat('N', c_nationkey) as geolocation_state",
     )
 
 
 def order_payments(spark: SparkSession, folder: str) -> DataFrame:
-    return read_star(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("l_linenumber").cast("bigint").alias("payment_sequential"),
-        F.lit("card").alias("payment_type"),
-        F.lit(1).cast("bigint").alias("payment_installments"),
-        F.col("l_extendedprice").alias("payment_value"),
+    return read_star(spark, folder, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as order_id",
+        "cast(l_linenumber as bigint) as payment_sequential",
+        "'card' as payment_type",
+        "1L as payment_installments",
+        "l_extendedprice as payment_value",
     )
 
 
 def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return read_star(spark, folder, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        (1 + F.col("l_quantity").cast("bigint") % 5).alias("review_score"),
+    return read_star(spark, folder, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) as review_id",
+        "cast(l_orderkey as string) as order_id",
+        "1 + cast(l_quantity as bigint) % 5 as review_score",
     )
 
 
