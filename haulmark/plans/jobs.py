@@ -18,7 +18,7 @@ from haulmark.functions.times import Day, monday_of
 from haulmark.operators import aggregates, audit, browse, cleaning, registry, reporting, scoring
 from haulmark.operators import evaluation as ev
 from haulmark.operators.forest import ForestModel, Training, train_model
-from haulmark.plans.shipments import enriched_shipments
+from haulmark.plans.shipments import enrich_facts
 from haulmark.schemas import DEFAULT_THRESHOLD, KPI_DAILY, SELLER_STATS, SHIPMENTS
 from haulmark.session import build_session, pin_utc
 from haulmark.sources import csv_files
@@ -39,9 +39,9 @@ def seller_stats_table(spark: SparkSession, root: str) -> StoredTable:
 
 
 def load(spark: SparkSession, shipments: DataFrame, root: str, as_of: str) -> dict[str, int]:
-    """Merge shipments and both aggregates; rows that break a constraint are written aside."""
+    """Merge stored shipments and both aggregates; rows that break a constraint are written aside."""
     good = audit.storable(shipments)
-    shipments_table(spark, root).merge(good, as_of)
+    shipments_table(spark, root).merge(good, as_of, stored=True)
     kpi_daily_table(spark, root).merge(aggregates.kpi_daily(good), as_of)
     seller_stats_table(spark, root).merge(aggregates.seller_stats(good), as_of)
     audit.rejected(shipments).write.mode("overwrite").parquet(f"{root}/rejected")
@@ -51,11 +51,16 @@ def load(spark: SparkSession, shipments: DataFrame, root: str, as_of: str) -> di
 def run_etl(
     spark: SparkSession, sources: cleaning.Sources, order_by: list[str], root: str, as_of: str
 ) -> dict[str, int]:
-    """Clean, enrich and load. Facts and result are each written once and then reused."""
+    """Clean, enrich and load.
+
+    The facts of all statuses and the enriched result are each written once and then reused.
+    """
     pin_utc(spark)
-    enriched = enriched_shipments(sources, order_by, stage=lambda facts: stage(facts, "facts"))
-    summary = load(spark, stage(enriched, "enriched"), root, as_of)
-    cleaning.all_orders(sources, order_by).write.mode("overwrite").parquet(f"{root}/all_orders")
+    facts = stage(cleaning.order_facts(sources, order_by, delivered=False), "facts")
+    enriched = stage(enrich_facts(cleaning.delivered_only(facts), sources), "enriched")
+    summary = load(spark, enriched, root, as_of)
+    items_only = ["product_id", "price", "freight_value", "payment_value", "review_score"]
+    facts.drop(*items_only).write.mode("overwrite").parquet(f"{root}/all_orders")
     return summary
 
 

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 
 from haulmark.operators import cleaning as c
 from haulmark.operators import enrichment as e
 from haulmark.operators.lookups import lookup_derived
 
-Stage = Callable[[DataFrame], DataFrame]
-
-
-def enriched_shipments(
-    sources: c.Sources, order_by: list[str], delivered: bool = True, stage: Stage | None = None
-) -> DataFrame:
-    """Cleaned and enriched shipments, joined in the order that moves the fewest rows.
+def enrich_facts(facts: DataFrame, sources: c.Sources) -> DataFrame:
+    """Dimensions and features for order facts, joined in the order that moves the fewest rows.
 
     Coordinates are attached to the seller and customer tables before those meet the facts,
-    and the seller history is aggregated from the facts before they widen. ``stage`` may
-    write the facts out once, since both the history and the final join read them.
+    and the seller history is aggregated from the facts before they widen. Both the history
+    and the final join read ``facts``, so a job passes in a stored frame.
     """
-    facts = c.order_facts(sources, order_by, delivered)
-    if stage is not None:
-        facts = stage(facts)
     zips = e.zip_coordinates(sources["geolocation"])
     joined = c.with_dimensions(
         facts,
@@ -40,6 +30,11 @@ def enriched_shipments(
     )
 
 
+def enriched_shipments(sources: c.Sources, order_by: list[str], delivered: bool = True) -> DataFrame:
+    """Cleaned and enriched shipments as one lazy plan."""
+    return enrich_facts(c.order_facts(sources, order_by, delivered), sources)
+
+
 def shipments_with(
     sources: c.Sources, order_by: list[str], *dimensions: str, delivered: bool = True
 ) -> DataFrame:

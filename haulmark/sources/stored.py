@@ -103,14 +103,17 @@ class StoredTable:
         month = F.date_format(self.month_of, "yyyy-MM") if self.month_of else F.lit(WHOLE)
         return F.coalesce(month, F.lit("none")).alias("part")
 
-    def merge(self, rows: DataFrame, as_of: str) -> int:
+    def merge(self, rows: DataFrame, as_of: str, stored: bool = False) -> int:
         """Insert new keys and replace existing ones; returns the new version.
 
-        ``rows`` must hold each key once. Running the same merge again leaves the same rows.
+        ``rows`` must hold each key once; ``stored`` says they are read from files and need not
+        be written once more. Running the same merge again leaves the same rows.
         """
         version = self.version()
         parts = self._parts(version)
-        new = stage(conform(rows, self.columns).where(F.col(self.key).isNotNull()), "merge")
+        new = conform(rows, self.columns).where(F.col(self.key).isNotNull())
+        if not stored:
+            new = stage(new, "merge")
         # Months are bounded by the calendar, so their names may come to the driver.
         touched = {row.part for row in new.select(self._month()).distinct().collect()}
         if self.month_of and parts:
@@ -118,16 +121,8 @@ class StoredTable:
             old_keys = self._read(sorted(parts.values())).select(self.key, self._month())
             moved = old_keys.join(new.select(self.key), self.key, "left_semi")
             touched |= {row.part for row in moved.select("part").distinct().collect()}
-        old = self._read(sorted(parts[month] for month in touched if month in parts))
-        now = F.lit(as_of).cast("timestamp_ntz")
-        stamped = new
-        if "created_at" in self.stamps:
-            born = old.select(self.key, F.col("created_at").alias("_born"))
-            stamped = stamped.join(born, self.key, "left").withColumn("created_at", F.coalesce("_born", now)).drop("_born")
-        if "updated_at" in self.stamps:
-            stamped = stamped.withColumn("updated_at", now)
-        names = [name for name, _, _ in self._all_columns()]
-        merged = old.join(new.select(self.key), self.key, "left_anti").select(*names).unionByName(stamped.select(*names))
+        replaced = sorted(parts[month] for month in touched if month in parts)
+        merged = self._with_old(new, self._read(replaced), as_of) if replaced else self._stamped(new, as_of)
 
         folder = f"{self.path}/data/{version + 1:08d}-{uuid.uuid4().hex}"
         # Adaptive rebalancing gathers small months into few files and splits large ones by size.
@@ -138,6 +133,19 @@ class StoredTable:
         self._publish(version + 1, kept | written)
         return version + 1
 
+    def _stamped(self, new: DataFrame, as_of: str) -> DataFrame:
+        now = F.lit(as_of).cast("timestamp_ntz")
+        return new.withColumns({name: now for name in self.stamps}) if self.stamps else new
+
+    def _with_old(self, new: DataFrame, old: DataFrame, as_of: str) -> DataFrame:
+        """Old rows whose key is not replaced, and the new rows with their audit columns."""
+        stamped = self._stamped(new, as_of)
+        if "created_at" in self.stamps:
+            born = old.select(self.key, F.col("created_at").alias("_born"))
+            kept = F.coalesce("_born", "created_at")
+            stamped = stamped.join(born, self.key, "left").withColumn("created_at", kept).drop("_born")
+        return old.join(new.select(self.key), self.key, "left_anti").unionByName(stamped)
+
     def _exists(self, path: str) -> bool:
         hadoop, _, fs = self._fs()
         return fs.exists(hadoop.Path(path))

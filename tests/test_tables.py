@@ -126,9 +126,9 @@ def test_retrain_promotes_only_a_better_model(spark, tmp_path):
         F.lit(1.0).alias("freight_value"),
     )
     jobs.shipments_table(spark, root).merge(rows, FIRST)
-    first = jobs.run_retrain(spark, root, SECOND, numTrees=3, maxDepth=3)
+    first = jobs.run_retrain(spark, root, SECOND, numTrees=3, maxDepth=3, featureSubsetStrategy="all")
     assert first["retrained"] and first["promoted"] and first["new_f1"] == 1.0
-    second = jobs.run_retrain(spark, root, "2024-03-01 00:00:00", force=True, numTrees=3, maxDepth=3)
+    second = jobs.run_retrain(spark, root, "2024-03-01 00:00:00", force=True, numTrees=3, maxDepth=3, featureSubsetStrategy="all")
     assert (second["old_f1"], second["promoted"]) == (1.0, False)
     assert spark.read.parquet(f"{root}/models/runs").count() == 2
     open_rows = rows.withColumn("delivered_timestamp", F.lit(None).cast("timestamp_ntz")).withColumn(
