@@ -1,6 +1,6 @@
 """Jobs: load the tables, retrain the model, score open shipments, write the weekly report.
 
-    spark-submit haulmark/plans/jobs.py etl --raw <folder> --tables <folder> --as-of <time>
+    PYTHONPATH=. spark-submit haulmark/plans/jobs.py etl --raw <folder> --tables <folder> --as-of <time>
 """
 
 from __future__ import annotations
