@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from haulmark.llm import exact_dedup, language, packing, piece_tokens, toxicity
+from haulmark.llm import exact_dedup, jaccard_join, language, packing, piece_tokens, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_language_id": language.op3_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
 }
 
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_jaccard_join": jaccard_join.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
