@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulmark.llm import exact_dedup, jaccard_join, language, packing, piece_tokens, toxicity
+from haulmark.llm import exact_dedup, jaccard_join, language, packing, piece_tokens, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {"op2_jaccard_join": jaccard_join.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
