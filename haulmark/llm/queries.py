@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from haulmark.llm import exact_dedup, jaccard_join, language, packing, piece_tokens, suffix_dedup, toxicity
+from haulmark.llm import exact_dedup, fingerprints, jaccard_join, language, line_dedup, packing, piece_tokens, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_language_id": language.op3_language_id,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-ORACLES = {"op2_jaccard_join": jaccard_join.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}
