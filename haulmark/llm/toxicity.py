@@ -194,10 +194,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows below the threshold, with their columns."""
-    names = [f"_{c}" for c in docs.columns]
-    columns = [F.col(c).alias(n) for c, n in zip(docs.columns, names)]
-    rows = scored(docs, train(docs, labels), *columns).where(F.col("score") < THRESHOLD)
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return scored(docs, train(docs, labels), row).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
