@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulmark.llm import exact_dedup, fingerprints, jaccard_join, language, line_dedup, packing, piece_tokens, suffix_dedup, toxicity
+from haulmark.llm import exact_dedup, fingerprints, jaccard_join, language, line_dedup, packing, piece_tokens, suffix_dedup, token_blocks, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_blocks": token_blocks.op8_token_blocks,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
