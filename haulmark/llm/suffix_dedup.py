@@ -4,8 +4,10 @@ A byte goes when a ``SPAN``-byte string that covers it also starts in a document
 that length has one anchor, the k-gram with the least hash in it (the leftmost of equals), so equal strings have equal
 anchors and only places that share an anchor with another document need to be compared.
 
-1. Anchors of all texts are dealt out by hash, packed in runs of 32-bit hashes and positions; an anchor that two
-   documents have is a candidate. Clashes of short hashes only add candidates.
+1. Anchors of all texts are dealt out by hash, packed in runs of 32-bit hashes, positions, and 8-bit hashes of the
+   ``SIDE`` bytes to the left and to the right. An equal string around an anchor has one of the two sides in full, so
+   an anchor is a candidate if two documents have it with the same left or the same right side. Clashes of the short
+   hashes only add candidates.
 2. Texts with candidates are kept in the shared folder. The stretch of strings around an anchor that all have it as
    theirs is compared as a whole by two 64-bit hashes; all but the smallest document lose an equal stretch.
 3. What is left are anchors with several different stretches: their distinct contexts are sorted as suffixes. The sort
@@ -32,12 +34,13 @@ from pyspark.sql import functions as F
 from haulmark.llm.common import U64, below, keep, mix, partitions, prefix_hash, span_hash, texts_of, utf8
 
 SPAN, GRAM = 50, 24
+SIDE = (SPAN - GRAM) // 2
 _PLACE = 28  # bits of a position inside a run of texts
 _LAST = (1 << 63) - 1
 BUCKET_BYTES = 32_000_000
 
 
-def runs_of(column: pa.Array, size: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def runs_of(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``size`` bytes."""
     _, offsets = utf8(column)
     first = 0
@@ -129,8 +132,15 @@ def _deal(buckets: int) -> Callable:
                 batch = whole.slice(s, e - s)
                 ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 data, offsets = utf8(batch.column(2))
-                h, place, _, _, doc, _ = anchors(data, offsets)
-                values = {"hashes": h.astype("<u4"), "places": (place - offsets[doc]).astype("<u4")}
+                h, place, _, _, doc, prefix = anchors(data, offsets)
+                left = np.maximum(place - SIDE, offsets[doc])
+                right = np.minimum(place + GRAM + SIDE, offsets[doc + 1])
+                values = {
+                    "hashes": h.astype("<u4"),
+                    "places": (place - offsets[doc]).astype("<u4"),
+                    "left": (mix(span_hash(prefix, left, place), 11) >> U64(56)).astype("<u1"),
+                    "right": (mix(span_hash(prefix, place + GRAM, right), 12) >> U64(56)).astype("<u1"),
+                }
                 yield _batch(_blobs(below(mix(h, 9), buckets), doc, ids, prints, values), _schema(*values))
 
     return run
@@ -141,12 +151,18 @@ _PLACES = "doc long, print long, places binary"
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Places of anchors that more than one document has."""
-    docs, prints, h, places = _unblob(frame, {"hashes": "<u4", "places": "<u4"})
-    order = np.argsort(h, kind="stable")
-    bounds, _ = _split(h[order])
-    least = np.minimum.reduceat(docs[order], bounds[:-1])
-    most = np.maximum.reduceat(docs[order], bounds[:-1])
-    hit = order[np.repeat(least != most, np.diff(bounds))]
+    kinds = {"hashes": "<u4", "places": "<u4", "left": "<u1", "right": "<u1"}
+    docs, prints, h, places, *sides = _unblob(frame, kinds)
+    shared = np.zeros(len(h), bool)
+    for side in sides:
+        key = h.astype(np.uint64) << U64(8) | side
+        order = np.argsort(key, kind="stable")
+        bounds, _ = _split(key[order])
+        if len(bounds) > 1:
+            least = np.minimum.reduceat(docs[order], bounds[:-1])
+            most = np.maximum.reduceat(docs[order], bounds[:-1])
+            shared[order] |= np.repeat(least != most, np.diff(bounds))
+    hit = np.flatnonzero(shared)
     hit = hit[np.lexsort((prints[hit], docs[hit]))]
     docs, prints, places = docs[hit], prints[hit], places[hit]
     cut = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (prints[1:] != prints[:-1])][: len(docs)])
@@ -260,6 +276,13 @@ class Suffixes:
             same = span_hash(self.prefix, x, x + mid) == span_hash(self.prefix, y, y + mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
 
+    def twins(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Places in ``at`` whose hash over the whole length another suffix of the segment has too."""
+        key = mix(span_hash(self.prefix, at, at + self.length) ^ mix(segment.astype(np.uint64), 15), 16)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        return np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(at) > 1 else np.empty(0, np.int64)
+
     def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.extension(x, y)
         a, b = self.bytes[x + np.minimum(n, self.length - 1)], self.bytes[y + np.minimum(n, self.length - 1)]
@@ -333,7 +356,11 @@ def _sort_contexts(frame: pd.DataFrame) -> pd.DataFrame:
     shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     segment = frame["anchor"].to_numpy()[row]
     docs = frame["doc"].to_numpy()[row]
-    order, run = Suffixes(np.frombuffer(b"".join(raw), np.uint8)).runs(base[row] + shift, segment)
+    suffixes = Suffixes(np.frombuffer(b"".join(raw), np.uint8))
+    # A string whose hash is alone among those of its anchor has no equal, and need not be sorted.
+    twin = suffixes.twins(base[row] + shift, segment)
+    row, shift, segment, docs = row[twin], shift[twin], segment[twin], docs[twin]
+    order, run = suffixes.runs(base[row] + shift, segment)
     bounds, _ = _split(run)
     least = np.repeat(np.minimum.reduceat(docs[order], bounds[:-1]), np.diff(bounds)) if len(run) else docs
     hit = order[docs[order] > least]
@@ -392,7 +419,7 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
     buckets = max(partitions(docs), -(-total // BUCKET_BYTES))
     places = (
         keyed.select("doc", "print", "text")
-        .mapInArrow(_deal(buckets), _ddl("hashes", "places"))
+        .mapInArrow(_deal(buckets), _ddl("hashes", "places", "left", "right"))
         .groupBy("bucket")
         .applyInPandas(_shared, _PLACES)
         .groupBy("doc", "print")
