@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import keep
@@ -15,9 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     chain shrinks by half at least. Labels are sums of minima, combined before they are shuffled, and each round is
     written to the shared folder, which cuts the lineage.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = keep(both.distinct(), "graph")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # A node's smaller neighbours hang together through it: keep one link to the least of them, and theirs to that.
+    down = down.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    stars = down.select("a", F.col("least").alias("b")).union(down.select(F.col("b").alias("a"), F.col("least").alias("b")))
+    stars = stars.where("a <> b").distinct()
+    both = keep(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), "graph")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    labels = labels.select("node", F.least("node", "near").alias("component"))
     labels = keep(labels.withColumn("moved", F.lit(True)), "labels")
     while True:
         near = (

@@ -270,7 +270,7 @@ def jaccard_groups(
     own = F.pmod(F.xxhash64("one", "two"), chunks)
     sets = (
         given.withColumnRenamed("doc_id", "leader")
-        .join(members, "leader")
+        .join(members.hint("merge"), "leader")
         .select("text", "leader", "copies", "n", "one", "two", "family", own.alias("chunk"), chunks.alias("chunks"))
         .mapInArrow(
             _sets(words),
