@@ -2,18 +2,21 @@
 
 A document's set holds the 64-bit hashes of its distinct word n-grams. Sizes fall into bands such that two similar sets
 lie in one band or in neighbouring ones. For a band, similar sets differ in at most k features. The feature domain is
-cut by a hash into n1 partitions; where only k + 1 of them would hold few features each, every partition is cut into
-n2 = 3 parts and all subsets of 2 parts are enumerated instead. Sufficiently similar sets agree on the features of one
-partition, or of one subset, in full, and so share its signature.
+cut by a hash into n1 = 1.25 (k + 1) partitions. Similar sets agree in full on at least n1 - k of them, so on some
+partition they share its signature. Small sets cut every partition of n1 = (k + 1) / 2 into 3 parts and enumerate all
+subsets of 2 parts instead, of which similar sets share at least one.
 
 1. Equal sets collapse to a class, combined before the shuffle, so copies cost nothing from here on.
-2. Classes that share signatures form families (components of the links to the smallest class of each signature).
-3. A family's sets meet once, in blocks of at most ``CHUNK`` against ``CHUNK`` sets, however large it is. Exact overlaps
-   are counted inside a block by products of 0/1 matrices; a block returns link counts and a spanning forest of its
-   links, never its pairs.
-4. Components of the forests are the result.
+2. Classes with too few signatures that any other class has cannot have a partner, and leave. Signatures travel packed,
+   with 32-bit hashes; clashes only let more classes stay.
+3. Classes that share signatures form families (components of the links to the smallest class of each signature).
+4. A family's sets meet once, in blocks of at most ``CHUNK`` against ``CHUNK`` sets, however large it is. Exact overlaps
+   are counted inside a block by inverted lists; a block returns link counts and a spanning forest of its links, never
+   its pairs.
+5. Components of the forests are the result.
 
-No link is lost: families are unions of whole signature buckets, and all pairs of a family are judged exactly.
+No link is lost: who has a partner shares enough signatures to stay, families are unions of whole signature buckets,
+and all pairs of a family are judged exactly.
 
 Nulls: a null text is empty; empty sets link with nothing and are their own component. Fewer words than n make one
 feature of the whole sequence. Repeated rows are copies: they link with each other. A null ``doc_id`` takes part in
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import U64, WHITE, below, keep, mix, partitions, prefix_hash, signed, span_hash, texts_of, utf8
 from haulmark.llm.components import components
+from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, unpack
 
 NUM, DEN = 90, 100
 WORDS = 3
-CHUNK = 512
+CHUNK = 2048
+BUCKET_SIGNATURES = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -83,21 +88,27 @@ def bands(limit: int, num: int, den: int) -> np.ndarray:
     return np.array(lows)
 
 
-def signatures(
-    feature: np.ndarray, offsets: np.ndarray, num: int = NUM, den: int = DEN
-) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of all sets that are not empty."""
+def shape(sizes: np.ndarray, instance: np.ndarray, lows: np.ndarray, num: int, den: int) -> tuple:
+    """For sets in an instance: whether parts are enumerated, partitions, and the least signatures that partners share.
+
+    Instance i serves the pairs of band i, and those of band i - 1 with band i.
+    """
+    k = 2 * (lows[instance + 1] - 1) * (den - num) // (den + num)  # most differences of a similar pair
+    few = (k > 0) & (k < 16)
+    n1 = np.where(few, (k + 2) // 2, np.where(k > 0, (k + 1) * 5 // 4, 1))
+    return few, n1, np.where(few, 1, n1 - k)
+
+
+def signatures(feature: np.ndarray, offsets: np.ndarray, num: int = NUM, den: int = DEN) -> Iterator[tuple]:
+    """(set, signature) of all sets that are not empty: in the instance of their band, then in the next one."""
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     lows = bands(int(sizes.max(initial=1)), num, den)
     band = np.searchsorted(lows, sizes, "right") - 1
-    sets, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     h = mix(feature, 21)
     part_hash, sub, value = mix(h, 22), below(mix(h, 23), 3), mix(h, 24)
-    for instance in (band, band + 1):  # instance i serves the pairs of band i, and of band i - 1 with band i
-        k = 2 * (lows[instance + 1] - 1) * (den - num) // (den + num)  # most differences of a similar pair
-        few = (k > 0) & (k < 16)
-        n1 = np.where(few, (k + 2) // 2, k + 1)
+    for instance in (band, band + 1):
+        few, n1, _ = shape(sizes, instance, lows, num, den)
         width = np.where(few, 3, 1)
         base = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(np.where(sizes > 0, n1 * width, 0), out=base[1:])
@@ -106,18 +117,12 @@ def signatures(
         np.add.at(total, base[owner] + part * width[owner] + np.where(few[owner], sub, 0), value)
         cell_owner = np.repeat(np.arange(len(sizes)), np.diff(base))
         cell = np.arange(base[-1]) - base[cell_owner]
-        three = few[cell_owner]
-        left = np.flatnonzero(three)
-        # Of three parts, the subset without part j is the sum of the other two.
-        rest = np.zeros(len(total), np.uint64)
-        if len(left):
+        left = np.flatnonzero(few[cell_owner])
+        if len(left):  # of three parts, the subset without part j is the sum of the other two
             trio = total[left].reshape(-1, 3)
-            rest[left] = (trio.sum(1, dtype=np.uint64)[:, None] - trio).ravel()
-        rest[~three] = total[~three]
+            total[left] = (trio.sum(1, dtype=np.uint64)[:, None] - trio).ravel()
         name = mix(instance[cell_owner].astype(np.uint64), 31)
-        found.append(mix(mix(rest, 32) ^ name ^ mix(cell.astype(np.uint64), 33), 34))
-        sets.append(cell_owner)
-    return np.concatenate(sets), np.concatenate(found)
+        yield cell_owner, mix(mix(total, 32) ^ name ^ mix(cell.astype(np.uint64), 33), 34)
 
 
 def _digests(feature: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,72 +134,139 @@ def _digests(feature: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _describe(words: int, num: int, den: int) -> Callable:
+def _describe(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()  # sets whose signatures this task has given already
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
                 feature, offsets = shingle_sets(batch.column(1), words)
                 one, two = _digests(feature, offsets)
-                fresh = np.array([(x not in told and not told.add(x)) for x in one.tolist()], bool)
-                fresh &= np.diff(offsets) > 0
-                if len(told) > 1_000_000:
-                    told.clear()
-                who, sig = signatures(feature, offsets, num, den)
-                say = fresh[who]
-                who, sig = who[say], sig[say]
-                order = np.argsort(who, kind="stable")
-                ends = np.searchsorted(who[order], np.arange(len(batch) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(np.diff(offsets)),
-                        pa.array(signed(one)),
-                        pa.array(signed(two)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(sig[order]))),
-                    ],
-                    names=["doc_id", "n_shingles", "one", "two", "signatures"],
+                    [batch.column(0), pa.array(np.diff(offsets)), pa.array(signed(one)), pa.array(signed(two))],
+                    names=["doc_id", "n_shingles", "one", "two"],
                 )
 
     return run
 
 
-def _sets(words: int) -> Callable:
+def _deal(words: int, num: int, den: int, buckets: int) -> Callable:
+    """Packed signatures of the sets a task meets for the first time, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple] = set()
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                feature, offsets = shingle_sets(whole.column(0).slice(at, 512), words)
+                one, two = _digests(feature, offsets)
+                fresh = np.array([x not in told and not told.add(x) for x in zip(one.tolist(), two.tolist())], bool)
+                if len(told) > 500_000:
+                    told.clear()
+                who, sig, role = [], [], []
+                for r, (owner, found) in enumerate(signatures(feature, offsets, num, den)):
+                    say = fresh[owner]
+                    who.append(owner[say])
+                    sig.append(found[say])
+                    role.append(np.full(int(say.sum()), r, np.uint8))
+                who, sig, role = np.concatenate(who), np.concatenate(sig), np.concatenate(role)
+                values = {"sig": (sig & U64(0xFFFFFFFF)).astype("<u4"), "role": role}
+                yield as_batch(pack_by_bucket(below(sig, buckets), who, signed(one), signed(two), values), packed_schema("sig", "role"))
+
+    return run
+
+
+def _common(frame: pd.DataFrame) -> pd.DataFrame:
+    """How many signatures of each class, in either instance, another class has too."""
+    one, two, sig, role = unpack(frame, {"sig": "<u4", "role": "<u1"})
+    order = np.argsort(sig, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(sig[order]) != 0][: len(sig)])
+    if not len(cut):
+        return pd.DataFrame({"one": [], "two": [], "own": [], "next": []}, dtype=np.int64)
+    shared = np.minimum.reduceat(one[order], cut) != np.maximum.reduceat(one[order], cut)
+    hit = order[np.repeat(shared, np.diff(np.r_[cut, len(sig)]))]
+    found = pd.DataFrame({"one": one[hit], "two": two[hit], "own": role[hit] == 0, "next": role[hit] == 1})
+    return found.groupby(["one", "two"], as_index=False)[["own", "next"]].sum().astype(np.int64)
+
+
+def _may_link(num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, own, next_ = (batch.column(c).to_numpy() for c in ("n", "own", "next"))
+            lows = bands(int(sizes.max(initial=1)), num, den)
+            band = np.searchsorted(lows, sizes, "right") - 1
+            stay = (own >= shape(sizes, band, lows, num, den)[2]) | (next_ >= shape(sizes, band + 1, lows, num, den)[2])
+            yield batch.filter(pa.array(stay))
+
+    return run
+
+
+def _sign(num: int, den: int) -> Callable:
+    """(class, signature) of stored sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                raw = batch.column(1).to_pylist()
+                offsets = np.cumsum([0, *(len(x) // 8 for x in raw)])
+                one = batch.column(0).to_numpy()
+                for owner, sig in signatures(np.frombuffer(b"".join(raw), np.uint64), offsets, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(one[owner]), pa.array(signed(sig))], names=["a", "sig"])
+
+    return run
+
+
+def _own_sets(words: int) -> Callable:
+    """The set of each class. A leader's id may stand on other rows too: only the class's own set counts, and once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple] = set()
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
                 feature, offsets = shingle_sets(batch.column(0), words)
+                one, two = (signed(x).tolist() for x in _digests(feature, offsets))
+                names = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+                own = [a == b and not (a in given or given.add(a)) for a, b in zip(names, zip(one, two))]
                 raw = feature.tobytes()
+                found = pa.array([raw[8 * s : 8 * e] for s, e in zip(offsets, offsets[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[1:], pa.array([raw[8 * s : 8 * e] for s, e in zip(offsets, offsets[1:])], pa.binary())],
-                    names=[*batch.schema.names[1:], "features"],
-                )
+                    [*batch.columns[1:], found], names=[*batch.schema.names[1:], "features"]
+                ).filter(pa.array(own, pa.bool_()))
 
     return run
 
 
-def overlaps(sets: list[np.ndarray], left: range, right: range) -> np.ndarray:
-    """Sizes of the intersections of the left with the right sets, by products of 0/1 matrices over shared features."""
-    all_ = np.concatenate([sets[i] for i in (*left, *right)])
-    who = np.repeat(np.arange(len(left) + len(right)), [len(sets[i]) for i in (*left, *right)])
-    kinds, column, often = np.unique(all_, return_inverse=True, return_counts=True)
-    shared = often > 1
-    new = np.cumsum(shared) - 1
-    ok = shared[column]
-    who, column = who[ok], new[column[ok]]
-    out = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(column, kind="stable")
-    who, column = who[order], column[order]
-    width = 8192
-    for c in range(0, int(shared.sum()), width):
-        s, e = np.searchsorted(column, [c, c + width])
-        wide = int(column[e - 1]) - c + 1 if e > s else 1
-        grid = np.zeros((len(left) + len(right), wide), np.float32)
-        grid[who[s:e], column[s:e] - c] = 1
-        out += grid[: len(left)] @ grid[len(left) :].T
-    return out.astype(np.int64)
+class Inverted:
+    """Which sets have each feature that more than one set has."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(self.n), sizes)
+        _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ok = often[column] > 1
+        self.owner, column = owner[ok], column[ok]
+        order = np.argsort(column, kind="stable")
+        self.members = self.owner[order]
+        self.begin = np.searchsorted(column[order], np.arange(len(often) + 1))
+        self.column = column
+        self.first = np.searchsorted(self.owner, np.arange(self.n + 1))
+
+    def overlaps(self, start: int, stop: int) -> np.ndarray:
+        """Sizes of the intersections of the sets from start to stop with all sets."""
+        mine = slice(self.first[start], self.first[stop])
+        column, row = self.column[mine], self.owner[mine] - start
+        length = self.begin[column + 1] - self.begin[column]
+        total = np.cumsum(length)
+        out = np.zeros((stop - start) * self.n, np.int64)
+        done = 0
+        while done < len(column):  # at most some millions of list entries at a time
+            end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 4_000_000, "right")))
+            k = length[done:end]
+            at = np.arange(k.sum()) + np.repeat(self.begin[column[done:end]] - (np.cumsum(k) - k), k)
+            out += np.bincount(np.repeat(row[done:end] * self.n, k) + self.members[at], minlength=len(out))
+            done = end
+        return out.reshape(stop - start, self.n)
 
 
 def _judge(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -215,11 +287,12 @@ def _judge(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 x = root[x]
             return x
 
-        for at in range(0, len(sets), 128):
-            left = range(at, min(at + 128, len(sets)))
+        lists = Inverted(sets)
+        for at in range(0, len(sets), 64):
+            left = range(at, min(at + 64, len(sets)))
             stop = int(np.searchsorted(sizes, sizes[left[-1]] * den // num, "right"))
             right = range(at, max(stop, left[-1] + 1))
-            common = overlaps(sets, left, right)
+            common = lists.overlaps(left.start, left.stop)[:, right.start : right.stop]
             union = sizes[left.start : left.stop, None] + sizes[None, right.start : right.stop] - common
             link = (den * common >= num * union) & (np.arange(len(right))[None, :] > np.arange(len(left))[:, None])
             if i_side != j_side:
@@ -243,47 +316,55 @@ def jaccard_groups(
     """doc_id, n_shingles, component_id and n_links of every row; linked: den * intersection >= num * union."""
     given = texts_of(docs)
     described = keep(
-        given.mapInArrow(
-            _describe(words, num, den), "doc_id long, n_shingles long, one long, two long, signatures array<long>"
-        ),
-        "jaccard-sets",
+        given.mapInArrow(_describe(words), "doc_id long, n_shingles long, one long, two long"), "jaccard-sets"
     )
     classes = keep(
         described.where("n_shingles > 0")
         .groupBy("one", "two")
-        .agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n")),
+        .agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")),
         "jaccard-classes",
     )
+    load = (classes.agg(F.sum("n")).first()[0] or 0) * 3 * (den - num) // den
+    buckets = max(partitions(docs), -(-load // BUCKET_SIGNATURES))
+    shared = (
+        given.select("text")
+        .mapInArrow(_deal(words, num, den, buckets), packed_ddl("sig", "role"))
+        .groupBy("bucket")
+        .applyInPandas(_common, "one long, two long, own long, next long")
+        .groupBy("one", "two")
+        .agg(F.sum("own").alias("own"), F.sum("next").alias("next"))
+    )
+    columns = "leader long, copies long, n long, one long, two long, own long, next long"
+    left = keep(
+        classes.join(shared, ["one", "two"])
+        .select(*[c.split()[0] for c in columns.split(", ")])
+        .mapInArrow(_may_link(num, den), columns)
+        .drop("own", "next"),
+        "jaccard-left",
+    )
+    sets = keep(
+        given.withColumnRenamed("doc_id", "leader")
+        .join(left.hint("merge"), "leader")
+        .select("text", "leader", "copies", "n", "one", "two")
+        .mapInArrow(_own_sets(words), "leader long, copies long, n long, one long, two long, features binary"),
+        "jaccard-features",
+    )
     # The first half of a set's name stands for it here; a clash only makes a family larger.
-    rows = described.select(F.col("one").alias("a"), F.explode("signatures").alias("sig"))
+    rows = sets.select("one", "features").mapInArrow(_sign(num, den), "a long, sig long")
     leader = F.min("a").over(Window.partitionBy("sig"))
-    stars = rows.select("a", leader.alias("b")).where("a <> b").distinct()
-    families = components(stars)
+    families = components(rows.select("a", leader.alias("b")).where("a <> b").distinct())
     size = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = keep(
-        classes.join(families.withColumnRenamed("node", "one"), "one")
-        .join(size, "component")
-        .select("leader", "copies", "n", "one", "two", F.col("component").alias("family"), "size"),
-        "jaccard-members",
-    )
+    named_families = families.join(size, "component").select(F.col("node").alias("one"), F.col("component").alias("family"), "size")
     chunks = F.ceil(F.col("size") / chunk)
-    own = F.pmod(F.xxhash64("one", "two"), chunks)
-    sets = (
-        given.withColumnRenamed("doc_id", "leader")
-        .join(members.hint("merge"), "leader")
-        .select("text", "leader", "copies", "n", "one", "two", "family", own.alias("chunk"), chunks.alias("chunks"))
-        .mapInArrow(
-            _sets(words),
-            "leader long, copies long, n long, one long, two long, family long, chunk long, chunks long, features binary",
-        )
-        # A leader's id may stand on other rows too; only a row with the class's own set counts, and once.
-        .where(F.octet_length("features") == 8 * F.col("n"))
-        .dropDuplicates(["one", "two"])
-    )
     blocks = (
-        sets.withColumn("pair", F.explode(F.expr(
-            "transform(sequence(0L, chunks - 1), c -> struct(least(c, chunk) AS i, greatest(c, chunk) AS j))"
-        )))
+        sets.join(named_families.hint("merge"), "one")
+        .select("leader", "copies", "n", "features", "family", F.pmod(F.xxhash64("one", "two"), chunks).alias("chunk"), chunks.alias("chunks"))
+        .withColumn(
+            "pair",
+            F.explode(
+                F.expr("transform(sequence(0L, chunks - 1), c -> struct(least(c, chunk) AS i, greatest(c, chunk) AS j))")
+            ),
+        )
         .select("leader", "copies", "n", "family", "chunk", "features", "pair.i", "pair.j")
         .repartition(partitions(docs), "family", "i", "j")
     )

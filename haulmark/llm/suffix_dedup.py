@@ -22,7 +22,6 @@ length stay whole; an empty table gives an empty result. Other columns are ignor
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import U64, below, keep, mix, partitions, prefix_hash, span_hash, texts_of, utf8
+from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, runs_of_equal, unpack
 
 SPAN, GRAM = 50, 24
 SIDE = (SPAN - GRAM) // 2
@@ -78,53 +78,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     return hashes[place], place, start, count, doc[start], prefix
 
 
-def _split(order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of runs of equal values in a sorted array, and those values."""
-    if not len(order_by):
-        return np.zeros(1, np.int64), order_by
-    cut = np.flatnonzero(np.r_[True, order_by[1:] != order_by[:-1]])
-    return np.r_[cut, len(order_by)], order_by[cut]
-
-
-def _blobs(bucket: np.ndarray, owner: np.ndarray, ids: np.ndarray, prints: np.ndarray, values: dict) -> dict[str, list]:
-    """One row per bucket: the documents, how many entries each has, and the packed values of the entries."""
-    order = np.lexsort((owner, bucket))
-    bucket, owner = bucket[order], owner[order]
-    values = {k: v[order] for k, v in values.items()}
-    bounds, names = _split(bucket)
-    out: dict[str, list] = {k: [] for k in ("bucket", "docs", "prints", "counts", *values)}
-    for s, e, name in zip(bounds, bounds[1:], names.tolist()):
-        cut, who = _split(owner[s:e])
-        out["bucket"].append(name)
-        out["docs"].append(ids[who].tobytes())
-        out["prints"].append(prints[who].tobytes())
-        out["counts"].append(np.diff(cut).astype("<u4").tobytes())
-        for k, v in values.items():
-            out[k].append(v[s:e].tobytes())
-    return out
-
-
-def _unblob(frame: pd.DataFrame, kinds: dict[str, str]) -> tuple:
-    """Document id, print and the values of every entry of a bucket."""
-    join = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
-    counts = join("counts", "<u4").astype(np.int64)
-    docs = np.repeat(join("docs", "<i8"), counts)
-    prints = np.repeat(join("prints", "<i8"), counts)
-    return docs, prints, *[join(c, kind) for c, kind in kinds.items()]
-
-
-def _batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
-def _schema(*binary: str) -> pa.Schema:
-    return pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in ("docs", "prints", "counts", *binary)])
-
-
-def _ddl(*binary: str) -> str:
-    return ", ".join(["bucket long"] + [f"{c} binary" for c in ("docs", "prints", "counts", *binary)])
-
-
 def _deal(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -141,7 +94,7 @@ def _deal(buckets: int) -> Callable:
                     "left": (mix(span_hash(prefix, left, place), 11) >> U64(56)).astype("<u1"),
                     "right": (mix(span_hash(prefix, place + GRAM, right), 12) >> U64(56)).astype("<u1"),
                 }
-                yield _batch(_blobs(below(mix(h, 9), buckets), doc, ids, prints, values), _schema(*values))
+                yield as_batch(pack_by_bucket(below(mix(h, 9), buckets), doc, ids, prints, values), packed_schema(*values))
 
     return run
 
@@ -152,12 +105,12 @@ _PLACES = "doc long, print long, places binary"
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Places of anchors that more than one document has."""
     kinds = {"hashes": "<u4", "places": "<u4", "left": "<u1", "right": "<u1"}
-    docs, prints, h, places, *sides = _unblob(frame, kinds)
+    docs, prints, h, places, *sides = unpack(frame, kinds)
     shared = np.zeros(len(h), bool)
     for side in sides:
         key = h.astype(np.uint64) << U64(8) | side
         order = np.argsort(key, kind="stable")
-        bounds, _ = _split(key[order])
+        bounds, _ = runs_of_equal(key[order])
         if len(bounds) > 1:
             least = np.minimum.reduceat(docs[order], bounds[:-1])
             most = np.maximum.reduceat(docs[order], bounds[:-1])
@@ -195,7 +148,7 @@ def _stretches(buckets: int) -> Callable:
                     "start": (start - offsets[doc]).astype("<u4"),
                     "strings": count.astype("<u1"),
                 }
-                yield _batch(_blobs(below(mix(h, 9), buckets), doc, ids, prints, values), _schema(*values))
+                yield as_batch(pack_by_bucket(below(mix(h, 9), buckets), doc, ids, prints, values), packed_schema(*values))
 
     return run
 
@@ -206,7 +159,7 @@ _FOUND = "doc long, print long, sure boolean, anchor binary, start binary, strin
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     """Sure: stretches of all but the smallest document. Not sure: one of each, where an anchor has several."""
     kinds = {"anchor": "<u8", "body": "<u8", "start": "<u4", "strings": "<u1"}
-    docs, prints, anchor, body, start, strings = _unblob(frame, kinds)
+    docs, prints, anchor, body, start, strings = unpack(frame, kinds)
     order = np.lexsort((start, prints, docs, body, anchor))
     docs, prints, anchor, body, start, strings = (x[order] for x in (docs, prints, anchor, body, start, strings))
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
@@ -291,7 +244,7 @@ class Suffixes:
     def sort(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Order of the suffixes by segment (ascending already) and content: a mergesort of all segments at once."""
         order = np.arange(len(at))
-        bounds, _ = _split(segment)
+        bounds, _ = runs_of_equal(segment)
         sizes = np.diff(bounds)
         base = np.repeat(bounds[:-1], sizes)
         end = np.repeat(bounds[1:], sizes)
@@ -361,7 +314,7 @@ def _sort_contexts(frame: pd.DataFrame) -> pd.DataFrame:
     twin = suffixes.twins(base[row] + shift, segment)
     row, shift, segment, docs = row[twin], shift[twin], segment[twin], docs[twin]
     order, run = suffixes.runs(base[row] + shift, segment)
-    bounds, _ = _split(run)
+    bounds, _ = runs_of_equal(run)
     least = np.repeat(np.minimum.reduceat(docs[order], bounds[:-1]), np.diff(bounds)) if len(run) else docs
     hit = order[docs[order] > least]
     start = frame["start"].to_numpy()[row[hit]] + shift[hit]
@@ -419,7 +372,7 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
     buckets = max(partitions(docs), -(-total // BUCKET_BYTES))
     places = (
         keyed.select("doc", "print", "text")
-        .mapInArrow(_deal(buckets), _ddl("hashes", "places", "left", "right"))
+        .mapInArrow(_deal(buckets), packed_ddl("hashes", "places", "left", "right"))
         .groupBy("bucket")
         .applyInPandas(_shared, _PLACES)
         .groupBy("doc", "print")
@@ -442,7 +395,7 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
     touched = texts.where("places is not null")
     found = keep(
         touched.select("doc", "print", "text", "places")
-        .mapInArrow(_stretches(buckets), _ddl("anchor", "body", "start", "strings"))
+        .mapInArrow(_stretches(buckets), packed_ddl("anchor", "body", "start", "strings"))
         .groupBy("bucket")
         .applyInPandas(_compare, _FOUND),
         "repeat-stretches",
