@@ -9,18 +9,19 @@ subsets of 2 parts instead, of which similar sets share at least one.
 1. Equal sets collapse to a class, combined before the shuffle, so copies cost nothing from here on.
 2. Classes with too few signatures that any other class has cannot have a partner, and leave. Signatures travel packed,
    with 32-bit hashes; clashes only let more classes stay.
-3. Classes that share signatures form families (components of the links to the smallest class of each signature).
-4. A family's sets meet once, in blocks of at most ``CHUNK`` against ``CHUNK`` sets, however large it is. Exact overlaps
-   are counted inside a block by inverted lists; a block returns link counts and a spanning forest of its links, never
-   its pairs.
+3. The classes left are dealt into chunks of about ``CHUNK``: each goes with the leader (smallest class of a signature)
+   that most of its signatures have, so near copies meet in one chunk, and larger crowds are cut.
+4. A class visits another chunk only if enough of its signatures occur there. Each pair of chunks is one block, in
+   which exact overlaps are counted by inverted lists; a block returns link counts and a spanning forest of its links,
+   never its pairs.
 5. Components of the forests are the result.
 
-No link is lost: who has a partner shares enough signatures to stay, families are unions of whole signature buckets,
-and all pairs of a family are judged exactly.
+No link is lost: who has a partner shares enough signatures with it to stay and to visit its chunk, and all pairs of
+a block are judged exactly.
 
 Nulls: a null text is empty; empty sets link with nothing and are their own component. Fewer words than n make one
 feature of the whole sequence. Repeated rows are copies: they link with each other. A null ``doc_id`` takes part in
-links, but a component's id is the smallest one that is not null. An empty table gives an empty result. Other columns
+links if an equal set has an id, and a component's id is the smallest one that is not null. An empty table gives an empty result. Other columns
 are ignored.
 """
 
@@ -200,7 +201,7 @@ def _may_link(num: int, den: int) -> Callable:
 
 
 def _sign(num: int, den: int) -> Callable:
-    """(class, signature) of stored sets."""
+    """Class, signature, instance (own 0, next 1) and how many of them partners share there, of stored sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,9 +209,14 @@ def _sign(num: int, den: int) -> Callable:
                 batch = whole.slice(at, 512)
                 raw = batch.column(1).to_pylist()
                 offsets = np.cumsum([0, *(len(x) // 8 for x in raw)])
-                one = batch.column(0).to_numpy()
-                for owner, sig in signatures(np.frombuffer(b"".join(raw), np.uint64), offsets, num, den):
-                    yield pa.RecordBatch.from_arrays([pa.array(one[owner]), pa.array(signed(sig))], names=["a", "sig"])
+                sizes, one = np.diff(offsets), batch.column(0).to_numpy()
+                lows = bands(int(sizes.max(initial=1)), num, den)
+                band = np.searchsorted(lows, sizes, "right") - 1
+                found = signatures(np.frombuffer(b"".join(raw), np.uint64), offsets, num, den)
+                for role, (owner, sig) in enumerate(found):
+                    need = shape(sizes, band + role, lows, num, den)[2]
+                    columns = [one[owner], signed(sig), np.full(len(owner), role), need[owner]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "sig", "role", "need"])
 
     return run
 
@@ -349,27 +355,52 @@ def jaccard_groups(
         .mapInArrow(_own_sets(words), "leader long, copies long, n long, one long, two long, features binary"),
         "jaccard-features",
     )
-    # The first half of a set's name stands for it here; a clash only makes a family larger.
-    rows = sets.select("one", "features").mapInArrow(_sign(num, den), "a long, sig long")
-    leader = F.min("a").over(Window.partitionBy("sig"))
-    families = components(rows.select("a", leader.alias("b")).where("a <> b").distinct())
-    size = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    named_families = families.join(size, "component").select(F.col("node").alias("one"), F.col("component").alias("family"), "size")
-    chunks = F.ceil(F.col("size") / chunk)
+    # The first half of a set's name stands for it here; a clash only makes it visit more blocks.
+    bucket = Window.partitionBy("sig")
+    signed_rows = sets.select("one", "features").mapInArrow(_sign(num, den), "a long, sig long, role long, need long")
+    rows = keep(
+        signed_rows.withColumns({"leader": F.min("a").over(bucket), "most": F.max("a").over(bucket)})
+        .where("leader <> most")
+        .drop("most"),
+        "jaccard-signatures",
+    )
+    home = (
+        rows.groupBy("a", "leader")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("a")
+        .agg(F.max(F.struct("n", "leader")).alias("top"))
+        .select("a", F.xxhash64("top.leader").alias("home"))
+    )
+    crowd = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    bins = -(-sets.count() // chunk)
+    cut = F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / chunk))
+    placed = keep(
+        home.join(crowd, "home").select(
+            "a",
+            F.when(F.col("size") <= chunk, F.pmod("home", F.lit(max(1, bins))))
+            .otherwise(bins + F.pmod(F.xxhash64("home", cut), F.lit(1 << 40)))
+            .alias("chunk"),
+        ),
+        "jaccard-chunks",
+    )
+    there = rows.select("a", "sig", "role", "need").join(placed.hint("merge"), "a")
+    held = there.groupBy("sig", F.col("chunk").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    visits = (
+        there.join(held.hint("merge"), "sig")
+        .where("chunk <> other or n > 1")
+        .groupBy("a", "chunk", "other", "role")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+        .where("n >= need")
+        .select(F.col("a").alias("one"), "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+        .distinct()
+    )
     blocks = (
-        sets.join(named_families.hint("merge"), "one")
-        .select("leader", "copies", "n", "features", "family", F.pmod(F.xxhash64("one", "two"), chunks).alias("chunk"), chunks.alias("chunks"))
-        .withColumn(
-            "pair",
-            F.explode(
-                F.expr("transform(sequence(0L, chunks - 1), c -> struct(least(c, chunk) AS i, greatest(c, chunk) AS j))")
-            ),
-        )
-        .select("leader", "copies", "n", "family", "chunk", "features", "pair.i", "pair.j")
-        .repartition(partitions(docs), "family", "i", "j")
+        sets.join(visits.hint("merge"), "one")
+        .select("leader", "copies", "n", "chunk", "features", "i", "j")
+        .repartition(partitions(docs), "i", "j")
     )
     judged = keep(
-        blocks.groupBy("family", "i", "j").applyInPandas(_judge(num, den), "a long, b long, partners long"),
+        blocks.groupBy("i", "j").applyInPandas(_judge(num, den), "a long, b long, partners long"),
         "jaccard-links",
     )
     linked = components(judged.select("a", "b")).select(F.col("node").alias("leader"), "component")
