@@ -25,7 +25,7 @@ from haulmark.llm.common import ChunkTable, slices
 # A run of white space is one piece of byte-level pre-tokenization, so a chunk may not touch another white space there.
 _RUN = re.compile(r"\s{2}")
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?|&%$*#]+)(\n?)([A-Za-z]*)")
-TABLE = 600_000  # chunks held by a worker, about 120 MB
+TABLE = 350_000  # chunks held by a worker, about 70 MB
 _packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 

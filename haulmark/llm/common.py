@@ -107,7 +107,7 @@ class ChunkTable(dict):
             self.update(zip(new, self.solve(new), strict=True))
 
 
-def slices(texts: list[str], size: int = 1_000_000) -> Iterable[list[str]]:
+def slices(texts: list[str], size: int = 500_000) -> Iterable[list[str]]:
     """Runs of texts of about ``size`` characters, to bound what is held at a time."""
     run, n = [], 0
     for t in texts:

@@ -44,7 +44,7 @@ def _tokenize(path: str, window: int, piece: int, end_id: int) -> Callable:
         encode = byte_level(path).encode
         for batch in batches:
             doc_ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for some in slices(texts, 4_000_000):
+            for some in slices(texts, 1_000_000):
                 rows = []
                 for doc, ids in zip(doc_ids[at : at + len(some)], encode(some)):
                     ids += tail

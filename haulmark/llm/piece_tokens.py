@@ -90,7 +90,7 @@ def _round_trip(path: str) -> Callable:
         pieces = codec(path)
         for batch in batches:
             doc_ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for some in slices(texts, 4_000_000):
+            for some in slices(texts, 1_000_000):
                 ids = pieces.encode(some)
                 yield pa.RecordBatch.from_arrays(
                     [
