@@ -30,8 +30,25 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Hand whole texts to Python in small batches, unless the session has smaller ones.
+
+    The settings count when a plan runs, so they stay set in the session.
+    """
+    conf = df.sparkSession.conf
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        have = int(str(conf.get(name, "0")).lower().rstrip("b") or 0)
+        if not 0 < have <= bound:
+            conf.set(name, bound)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` as long and ``text`` with null as empty, plus the named columns, and nothing else."""
+    small_batches(docs)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

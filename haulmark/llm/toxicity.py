@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.char_grams import fold, held_out, take_by_hash
-from haulmark.llm.common import U64, keep, slices, texts_of
+from haulmark.llm.common import U64, keep, slices, small_batches, texts_of
 
 ORDERS = (3, 4, 5, 6)
 BITS = 21
@@ -178,6 +178,7 @@ def _score(model) -> Callable:
 
 def scored(docs: DataFrame, model: Model, *columns) -> DataFrame:
     """The given columns of every row and the score of its whole text."""
+    small_batches(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
     given = docs.select(text, *columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
