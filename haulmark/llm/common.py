@@ -41,7 +41,7 @@ def small_batches(df: DataFrame) -> None:
     conf = df.sparkSession.conf
     for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        have = int(str(conf.get(name, "0")).lower().rstrip("b") or 0)
+        have = int(str(conf.get(name)).lower().rstrip("b"))
         if not 0 < have <= bound:
             conf.set(name, bound)
 
