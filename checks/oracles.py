@@ -118,7 +118,6 @@ pairs AS (
     + _vincenty("pairs", "sz, cz")
     + """,
 delivered_rate AS (SELECT seller_id, count(*) FILTER (is_late) / count(*) AS rate FROM facts GROUP BY 1),
-open_rate AS (SELECT seller_id, count(*) FILTER (is_late) / count(*) AS rate FROM every_order GROUP BY 1),
 located AS (
   SELECT e.*, p.lat AS seller_lat, p.lng AS seller_lng, q.lat AS customer_lat, q.lng AS customer_lng,
     km AS distance_km, isodow(purchase_timestamp) - 1 AS day_of_week, month(purchase_timestamp) AS month,
@@ -130,7 +129,7 @@ enriched AS (
   SELECT located.*, rate AS seller_historical_delay_rate
   FROM located LEFT JOIN delivered_rate USING (seller_id) WHERE order_status = 'delivered'),
 enriched_all AS (
-  SELECT located.*, rate AS seller_historical_delay_rate FROM located LEFT JOIN open_rate USING (seller_id))
+  SELECT located.*, rate AS seller_historical_delay_rate FROM located LEFT JOIN delivered_rate USING (seller_id))
 """
 )
 
@@ -177,7 +176,7 @@ CLEAN_COLUMNS = """order_id, customer_id, purchase_timestamp, delivered_timestam
 
 LISTING = """SELECT order_id, seller_id, seller_state, customer_state, category_name, is_late,
   round(delay_days, 6) AS delay_days, CAST(freight_value AS DOUBLE) AS freight_value,
-  CAST(NULL AS DOUBLE) AS distance_km, purchase_timestamp, delivered_timestamp FROM facts"""
+  round(distance_km, 3) AS distance_km, purchase_timestamp, delivered_timestamp FROM enriched"""
 
 DETAILS = """order_id, seller_id, coalesce(seller_state, '') AS seller_state,
   coalesce(customer_state, '') AS customer_state, category_name, is_late, round(delay_days, 6) AS delay_days,
@@ -472,27 +471,28 @@ ORACLES = {
         purchase_timestamp, delivered_timestamp, 'delivered' AS order_status FROM enriched""",
     ),
     "labelled_scan": _q(
-        FACTS,
-        """SELECT order_id, purchase_timestamp, category_name, seller_state,
-        CAST(freight_value AS DOUBLE) AS freight_value, CAST(price AS DOUBLE) AS price, is_late FROM facts""",
+        ENRICHED,
+        """SELECT order_id, purchase_timestamp, round(distance_km, 3) AS distance_km,
+        round(seller_historical_delay_rate, 6) AS seller_historical_delay_rate, day_of_week, month, category_name,
+        seller_state, freight_value, price, is_late FROM enriched""",
     ),
-    "shipments_late": _q(FACTS, f"{LISTING} WHERE is_late"),
-    "shipments_by_state": _q(FACTS, f"{LISTING} WHERE seller_state = 'N7'"),
+    "shipments_late": _q(ENRICHED, f"{LISTING} WHERE is_late"),
+    "shipments_by_state": _q(ENRICHED, f"{LISTING} WHERE seller_state = 'N7'"),
     "shipments_date_range": _q(
-        FACTS,
+        ENRICHED,
         f"{LISTING} WHERE purchase_timestamp BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'",
     ),
     "shipments_search": _q(
-        FACTS, f"{LISTING} WHERE NOT is_late AND (order_id ILIKE '%42%' OR seller_id ILIKE '%42%')"
+        ENRICHED, f"{LISTING} WHERE NOT is_late AND (order_id ILIKE '%42%' OR seller_id ILIKE '%42%')"
     ),
-    "shipments_category": _q(FACTS, f"{LISTING} WHERE is_late AND category_name = 'small'"),
+    "shipments_category": _q(ENRICHED, f"{LISTING} WHERE is_late AND category_name = 'small'"),
     "shipments_page": _q(
-        FACTS,
-        f"SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts {NEWEST} LIMIT 50 OFFSET 100",
+        ENRICHED,
+        f"SELECT {DETAILS}, round(distance_km, 3) AS distance_km FROM enriched {NEWEST} LIMIT 50 OFFSET 100",
     ),
     "shipments_page_after": _q(
-        FACTS,
-        f"""SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts
+        ENRICHED,
+        f"""SELECT {DETAILS}, round(distance_km, 3) AS distance_km FROM enriched
         WHERE purchase_timestamp < TIMESTAMP '1997-06-01'
           OR (purchase_timestamp = TIMESTAMP '1997-06-01' AND order_id > '5') {NEWEST} LIMIT 50""",
     ),
@@ -501,14 +501,14 @@ ORACLES = {
         "SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS total_pages FROM facts WHERE is_late",
     ),
     "seller_shipments_page": _q(
-        FACTS,
-        f"SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts WHERE seller_id = '7' {NEWEST} LIMIT 20",
+        ENRICHED,
+        f"SELECT {DETAILS}, round(distance_km, 3) AS distance_km FROM enriched WHERE seller_id = '7' {NEWEST} LIMIT 20",
     ),
     "shipment_lookup": _q(
-        FACTS, f"SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km FROM facts WHERE order_id = '1'"
+        ENRICHED, f"SELECT {DETAILS}, round(distance_km, 3) AS distance_km FROM enriched WHERE order_id = '1'"
     ),
     "shipments_export": _q(
-        FACTS,
+        ENRICHED,
         f"""SELECT * REPLACE (coalesce(seller_state, '') AS seller_state, coalesce(customer_state, '') AS customer_state,
         coalesce(category_name, '') AS category_name) FROM ({LISTING}) WHERE seller_state = 'N3'""",
     ),
@@ -641,9 +641,9 @@ ORACLES = {
         FROM scored WHERE is_late {NEWEST} LIMIT 50 OFFSET 50""",
     ),
     "unscored_listing": _q(
-        FACTS,
-        f"""SELECT {DETAILS}, CAST(NULL AS DOUBLE) AS distance_km, CAST(NULL AS DOUBLE) AS prediction_probability
-        FROM facts {NEWEST} LIMIT 10""",
+        ENRICHED,
+        f"""SELECT {DETAILS}, round(distance_km, 3) AS distance_km, CAST(NULL AS DOUBLE) AS prediction_probability
+        FROM enriched {NEWEST} LIMIT 10""",
     ),
     "confusion_metrics": _q(
         SCORED,

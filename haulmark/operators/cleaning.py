@@ -25,10 +25,15 @@ def keep_first(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     """One row per key: the first in ``order_by``.
 
     An aggregate rather than a window, so copies of a key are dropped before the shuffle and a
-    key with very many copies never gathers in one task.
+    key with very many copies never gathers in one task. The key stays the grouping column, so
+    filters on it reach the scan and later joins on it need no further shuffle.
     """
-    first = F.min_by(F.struct(*df.columns), F.struct(*order_by))
-    return df.groupBy(key).agg(first.alias("_row")).select("_row.*")
+    others = [c for c in df.columns if c != key]
+    if not others:
+        return df.distinct()
+    first = F.min_by(F.struct(*others), F.struct(*order_by))
+    rows = df.groupBy(key).agg(first.alias("_row"))
+    return rows.select(*[F.col(c) if c == key else F.col(f"_row.{c}") for c in df.columns])
 
 
 def parse_timestamps(df: DataFrame, columns: list[str] = ORDER_TIMESTAMPS) -> DataFrame:

@@ -34,7 +34,7 @@ DISTANCE_STEP = 0.1
 def require_training_rows(df: DataFrame, minimum: int = MIN_ROWS) -> DataFrame:
     found = df.limit(minimum).count()
     if found < minimum:
-        raise ValueError(f"DataFrame has only {found} rows; at least {minimum} required for training.")
+        raise ValueError(f"Too few labelled shipments to fit a model: {found}, where {minimum} are needed.")
     return df
 
 

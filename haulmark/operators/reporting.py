@@ -15,9 +15,6 @@ WEEK = dt.timedelta(days=7)
 # --- Fixed values: list sizes and text widths of the report. -----------------------------
 CRITICAL_SELLERS = 5
 FLAGGED_ROWS = 200
-SELLER_WIDTH = 16
-ORDER_CUT = 20
-FLAGGED_SELLER_CUT = 14
 CATEGORY_CUT = 24
 
 
@@ -84,7 +81,7 @@ def critical_sellers(shipments: DataFrame, week: times.Day, top_n: int = CRITICA
     )
     worst = grouped.orderBy(F.desc(F.col("late") / F.col("total")), "seller_id", "seller_state").limit(top_n)
     return worst.select(
-        labels.shorten(F.col("seller_id"), SELLER_WIDTH).alias("seller_id"),
+        "seller_id",
         labels.text_or(F.col("seller_state")).alias("state"),
         "total",
         "late",
@@ -100,8 +97,8 @@ def late_of_week(shipments: DataFrame, week: times.Day, limit: int = FLAGGED_ROW
     rows = within(shipments, monday, monday + WEEK).where(F.col("is_late"))
     worst = rows.orderBy(F.desc_nulls_last("delay_days"), "order_id").limit(limit)
     return worst.select(
-        F.substring("order_id", 1, ORDER_CUT).alias("order_id"),
-        F.substring("seller_id", 1, FLAGGED_SELLER_CUT).alias("seller_id"),
+        "order_id",
+        "seller_id",
         labels.text_or(F.col("seller_state")).alias("seller_state"),
         labels.text_or(F.col("customer_state")).alias("cust_state"),
         F.substring(labels.text_or(F.col("category_name")), 1, CATEGORY_CUT).alias("category"),

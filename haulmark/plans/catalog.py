@@ -371,8 +371,19 @@ def all_orders_scan(t: Tables) -> DataFrame:
 
 @query
 def labelled_scan(t: Tables) -> DataFrame:
-    facts = t.facts("product", "seller")
-    return facts.select("order_id", "purchase_timestamp", "category_name", "seller_state", "freight_value", "price", "is_late")
+    return t.enriched().select(
+        "order_id",
+        "purchase_timestamp",
+        F.round("distance_km", 3).alias("distance_km"),
+        F.round("seller_historical_delay_rate", 6).alias("seller_historical_delay_rate"),
+        "day_of_week",
+        "month",
+        "category_name",
+        "seller_state",
+        "freight_value",
+        "price",
+        "is_late",
+    )
 
 
 @query
@@ -381,7 +392,7 @@ def shipments_late(t: Tables) -> DataFrame:
 
 
 def _listing(t: Tables) -> DataFrame:
-    return t.facts("product", "seller", "customer").select(
+    return t.enriched().select(
         "order_id",
         "seller_id",
         "seller_state",
@@ -390,7 +401,7 @@ def _listing(t: Tables) -> DataFrame:
         "is_late",
         "delay_days",
         "freight_value",
-        F.lit(None).cast("double").alias("distance_km"),
+        F.round("distance_km", 3).alias("distance_km"),
         "purchase_timestamp",
         "delivered_timestamp",
     )

@@ -8,12 +8,13 @@ from haulmark.operators import cleaning as c
 from haulmark.operators import enrichment as e
 from haulmark.operators.lookups import lookup_derived
 
-def enrich_facts(facts: DataFrame, sources: c.Sources) -> DataFrame:
+def enrich_facts(facts: DataFrame, sources: c.Sources, history: DataFrame | None = None) -> DataFrame:
     """Dimensions and features for order facts, joined in the order that moves the fewest rows.
 
     Coordinates are attached to the seller and customer tables before those meet the facts,
-    and the seller history is aggregated from the facts before they widen. Both the history
-    and the final join read ``facts``, so a job passes in a stored frame.
+    and the seller history is aggregated before the facts widen: from ``history``, which must be
+    delivered orders, since others count as on time. It defaults to ``facts``. Both the history
+    and the final join read their frame, so a job passes in a stored one.
     """
     zips = e.zip_coordinates(sources["geolocation"])
     joined = c.with_dimensions(
@@ -23,7 +24,7 @@ def enrich_facts(facts: DataFrame, sources: c.Sources) -> DataFrame:
         e.located(sources["customers"], zips, "customer"),
     )
     return (
-        lookup_derived(joined, e.seller_delay_rates(facts), "seller_id", "order_id")
+        lookup_derived(joined, e.seller_delay_rates(facts if history is None else history), "seller_id", "order_id")
         .transform(e.with_distance)
         .transform(e.with_calendar)
         .transform(e.with_cost_per_km)
@@ -32,7 +33,8 @@ def enrich_facts(facts: DataFrame, sources: c.Sources) -> DataFrame:
 
 def enriched_shipments(sources: c.Sources, order_by: list[str], delivered: bool = True) -> DataFrame:
     """Cleaned and enriched shipments as one lazy plan."""
-    return enrich_facts(c.order_facts(sources, order_by, delivered), sources)
+    facts = c.order_facts(sources, order_by, delivered)
+    return enrich_facts(facts, sources, None if delivered else c.delivered_only(facts))
 
 
 def shipments_with(
