@@ -189,7 +189,8 @@ COPIED = (
     + """,
 copied AS (
   SELECT order_id, customer_id, order_status, 0 AS copy FROM src_orders
-  UNION ALL SELECT order_id, customer_id, 'canceled', 1 FROM src_orders WHERE order_status <> 'delivered'
+  UNION ALL SELECT order_id, customer_id, CASE order_status WHEN 'created' THEN 'delivered' ELSE 'canceled' END, 1
+  FROM src_orders WHERE order_status <> 'delivered'
   UNION ALL SELECT NULL, customer_id, order_status, 1 FROM src_orders WHERE order_status = 'created')
 """
 )
@@ -260,7 +261,7 @@ REQUESTS = (
     SOURCES
     + """,
 requests AS (
-  SELECT freight_value * 10 - 20 AS distance_km, CASE WHEN order_item_id <> 3 THEN 'small' END AS category_name,
+  SELECT concat_ws('-', order_id, order_item_id, product_id, seller_id) AS request_id, freight_value * 10 - 20 AS distance_km, CASE WHEN order_item_id <> 3 THEN 'small' END AS category_name,
     order_item_id AS day_of_week, coalesce(CASE WHEN order_item_id <> 2 THEN order_item_id * 2 END, 1) AS month,
     freight_value, price,
     coalesce(CASE WHEN order_item_id <> 5 THEN price / 80000 END, 0.1) AS seller_historical_delay_rate
@@ -323,9 +324,11 @@ ORACLES = {
         COPIED,
         """SELECT count(*) AS raw_rows, count(*) FILTER (order_id IS NULL) AS null_key_rows,
         count(order_id) - count(DISTINCT order_id) AS duplicate_rows, count(DISTINCT order_id) AS orders,
-        count(DISTINCT order_id) FILTER (order_status = 'delivered') AS delivered_orders,
-        round(100 * count(DISTINCT order_id) FILTER (order_status = 'delivered') / count(DISTINCT order_id), 6)
-          AS delivered_pct FROM copied""",
+        count(*) FILTER (kept AND order_status = 'delivered') AS delivered_orders,
+        round(100 * count(*) FILTER (kept AND order_status = 'delivered') / count(DISTINCT order_id), 6)
+          AS delivered_pct
+        FROM (SELECT *, order_id IS NOT NULL
+          AND row_number() OVER (PARTITION BY order_id ORDER BY copy, order_status) = 1 AS kept FROM copied)""",
     ),
     "late_audit": _q(
         FACTS,
@@ -468,7 +471,7 @@ ORACLES = {
         ENRICHED,
         """SELECT order_id, seller_id, seller_state, customer_state, round(distance_km, 3) AS distance_km,
         round(delay_days, 6) AS delay_days, is_late, CAST(freight_value AS DOUBLE) AS freight_value, category_name,
-        purchase_timestamp, delivered_timestamp, 'delivered' AS order_status FROM enriched""",
+        purchase_timestamp, delivered_timestamp, order_status FROM enriched_all""",
     ),
     "labelled_scan": _q(
         ENRICHED,
@@ -675,13 +678,12 @@ ORACLES = {
           CAST(sum(support) AS BIGINT) FROM per_class""",
     ),
     "input_violations": _q(
-        REQUESTS, "SELECT violations, month, count(*) AS n FROM checked GROUP BY 1, 2"
+        REQUESTS, "SELECT request_id, CAST(month AS BIGINT) AS month, violations FROM checked"
     ),
     "scored_requests": _q(
         REQUESTS,
-        f"""SELECT {RISK.format(p='p')} AS risk_level, p >= 0.5 AS predicted_late, count(*) AS n,
-        round(avg(p), 6) AS avg_probability
-        FROM (SELECT {SCORE} AS p FROM checked WHERE violations = '') GROUP BY 1, 2""",
+        f"""SELECT request_id, p >= 0.5 AS predicted_late, {RISK.format(p='p')} AS risk_level
+        FROM (SELECT request_id, {SCORE} AS p FROM checked WHERE violations = '')""",
     ),
     "active_model": _q(VERSIONS, "SELECT * FROM active"),
     "retrain_trigger": _q(VERSIONS, DECISION.format(minimum=1_000_000_000)),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def money(value: Column) -> Column:
-    """Two-decimal amount; unreadable or missing amounts become 0."""
-    return F.coalesce(value.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    """Two-decimal amount; unreadable or missing amounts become 0, those that do not fit become NULL."""
+    number = value.try_cast("double")
+    unreadable = number.isNull() | F.isnan(number)
+    return F.when(unreadable, F.lit(0).cast("decimal(18,2)")).otherwise(value.try_cast("decimal(18,2)"))
 
 
 def mean(value: Column, where: Column | None = None) -> Column:

@@ -137,9 +137,9 @@ def kpi_rows(df: DataFrame) -> DataFrame:
     return df.select(*KPI_COLUMNS)
 
 
-def delivered_rows(df: DataFrame) -> DataFrame:
-    """KPI rows under a constant status, the form a table of delivered shipments only can give."""
-    return kpi_rows(df).withColumn("order_status", F.lit("delivered"))
+def all_order_rows(df: DataFrame) -> DataFrame:
+    """KPI rows of orders of every status, with that status."""
+    return df.select(*KPI_COLUMNS, "order_status")
 
 
 def in_transit(df: DataFrame, limit: int | None = None) -> DataFrame:

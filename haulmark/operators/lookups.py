@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
 
 def lookup_stored(rows: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     """Left join to a lookup that is read straight from storage.
@@ -25,14 +23,15 @@ def lookup_derived(rows: DataFrame, lookup: DataFrame, on: str, spread_by: str)
     """Left join to a lookup that was itself aggregated by ``on``.
 
     Such a lookup is already partitioned by the key, which would pin every row of a hot key to
-    one task. Rows are spread over ``SALTS`` sub-keys by the hash of ``spread_by`` and the
-    lookup, one row per key, is repeated for each of them.
+    one task. Rows are spread over sub-keys by the hash of ``spread_by``, half as many as there
+    are shuffle partitions, and the lookup, one row per key, is repeated for each of them.
     """
+    salts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     salted = lookup.where(F.col(on).isNotNull()).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     return (
-        rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
+        rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(salts)))
         .join(salted, [on, "_salt"], "left")
         .drop("_salt")
     )

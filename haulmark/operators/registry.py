@@ -32,17 +32,16 @@ def retrain_decision(
     ``late_rate_drift`` is the gap between the stored accuracy and the recent on-time share, a
     stand-in for accuracy on fresh rows.
     """
-    active = active_version(versions)
-    trained_at = active.select("trained_at").scalar()
+    active = active_version(versions).select(F.struct("version", "accuracy", "trained_at")).scalar()
     now = F.lit(as_of).cast("timestamp_ntz")
     recent = F.col("purchase_timestamp") >= now - F.make_dt_interval(days=F.lit(RECENT_DAYS))
     figures = shipments.agg(
-        F.count_if(F.col("created_at") > trained_at).alias("new_rows"),
+        F.count_if(F.col("created_at") > active["trained_at"]).alias("new_rows"),
         F.count_if(recent).alias("recent_rows"),
         numbers.mean(F.col("is_late").cast("int"), where=recent).alias("recent_late_rate"),
     ).select(
-        active.select("version").scalar().alias("active_version"),
-        active.select("accuracy").scalar().alias("stored_accuracy"),
+        active["version"].alias("active_version"),
+        active["accuracy"].alias("stored_accuracy"),
         "new_rows",
         "recent_rows",
         "recent_late_rate",

@@ -64,8 +64,8 @@ def week_otif_trend(shipments: DataFrame, week: times.Day, weeks: int = 8, bound
     )
 
 
-def critical_sellers(shipments: DataFrame, week: times.Day, top_n: int = CRITICAL_SELLERS) -> DataFrame:
-    """Sellers with at least two orders in the week, highest late share first."""
+def critical_sellers(shipments: DataFrame, week: times.Day, top_n: int | None = CRITICAL_SELLERS) -> DataFrame:
+    """Sellers with at least two orders in the week, highest late share first; all of them without ``top_n``."""
     monday = times.monday_of(week)
     delay = F.col("delay_days")
     grouped = (
@@ -79,7 +79,9 @@ def critical_sellers(shipments: DataFrame, week: times.Day, top_n: int = CRITICA
         )
         .where(F.col("total") >= 2)
     )
-    worst = grouped.orderBy(F.desc(F.col("late") / F.col("total")), "seller_id", "seller_state").limit(top_n)
+    worst = grouped.orderBy(F.desc(F.col("late") / F.col("total")), "seller_id", "seller_state")
+    if top_n is not None:
+        worst = worst.limit(top_n)
     return worst.select(
         "seller_id",
         labels.text_or(F.col("seller_state")).alias("state"),
@@ -91,11 +93,13 @@ def critical_sellers(shipments: DataFrame, week: times.Day, top_n: int = CRITICA
     )
 
 
-def late_of_week(shipments: DataFrame, week: times.Day, limit: int = FLAGGED_ROWS) -> DataFrame:
-    """The week's late shipments, longest delay first."""
+def late_of_week(shipments: DataFrame, week: times.Day, limit: int | None = FLAGGED_ROWS) -> DataFrame:
+    """The week's late shipments, longest delay first; all of them without ``limit``."""
     monday = times.monday_of(week)
     rows = within(shipments, monday, monday + WEEK).where(F.col("is_late"))
-    worst = rows.orderBy(F.desc_nulls_last("delay_days"), "order_id").limit(limit)
+    worst = rows.orderBy(F.desc_nulls_last("delay_days"), "order_id")
+    if limit is not None:
+        worst = worst.limit(limit)
     return worst.select(
         "order_id",
         "seller_id",

@@ -62,7 +62,8 @@ class Tables:
         """Orders plus a later, changed copy of every unfinished one and some without a key."""
         raw = self.sources["orders"].withColumn("copy", F.lit(0))
         open_orders = raw.where(F.col("order_status") != "delivered").withColumn("copy", F.lit(1))
-        changed = open_orders.withColumn("order_status", F.lit("canceled"))
+        later = F.when(F.col("order_status") == "created", "delivered").otherwise("canceled")
+        changed = open_orders.withColumn("order_status", later)
         lost = open_orders.where(F.col("order_status") == "created").withColumn("order_id", F.lit(None).cast("string"))
         return raw.unionByName(changed).unionByName(lost)
 
@@ -171,7 +172,7 @@ def coercion_audit(t: Tables) -> DataFrame:
 
 @query
 def clean_audit(t: Tables) -> DataFrame:
-    return audit.order_audit(t.copied_orders())
+    return audit.order_audit(t.copied_orders(), ["copy", "order_status"])
 
 
 @query
@@ -366,7 +367,7 @@ def kpi_scan(t: Tables) -> DataFrame:
 
 @query
 def all_orders_scan(t: Tables) -> DataFrame:
-    return browse.delivered_rows(t.enriched()).withColumn("distance_km", F.round("distance_km", 3))
+    return browse.all_order_rows(t.enriched(delivered=False)).withColumn("distance_km", F.round("distance_km", 3))
 
 
 @query
@@ -659,19 +660,13 @@ def _requests(t: Tables) -> DataFrame:
 @query
 def input_violations(t: Tables) -> DataFrame:
     checked = audit.input_violations(_requests(t))
-    return (
-        checked.withColumn("violations", F.array_join("violations", ","))
-        .groupBy("violations", "month")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return checked.select("request_id", "month", F.array_join("violations", ",").alias("violations"))
 
 
 @query
 def scored_requests(t: Tables) -> DataFrame:
     answered, _ = scoring.score_requests(_requests(t), sample_scorer, 0.5)
-    return answered.groupBy("risk_level", "predicted_late").agg(
-        F.count(F.lit(1)).alias("n"), numbers.mean(F.col("delay_probability")).alias("avg_probability")
-    )
+    return answered.select("request_id", "predicted_late", "risk_level")
 
 
 # --- model registry -------------------------------------------------------------------------

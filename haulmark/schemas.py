@@ -88,8 +88,8 @@ SHIPMENTS = [
     ("purchase_timestamp", "timestamp_ntz", True),
     ("delivered_timestamp", "timestamp_ntz", True),
     ("estimated_delivery", "timestamp_ntz", True),
-    ("price", "decimal(10,2)", False),
-    ("freight_value", "decimal(10,2)", False),
+    ("price", "decimal(18,2)", False),
+    ("freight_value", "decimal(18,2)", False),
     ("payment_value", "decimal(18,2)", True),
     ("delay_days", "double", True),
     ("is_late", "boolean", False),
@@ -105,6 +105,35 @@ SHIPMENTS = [
     ("review_score", "smallint", True),
 ]
 
+REJECTED = [(name, kind, True) for name, kind, _ in SHIPMENTS] + [("reject_reason", "string", True)]
+
+ALL_ORDERS = [
+    ("order_id", "string", False),
+    ("customer_id", "string", True),
+    ("order_status", "string", True),
+    ("purchase_timestamp", "timestamp_ntz", True),
+    ("delivered_timestamp", "timestamp_ntz", True),
+    ("estimated_delivery", "timestamp_ntz", True),
+    ("seller_id", "string", True),
+    ("delay_days", "double", True),
+    ("is_late", "boolean", True),
+]
+
+OPEN_SHIPMENTS = [
+    ("order_status", "string", True),
+    ("purchase_timestamp", "timestamp_ntz", True),
+    ("delivered_timestamp", "timestamp_ntz", True),
+    *[
+        (name, kind, True)
+        for name, kind, _ in SHIPMENTS
+        if name
+        in (
+            "order_id", "seller_id", "category_name", "seller_state", "customer_state", "distance_km",
+            "seller_historical_delay_rate", "day_of_week", "month", "freight_value", "price", "estimated_delivery",
+        )
+    ],
+]
+
 KPI_DAILY = [
     ("date", "date", False),
     ("otif_rate", "double", True),

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from haulmark.functions import numbers
 from haulmark.operators import audit, cleaning
 from haulmark.schemas import SOURCE_FILES
 from haulmark.sources import csv_files
@@ -72,7 +73,7 @@ def test_clean_shipments(sources):
 
 
 def test_audits(sources):
-    counts = audit.order_audit(sources["orders"]).first()
+    counts = audit.order_audit(sources["orders"], csv_files.ORDINAL).first()
     assert (counts.raw_rows, counts.null_key_rows, counts.duplicate_rows, counts.orders) == (6, 1, 1, 4)
     lost = audit.coercion_audit(sources["orders"], ["order_delivered_customer_date", "order_approved_at"])
     assert {r.column_name: r.coerced_to_null for r in lost.collect()} == {
@@ -83,6 +84,26 @@ def test_audits(sources):
     assert audit.storable(shipments).count() == 2
 
 
+def test_audit_follows_the_copy_that_is_kept(spark):
+    rows = [("a", "shipped", 1), ("a", "delivered", 2), ("b", "delivered", 1), ("b", "canceled", 2)]
+    raw = spark.createDataFrame(rows, "order_id string, order_status string, n int")
+    counts = audit.order_audit(raw, ["n"]).first()
+    assert (counts.orders, counts.duplicate_rows, counts.delivered_orders) == (2, 2, 1)
+
+
+def test_large_amounts_stay_and_those_that_do_not_fit_are_rejected(spark):
+    ddl = "order_id string, price string"
+    amounts = [("big", "250000000.25"), ("none", None), ("text", "abc"), ("nan", "NaN"), ("over", "1" * 20)]
+    priced = spark.createDataFrame(amounts, ddl).withColumn("price", numbers.money(F.col("price")))
+    assert {r.order_id: r.price and float(r.price) for r in priced.collect()} == {
+        "big": 250000000.25, "none": 0.0, "text": 0.0, "nan": 0.0, "over": None,
+    }
+    given = {"customer_id": F.lit("c"), "seller_id": F.lit("s"), "freight_value": F.lit(1.0), "is_late": F.lit(False)}
+    shipments = priced.withColumns(given)
+    assert {r.order_id for r in audit.storable(shipments).collect()} == {"big", "none", "text", "nan"}
+    assert [(r.order_id, r.reject_reason) for r in audit.rejected(shipments).collect()] == [("over", "price")]
+
+
 def test_offsets_convert_to_utc(spark):
     df = spark.createDataFrame([("2018-01-01T22:00:00-03:00",)], "order_purchase_timestamp string")
     assert cleaning.parse_timestamps(df).first()[0] == dt.datetime(2018, 1, 2, 1)
