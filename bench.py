@@ -60,7 +60,7 @@ def main() -> None:
     sources = star.StarSources(spark, FOLDER)
     seconds = {"etl": timed(lambda: jobs.run_etl(spark, sources, star.ORDINAL, root, "2024-01-01 00:00:00"))}
 
-    shipments, orders = jobs.shipments_table(spark, root).read(), spark.read.parquet(f"{root}/all_orders")
+    shipments, orders = jobs.shipments_table(spark, root).read(), jobs.all_orders_table(spark, root).read()
     stored = {
         "stored_kpi_summary": lambda: noop(kpi.kpi_summary(shipments, orders)),
         "stored_seller_scorecard": lambda: noop(kpi.ranked_scorecard(shipments)),

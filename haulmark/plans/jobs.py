@@ -14,12 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.functions.times import Day, monday_of
+from haulmark.functions.times import Day, monday_of, utc_date
 from haulmark.operators import aggregates, audit, browse, cleaning, registry, reporting, scoring
 from haulmark.operators import evaluation as ev
 from haulmark.operators.forest import ForestModel, Training, train_model
 from haulmark.plans.shipments import enrich_facts
-from haulmark.schemas import DEFAULT_THRESHOLD, KPI_DAILY, SELLER_STATS, SHIPMENTS
+from haulmark.schemas import ALL_ORDERS, DEFAULT_THRESHOLD, KPI_DAILY, OPEN_SHIPMENTS, REJECTED, SELLER_STATS, SHIPMENTS
 from haulmark.session import build_session, pin_utc
 from haulmark.sources import csv_files
 from haulmark.sources.stored import StoredTable
@@ -38,13 +38,40 @@ def seller_stats_table(spark: SparkSession, root: str) -> StoredTable:
     return StoredTable(spark, f"{root}/seller_stats", SELLER_STATS, "seller_id", stamps=("updated_at",))
 
 
+def rejected_table(spark: SparkSession, root: str) -> StoredTable:
+    return StoredTable(spark, f"{root}/rejected", REJECTED, "order_id")
+
+
+def all_orders_table(spark: SparkSession, root: str) -> StoredTable:
+    return StoredTable(spark, f"{root}/all_orders", ALL_ORDERS, "order_id")
+
+
+def open_shipments_table(spark: SparkSession, root: str) -> StoredTable:
+    return StoredTable(spark, f"{root}/open_shipments", OPEN_SHIPMENTS, "order_id")
+
+
 def load(spark: SparkSession, shipments: DataFrame, root: str, as_of: str) -> dict[str, int]:
-    """Merge stored shipments and both aggregates; rows that break a constraint are written aside."""
+    """Merge stored shipments; rows that break a constraint are kept aside.
+
+    The days and sellers that gained, lost or changed a shipment get their figures anew from the
+    whole merged table, so loads add up however the shipments were split into batches.
+    """
     good = audit.storable(shipments)
-    shipments_table(spark, root).merge(good, as_of, stored=True)
-    kpi_daily_table(spark, root).merge(aggregates.kpi_daily(good), as_of)
-    seller_stats_table(spark, root).merge(aggregates.seller_stats(good), as_of)
-    audit.rejected(shipments).write.mode("overwrite").parquet(f"{root}/rejected")
+    table = shipments_table(spark, root)
+    places = [utc_date(F.col("purchase_timestamp")).alias("date"), F.col("seller_id")]
+    before = table.read().join(good.select("order_id"), "order_id", "left_semi").select(*places)
+    touched = stage(before.unionByName(good.select(*places)).distinct(), "touched")
+    table.merge(good, as_of, stored=True)
+
+    days = stage(touched.select("date").where("date is not null").distinct(), "days")
+    sellers = stage(touched.select("seller_id").distinct(), "sellers")
+    # Months are bounded by the calendar, so their names may come to the driver.
+    months = [row.m for row in days.select(F.date_format("date", "yyyy-MM").alias("m")).distinct().collect()]
+    of_days = table.read(months).withColumn("date", places[0]).join(days, "date", "left_semi").drop("date")
+    of_sellers = table.read().join(sellers, "seller_id", "left_semi")
+    kpi_daily_table(spark, root).merge(aggregates.kpi_daily(of_days), as_of, replacing=days)
+    seller_stats_table(spark, root).merge(aggregates.seller_stats(of_sellers), as_of, replacing=sellers)
+    rejected_table(spark, root).merge(audit.rejected(shipments), as_of, replacing=shipments.select("order_id"))
     return aggregates.load_summary(good).first().asDict()
 
 
@@ -53,14 +80,21 @@ def run_etl(
 ) -> dict[str, int]:
     """Clean, enrich and load.
 
-    The facts of all statuses and the enriched result are each written once and then reused.
+    The facts of all statuses and the enriched result are each written once and then reused. The
+    seller history is that of the stored shipments and of the batch; shipments stored earlier
+    keep the rate they were loaded with. Open shipments are stored with their features.
     """
     pin_utc(spark)
     facts = stage(cleaning.order_facts(sources, order_by, delivered=False), "facts")
-    enriched = stage(enrich_facts(cleaning.delivered_only(facts), sources), "enriched")
+    delivered, keys = cleaning.delivered_only(facts), facts.select("order_id")
+    known = shipments_table(spark, root).read().join(keys, "order_id", "left_anti")
+    rated = ["seller_id", "is_late"]
+    history = stage(delivered.select(*rated).unionByName(known.select(*rated)), "history")
+    enriched = stage(enrich_facts(delivered, sources, history), "enriched")
     summary = load(spark, enriched, root, as_of)
-    items_only = ["product_id", "price", "freight_value", "payment_value", "review_score"]
-    facts.drop(*items_only).write.mode("overwrite").parquet(f"{root}/all_orders")
+    all_orders_table(spark, root).merge(facts, as_of)
+    under_way = enrich_facts(scoring.active_only(facts), sources, history)
+    open_shipments_table(spark, root).merge(under_way, as_of, replacing=keys)
     return summary
 
 
@@ -120,9 +154,11 @@ def active_model(spark: SparkSession, root: str) -> ForestModel:
     return ForestModel.load(spark, active.storage_path)
 
 
-def run_alerts(spark: SparkSession, root: str, open_shipments: DataFrame, as_of: str) -> dict:
-    """Score open shipments with the active model and write the flagged ones and their totals."""
+def run_alerts(spark: SparkSession, root: str, open_shipments: DataFrame | None, as_of: str) -> dict:
+    """Score open shipments, by default the stored ones, and write the flagged ones and their totals."""
     pin_utc(spark)
+    if open_shipments is None:
+        open_shipments = open_shipments_table(spark, root).read()
     model = active_model(spark, root)
     flagged = stage(
         scoring.flagged_shipments(browse.in_transit(open_shipments), model, as_of, model.threshold), "flagged"
@@ -133,8 +169,17 @@ def run_alerts(spark: SparkSession, root: str, open_shipments: DataFrame, as_of:
     return stats.first().asDict()
 
 
-def run_report(spark: SparkSession, root: str, week: Day | None = None) -> str:
-    """The four report tables of a week, by default the latest with data."""
+def run_report(
+    spark: SparkSession,
+    root: str,
+    week: Day | None = None,
+    sellers: int | None = reporting.CRITICAL_SELLERS,
+    flagged: int | None = reporting.FLAGGED_ROWS,
+) -> str:
+    """The four report tables of a week, by default the latest with data.
+
+    ``sellers`` and ``flagged`` bound the two lists; None writes all their rows.
+    """
     pin_utc(spark)
     if week is None:
         week = reporting.latest_data_date(kpi_daily_table(spark, root).read(), dt.date.today()).first().date
@@ -147,22 +192,25 @@ def run_report(spark: SparkSession, root: str, week: Day | None = None) -> str:
     tables = {
         "metrics": reporting.week_metrics(recent, monday),
         "otif_trend": reporting.week_otif_trend(recent, monday, bounded=True),
-        "critical_sellers": reporting.critical_sellers(recent, monday),
-        "flagged": reporting.late_of_week(recent, monday),
+        "critical_sellers": reporting.critical_sellers(recent, monday, sellers),
+        "flagged": reporting.late_of_week(recent, monday, flagged),
     }
-    for name, table in tables.items():  # a few hundred rows at most
-        table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+    whole = {name for name, bound in (("critical_sellers", sellers), ("flagged", flagged)) if bound is None}
+    for name, table in tables.items():  # lists with a bound have few rows
+        (table if name in whole else table.coalesce(1)).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
     return folder
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["etl", "retrain", "report"])
+    parser.add_argument("job", choices=["etl", "retrain", "alerts", "report"])
     parser.add_argument("--tables", required=True)
     parser.add_argument("--raw")
     parser.add_argument("--as-of", default=dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S"))
     parser.add_argument("--week")
     parser.add_argument("--force", action="store_true")
+    parser.add_argument("--sellers", type=int, default=reporting.CRITICAL_SELLERS, help="0 for all")
+    parser.add_argument("--flagged", type=int, default=reporting.FLAGGED_ROWS, help="0 for all")
     args = parser.parse_args(argv)
     spark = build_session(f"haulmark-{args.job}")
     try:
@@ -171,8 +219,10 @@ def main(argv: list[str] | None = None) -> int:
             result = run_etl(spark, sources, csv_files.ORDINAL, args.tables, args.as_of)
         elif args.job == "retrain":
             result = run_retrain(spark, args.tables, args.as_of, force=args.force)
+        elif args.job == "alerts":
+            result = run_alerts(spark, args.tables, None, args.as_of)
         else:
-            result = run_report(spark, args.tables, args.week)
+            result = run_report(spark, args.tables, args.week, args.sellers or None, args.flagged or None)
     except (FileNotFoundError, ValueError, RuntimeError) as error:
         print(f"{args.job} failed: {error}", file=sys.stderr)
         return 1

@@ -103,11 +103,14 @@ class StoredTable:
         month = F.date_format(self.month_of, "yyyy-MM") if self.month_of else F.lit(WHOLE)
         return F.coalesce(month, F.lit("none")).alias("part")
 
-    def merge(self, rows: DataFrame, as_of: str, stored: bool = False) -> int:
+    def merge(
+        self, rows: DataFrame, as_of: str, stored: bool = False, replacing: DataFrame | None = None
+    ) -> int:
         """Insert new keys and replace existing ones; returns the new version.
 
         ``rows`` must hold each key once; ``stored`` says they are read from files and need not
-        be written once more. Running the same merge again leaves the same rows.
+        be written once more. Old rows go too if ``replacing`` has their key, whether ``rows`` has
+        it or not. Running the same merge again leaves the same rows.
         """
         version = self.version()
         parts = self._parts(version)
@@ -121,8 +124,10 @@ class StoredTable:
             old_keys = self._read(sorted(parts.values())).select(self.key, self._month())
             moved = old_keys.join(new.select(self.key), self.key, "left_semi")
             touched |= {row.part for row in moved.select("part").distinct().collect()}
+        if replacing is not None:
+            touched |= set(parts)
         replaced = sorted(parts[month] for month in touched if month in parts)
-        merged = self._with_old(new, self._read(replaced), as_of) if replaced else self._stamped(new, as_of)
+        merged = self._with_old(new, self._read(replaced), as_of, replacing) if replaced else self._stamped(new, as_of)
 
         folder = f"{self.path}/data/{version + 1:08d}-{uuid.uuid4().hex}"
         # Adaptive rebalancing gathers small months into few files and splits large ones by size.
@@ -137,14 +142,17 @@ class StoredTable:
         now = F.lit(as_of).cast("timestamp_ntz")
         return new.withColumns({name: now for name in self.stamps}) if self.stamps else new
 
-    def _with_old(self, new: DataFrame, old: DataFrame, as_of: str) -> DataFrame:
+    def _with_old(self, new: DataFrame, old: DataFrame, as_of: str, replacing: DataFrame | None) -> DataFrame:
         """Old rows whose key is not replaced, and the new rows with their audit columns."""
         stamped = self._stamped(new, as_of)
         if "created_at" in self.stamps:
             born = old.select(self.key, F.col("created_at").alias("_born"))
             kept = F.coalesce("_born", "created_at")
             stamped = stamped.join(born, self.key, "left").withColumn("created_at", kept).drop("_born")
-        return old.join(new.select(self.key), self.key, "left_anti").unionByName(stamped)
+        keys = new.select(self.key)
+        if replacing is not None:
+            keys = keys.unionByName(replacing.select(self.key))
+        return old.join(keys, self.key, "left_anti").unionByName(stamped)
 
     def _exists(self, path: str) -> bool:
         hadoop, _, fs = self._fs()

@@ -95,8 +95,9 @@ def test_jobs_end_to_end(spark, sources, tmp_path):
     assert jobs.run_etl(spark, sources, csv_files.ORDINAL, root, SECOND) == summary
     stored = {r.order_id: r for r in jobs.shipments_table(spark, root).read().collect()}
     assert set(stored) == {"o1", "o2"} and str(stored["o1"].created_at)[:10] == "2024-01-01"
-    assert [r.order_id for r in spark.read.parquet(f"{root}/rejected").collect()] == ["o4"]
-    assert spark.read.parquet(f"{root}/all_orders").count() == 4
+    assert [r.order_id for r in jobs.rejected_table(spark, root).read().collect()] == ["o4"]
+    assert jobs.all_orders_table(spark, root).read().count() == 4
+    assert [(r.order_id, r.seller_historical_delay_rate) for r in jobs.open_shipments_table(spark, root).read().collect()] == [("o3", 0.5)]
     folder = jobs.run_report(spark, root)
     assert folder.endswith("report/2018-W01")
     metrics = spark.read.option("header", True).csv(f"{folder}/metrics").first()
@@ -107,6 +108,27 @@ def test_jobs_end_to_end(spark, sources, tmp_path):
     assert nothing == {"retrained": False, "new_f1": 0.0, "old_f1": 0.0, "promoted": False}
 
 
+def shipments(spark, rows):
+    ddl = "order_id string, seller_id string, purchase_timestamp timestamp_ntz, is_late boolean, price double"
+    fixed = {"customer_id": F.lit("c"), "seller_state": F.lit("SP"), "freight_value": F.lit(2.0), "delay_days": F.lit(1.0)}
+    return spark.createDataFrame(rows, ddl).withColumns(fixed)
+
+
+def test_two_loads_add_up_to_one(spark, tmp_path):
+    first = [("a", "s", month(1), True, 1.0), ("b", "s", month(1), False, 1.0), ("c", "t", month(2), False, 1.0), ("x", "s", month(1), False, None)]
+    second = [("d", "s", month(1), True, 1.0), ("c", "u", month(3), True, 1.0), ("x", "s", month(1), False, 3.0)]
+    twice, once = str(tmp_path / "twice"), str(tmp_path / "once")
+    jobs.load(spark, shipments(spark, first), twice, FIRST)
+    assert [r.order_id for r in jobs.rejected_table(spark, twice).read().collect()] == ["x"]
+    jobs.load(spark, shipments(spark, second), twice, SECOND)
+    jobs.load(spark, shipments(spark, first[:2] + second), once, FIRST)
+    for table in (jobs.kpi_daily_table, jobs.seller_stats_table, jobs.rejected_table):
+        rows = [sorted(map(str, table(spark, root).read().drop("updated_at").collect())) for root in (twice, once)]
+        assert rows[0] == rows[1]
+    assert {r.seller_id: r.total_orders for r in jobs.seller_stats_table(spark, twice).read().collect()} == {"s": 4, "u": 1}
+    assert jobs.rejected_table(spark, twice).read().count() == 0
+
+
 def test_retrain_promotes_only_a_better_model(spark, tmp_path):
     root = str(tmp_path)
     n = F.col("id")
