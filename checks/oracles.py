@@ -606,10 +606,9 @@ ORACLES = {
     ),
     "stratified_split": _q(
         FACTS,
-        """SELECT 'test' AS part, CAST(is_late AS BIGINT) AS label, CAST(round(0.2 * count(*)) AS BIGINT) AS n
-        FROM facts GROUP BY is_late
-        UNION ALL SELECT 'train', CAST(is_late AS BIGINT), count(*) - CAST(round(0.2 * count(*)) AS BIGINT)
-        FROM facts GROUP BY is_late""",
+        """SELECT order_id, CAST(is_late AS BIGINT) AS label,
+        CASE WHEN row_number() OVER (PARTITION BY is_late ORDER BY md5(order_id || '-42'))
+          <= round(0.2 * count(*) OVER (PARTITION BY is_late)) THEN 'test' ELSE 'train' END AS part FROM facts""",
     ),
     "holdout_tail": _q(
         FACTS,

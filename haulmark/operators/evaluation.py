@@ -13,6 +13,8 @@ HOLDOUT_SHARE = 0.10
 HOLDOUT_MIN = 50
 SCORE_STEPS = 10_000
 OLDEST = "0001-01-01 00:00:00"
+OPENED = 100_000  # rows that one task may sort to find a cut
+PREFIX = 3  # characters added at each further narrowing
 
 
 def stratified_split(
@@ -20,12 +22,12 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test frames with ``fraction`` of every class in test.
 
-    Each class is cut at one exact hash value, found from a histogram of at most 65,536
+    Each class is cut at one exact md5 of key and seed, found from a histogram of at most 65,536
     buckets per class, so the split itself is a row-local filter that gives the same rows on
-    every run and needs no sort.
+    every run and in every engine, and needs no sort.
     """
-    digest = F.xxhash64(F.col(key), F.lit(seed))
-    bucket = F.shiftright(digest, 48)
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
+    bucket = F.substring(digest, 1, 4)
     sizes = df.groupBy(F.col(label).alias("y"), bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     lower = W.partitionBy("y").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     ranked = sizes.select(
@@ -49,21 +51,30 @@ def stratified_split(
 def newest_rows(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Older rows and the ``k`` newest by purchase time, ties by order id.
 
-    The cut is narrowed by day, by second and by id prefix, each step a small histogram, until
-    only the rows tied with it remain to be sorted.
+    The cut is narrowed by day, by second and by ever longer id prefixes, each step a small
+    histogram, until at most ``OPENED`` rows share the cut's bucket and are sorted.
     """
     bought = F.coalesce(F.col("purchase_timestamp"), F.lit(OLDEST).cast("timestamp_ntz"))
     rows = df.select(bought.alias("ts"), "order_id")
-    rest = k
+    rest, held, used = k, None, 0
     day, second = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    for step in (day, second, F.substring("order_id", 1, 4)):
+    steps = [day, second]
+    while held is None or held > OPENED:
+        if steps:
+            step = steps.pop(0)
+        else:
+            longest = rows.agg(F.max(F.char_length("order_id"))).first()[0] or 0
+            if used >= longest:
+                break  # what is left differs by less than a second, or has one id
+            used += PREFIX
+            step = F.coalesce(F.substring("order_id", 1, used), F.lit(""))
         sizes = rows.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"))
         newer = W.orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
         ranked = sizes.select("b", "n", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("before"))
         cut = ranked.where((F.col("before") < rest) & (F.col("before") + F.col("n") >= rest)).first()
         if cut is None:
             return df.limit(0), df
-        rows, rest = rows.where(step == cut.b), rest - cut.before
+        rows, rest, held = rows.where(step == cut.b), rest - cut.before, cut.n
     tied = rows.orderBy(F.desc("ts"), F.desc("order_id")).limit(rest)
     last = tied.agg(F.min(F.struct(F.col("ts").cast("string").alias("ts"), "order_id"))).first()[0]
     mark = F.lit(last.ts).cast("timestamp_ntz")

@@ -30,6 +30,9 @@ NUMERIC_DEFAULTS = {
 # Distances end at half the meridian, so steps of 0.1 km give at most about 200,000 buckets.
 DISTANCE_STEP = 0.1
 
+# Vocabularies of up to so many values become literals.
+LISTED = 1_000
+
 
 def require_training_rows(df: DataFrame, minimum: int = MIN_ROWS) -> DataFrame:
     found = df.limit(minimum).count()
@@ -127,11 +130,21 @@ def vocabularies(df: DataFrame) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Add the code columns; a value outside the vocabulary gets -1."""
+    """Add the code columns; a value outside the vocabulary gets -1.
+
+    A vocabulary of up to ``LISTED`` values is a literal in the row-local expression, so the rows
+    are not shuffled by a column of few values. A larger one is joined.
+    """
+    vocab = stage(vocab, "vocabulary")
     for column, encoded in ENCODED.items():
-        codes = vocab.where(F.col("column") == column).select(
-            F.col("value").alias("_value"), F.col("code").alias(encoded)
-        )
+        codes = vocab.where(F.col("column") == column).select("value", "code")
+        listed = sorted((row.code, row.value) for row in codes.limit(LISTED + 1).collect())
+        if len(listed) <= LISTED and [code for code, _ in listed] == list(range(len(listed))):
+            values = F.lit([value for _, value in listed]).cast("array<string>")
+            place = F.array_position(values, text_value(column)).cast("int")  # 0 where absent
+            df = df.withColumn(encoded, F.when(place > 0, place - 1).otherwise(UNSEEN_CODE))
+            continue
+        codes = codes.select(F.col("value").alias("_value"), F.col("code").alias(encoded))
         df = lookup_stored(df.withColumn("_value", text_value(column)), codes, "_value").drop("_value")
         df = df.withColumn(encoded, F.coalesce(encoded, F.lit(UNSEEN_CODE)))
     return df

@@ -342,13 +342,13 @@ def kpi_summary_empty(t: Tables) -> DataFrame:
 
 @query
 def seller_profile(t: Tables) -> DataFrame:
-    facts = t.facts("seller")
+    facts = stage(t.facts("seller"), "seller-facts")  # read by the figures and by the trend
     return kpi.seller_profile(aggregates.seller_stats(facts), facts)
 
 
 @query
 def seller_profile_one(t: Tables) -> DataFrame:
-    facts = t.facts("seller")
+    facts = stage(browse.of_seller(t.facts("seller"), SELLER), "seller-facts")
     return kpi.seller_profile(aggregates.seller_stats(facts), facts, SELLER)
 
 
@@ -566,7 +566,7 @@ def class_weights(t: Tables) -> DataFrame:
 def stratified_split(t: Tables) -> DataFrame:
     train, test = ev.stratified_split(_labelled(t), "label", "order_id")
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    return both.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+    return both.select("order_id", "label", "part")
 
 
 @query

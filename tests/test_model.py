@@ -141,6 +141,23 @@ def test_split_is_exact_and_repeatable(spark):
     assert again.exceptAll(test).count() == 0
 
 
+def test_ids_of_one_prefix_on_one_day(spark, monkeypatch):
+    monkeypatch.setattr(ev, "OPENED", 5)
+    rows = [(dt.datetime(2024, 1, 1), f"ORDER-{i:04d}") for i in range(300)]
+    _, newest = ev.newest_rows(spark.createDataFrame(rows, "purchase_timestamp timestamp_ntz, order_id string"), 37)
+    assert sorted(r.order_id for r in newest.collect()) == [f"ORDER-{i:04d}" for i in range(263, 300)]
+
+
+def test_codes_need_no_join_while_they_are_few(shipments, monkeypatch):
+    vocab = ft.vocabularies(shipments)
+    listed = ft.encode(shipments, vocab)
+    assert "Join" not in listed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ft, "LISTED", 1)
+    joined = ft.encode(shipments, vocab)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert listed.exceptAll(joined).count() == 0 and joined.count() == listed.count()
+
+
 @pytest.mark.parametrize("k", [1, 50, 333, 999, 1000, 5000])
 def test_newest_rows_match_brute_force(spark, k):
     rng = random.Random(7)
