@@ -27,7 +27,9 @@ from haulmark.staging import stage
 
 
 def shipments_table(spark: SparkSession, root: str) -> StoredTable:
-    return StoredTable(spark, f"{root}/shipments", SHIPMENTS, "order_id", "purchase_timestamp", ("created_at",))
+    return StoredTable(
+        spark, f"{root}/shipments", SHIPMENTS, "order_id", "purchase_timestamp", ("created_at",), cluster_by="seller_id"
+    )
 
 
 def kpi_daily_table(spark: SparkSession, root: str) -> StoredTable:

@@ -41,9 +41,11 @@ class StoredTable:
 
     def __init__(
         self, spark: SparkSession, path: str, columns: Columns, key: str, month_of: str | None = None,
-        stamps: tuple[str, ...] = (),
+        stamps: tuple[str, ...] = (), cluster_by: str | None = None,
     ):
         self.spark, self.path, self.columns, self.key, self.month_of = spark, path.rstrip("/"), columns, key, month_of
+        # Files are sorted by this column, so a filter on it skips row groups; the key gets a bloom filter.
+        self.cluster_by = cluster_by
         # Audit columns set by the merge: "created_at" survives updates, "updated_at" does not.
         self.stamps = stamps
 
@@ -97,6 +99,12 @@ class StoredTable:
         parts = self._parts(self.version())
         return self._read(sorted(f for month, f in parts.items() if months is None or month in months))
 
+    def between(self, first: str, end: str) -> DataFrame:
+        """The current rows with a time from ``first`` up to, but without, ``end``; opens only the months in between."""
+        months = [m for m in self._parts(self.version()) if first[:7] <= m <= end[:7]]
+        time, bounds = F.col(self.month_of), [F.lit(x).cast("timestamp_ntz") for x in (first, end)]
+        return self.read(months).where((time >= bounds[0]) & (time < bounds[1]))
+
     # --- merging --------------------------------------------------------------------------
 
     def _month(self) -> Column:
@@ -108,7 +116,7 @@ class StoredTable:
     ) -> int:
         """Insert new keys and replace existing ones; returns the new version.
 
-        ``rows`` must hold each key once; ``stored`` says they are read from files and need not
+        ``rows`` must hold each key once, which is checked; ``stored`` says they are read from files and need not
         be written once more. Old rows go too if ``replacing`` has their key, whether ``rows`` has
         it or not. Running the same merge again leaves the same rows.
         """
@@ -117,6 +125,9 @@ class StoredTable:
         new = conform(rows, self.columns).where(F.col(self.key).isNotNull())
         if not stored:
             new = stage(new, "merge")
+        repeated = new.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+        if repeated is not None:
+            raise ValueError(f"{self.path}: {self.key} {repeated[0]!r} stands on {repeated.n} rows of one batch")
         # Months are bounded by the calendar, so their names may come to the driver.
         touched = {row.part for row in new.select(self._month()).distinct().collect()}
         if self.month_of and parts:
@@ -132,7 +143,14 @@ class StoredTable:
         folder = f"{self.path}/data/{version + 1:08d}-{uuid.uuid4().hex}"
         # Adaptive rebalancing gathers small months into few files and splits large ones by size.
         spread = merged.withColumn("part", self._month()).hint("rebalance", "part")
-        spread.write.partitionBy("part").parquet(folder)
+        writer = spread.write
+        if self.cluster_by:
+            writer = (
+                spread.sortWithinPartitions("part", self.cluster_by)
+                .write.option(f"parquet.bloom.filter.enabled#{self.key}", "true")
+                .option("parquet.bloom.filter.adaptive.enabled", "true")
+            )
+        writer.partitionBy("part").parquet(folder)
         kept = {month: path for month, path in parts.items() if month not in touched}
         written = {name: f"{folder}/part={name}" for name in touched if self._exists(f"{folder}/part={name}")}
         self._publish(version + 1, kept | written)

@@ -54,6 +54,28 @@ def test_untouched_months_are_not_rewritten(spark, table):
     assert table.read(["2017-03"]).count() == 1
 
 
+def test_time_range_opens_only_its_months(spark, table):
+    table.merge(batch(spark, [("a", month(1), 1.0), ("b", month(2), 2.0), ("c", month(3), 3.0)]), FIRST)
+    found = table.between("2017-02-01", "2017-02-28 12:00:00")
+    assert [r.order_id for r in found.collect()] == ["b"]
+    assert len(found.inputFiles()) == 1 and "part=2017-02" in found.inputFiles()[0]
+    assert table.between("2016-01-01", "2016-02-01").count() == 0
+
+
+def test_files_are_sorted_by_seller(spark, table):
+    rows = batch(spark, [(f"o{i:03d}", month(1), 1.0) for i in range(200)])
+    table.merge(rows.withColumn("seller_id", F.format_string("s%d", F.hash("order_id") % 7)), FIRST)
+    for file in table.read().inputFiles():
+        sellers = [r.seller_id for r in spark.read.parquet(file).collect()]
+        assert sellers == sorted(sellers)
+
+
+def test_repeated_key_in_a_batch_is_refused(spark, table):
+    with pytest.raises(ValueError, match="2 rows"):
+        table.merge(batch(spark, [("a", month(1), 1.0), ("a", month(2), 2.0)]), FIRST)
+    assert table.version() == 0
+
+
 def test_key_that_moves_to_another_month(spark, table):
     table.merge(batch(spark, [("a", month(1), 1.0), ("b", month(2), 2.0)]), FIRST)
     table.merge(batch(spark, [("a", month(3), 9.0)]), SECOND)
