@@ -12,7 +12,8 @@ anchors and only places that share an anchor with another document need to be co
    theirs is compared as a whole by two 64-bit hashes; all but the smallest document lose an equal stretch.
 3. What is left are anchors with several different stretches: their distinct contexts are sorted as suffixes. The sort
    is a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes. Runs of
-   suffixes that agree over the whole length are confirmed byte by byte.
+   suffixes that agree over the whole length are confirmed byte by byte. Only the first place of a stretch in its
+   smallest document is sorted; what is found there holds for all places of the stretch in that document.
 4. Removed runs are merged per document.
 
 Nulls: a null text is empty. A null ``doc_id`` counts as larger than all others. Rows with the same id are one
@@ -153,11 +154,18 @@ def _stretches(buckets: int) -> Callable:
     return run
 
 
-_FOUND = "doc long, print long, sure boolean, anchor binary, start binary, strings binary"
+_FOUND = (
+    "doc long, print long, sure boolean, anchor binary, start binary, strings binary,"
+    " further binary, further_prints binary, further_starts binary"
+)
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sure: stretches of all but the smallest document. Not sure: one of each, where an anchor has several."""
+    """Sure: stretches of all but the smallest document. Not sure: one of each, where an anchor has several.
+
+    ``further`` is how many other places of an open stretch its smallest document has, ``further_prints`` and
+    ``further_starts`` are where they are.
+    """
     kinds = {"anchor": "<u8", "body": "<u8", "start": "<u4", "strings": "<u1"}
     docs, prints, anchor, body, start, strings = unpack(frame, kinds)
     order = np.lexsort((start, prints, docs, body, anchor))
@@ -172,6 +180,11 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     least = np.minimum.reduceat(docs, np.flatnonzero(new_anchor))[which]
     most = np.maximum.reduceat(docs, np.flatnonzero(new_anchor))[which]
     open_ = new_body & (bodies > 1) & (least != most)
+    again = ~new_body & np.r_[False, (docs[1:] == docs[:-1]) & (prints[1:] == prints[:-1]) & (start[1:] == start[:-1])][: len(docs)]
+    # The smallest document of an anchor loses nothing, so its further places need no answer.
+    further = np.flatnonzero(~new_body & ~again & ~sure & (bodies > 1) & (docs > least))
+    n_further = np.bincount(group[further], minlength=len(head))
+    base = np.cumsum(n_further) - n_further
     rows = []
     for mark, use in ((True, np.flatnonzero(sure)), (False, np.flatnonzero(open_))):
         use = use[np.lexsort((prints[use], docs[use]))]
@@ -179,17 +192,26 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
         cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])][: len(d)])
         for s, e in zip(cut, np.r_[cut[1:], len(d)]):
             part = use[s:e]
-            rows.append(
-                (docs[part[0]], prints[part[0]], mark, b"" if mark else anchor[part].tobytes(), start[part].tobytes(), strings[part].tobytes())
-            )
+            row = (docs[part[0]], prints[part[0]], mark, b"" if mark else anchor[part].tobytes(), start[part].tobytes(), strings[part].tobytes())
+            if mark:
+                rows.append((*row, b"", b"", b""))
+                continue
+            n = n_further[group[part]]
+            other = further[_ranges(base[group[part]], n)]
+            rows.append((*row, n.astype("<u4").tobytes(), prints[other].tobytes(), start[other].tobytes()))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first ... first + n - 1 of each entry, one behind the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _contexts(buckets: int) -> Callable:
     """The bytes of each open stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "anchor", "doc", "print", "start", "strings", "bytes"]
+        names = ["bucket", "anchor", "doc", "print", "start", "strings", "bytes", "further_prints", "further_starts"]
         for batch in batches:
             rows = []
             for doc, mark, text, parts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -199,12 +221,14 @@ def _contexts(buckets: int) -> Callable:
                     start = np.frombuffer(p["start"], "<u4").tolist()
                     strings = np.frombuffer(p["strings"], "<u1").tolist()
                     where = below(mix(h, 9), buckets).tolist()
+                    cut = [0, *np.cumsum(np.frombuffer(p["further"], "<u4"), dtype=np.int64).tolist()]
+                    prints, starts = p["further_prints"], p["further_starts"]
                     rows += [
-                        (b, a, doc, mark, s, n, raw[s : s + n - 1 + SPAN])
-                        for b, a, s, n in zip(where, h.view("<i8").tolist(), start, strings)
+                        (b, a, doc, mark, s, n, raw[s : s + n - 1 + SPAN], prints[8 * f : 8 * e], starts[4 * f : 4 * e])
+                        for b, a, s, n, f, e in zip(where, h.view("<i8").tolist(), start, strings, cut, cut[1:])
                     ]
-            types = [pa.int64()] * 6 + [pa.binary()]
-            columns = zip(*rows) if rows else [[]] * 7
+            types = [pa.int64()] * 6 + [pa.binary()] * 3
+            columns = zip(*rows) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
@@ -296,6 +320,7 @@ class Suffixes:
         return order, np.cumsum(~alike) - 1
 
 
+_OPEN = ("anchor", "start", "strings", "further", "further_prints", "further_starts")
 _HITS = "doc long, print long, start binary, strings binary"
 
 
@@ -318,7 +343,18 @@ def _sort_contexts(frame: pd.DataFrame) -> pd.DataFrame:
     least = np.repeat(np.minimum.reduceat(docs[order], bounds[:-1]), np.diff(bounds)) if len(run) else docs
     hit = order[docs[order] > least]
     start = frame["start"].to_numpy()[row[hit]] + shift[hit]
-    found = pd.DataFrame({"doc": docs[hit], "print": frame["print"].to_numpy()[row[hit]], "start": start})
+    n_further = np.array([len(x) // 4 for x in frame["further_starts"]], np.int64)
+    n = n_further[row[hit]]
+    other = _ranges((np.cumsum(n_further) - n_further)[row[hit]], n)
+    other_print = np.frombuffer(b"".join(frame["further_prints"]), "<i8")[other]
+    other_start = np.frombuffer(b"".join(frame["further_starts"]), "<u4")[other] + np.repeat(shift[hit], n)
+    found = pd.DataFrame(
+        {
+            "doc": np.r_[docs[hit], np.repeat(docs[hit], n)],
+            "print": np.r_[frame["print"].to_numpy()[row[hit]], other_print],
+            "start": np.r_[start, other_start],
+        }
+    )
     rows = [
         (d, p, g.to_numpy().astype("<u4").tobytes(), np.ones(len(g), "<u1").tobytes())
         for (d, p), g in found.groupby(["doc", "print"])["start"]
@@ -401,7 +437,7 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
         "repeat-stretches",
     )
     open_ = (
-        found.where("not sure").groupBy("doc", "print").agg(F.collect_set(F.struct("anchor", "start", "strings")).alias("parts"))
+        found.where("not sure").groupBy("doc", "print").agg(F.collect_set(F.struct(*_OPEN)).alias("parts"))
     )
     contexts = (
         touched.select("doc", "print", "text")
@@ -409,7 +445,9 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
         .join(open_, ["doc", "print"])
         .select("doc", "print", "text", "parts")
         .mapInArrow(
-            _contexts(buckets), "bucket long, anchor long, doc long, print long, start long, strings long, bytes binary"
+            _contexts(buckets),
+            "bucket long, anchor long, doc long, print long, start long, strings long, bytes binary,"
+            " further_prints binary, further_starts binary",
         )
     )
     hits = contexts.groupBy("bucket").applyInPandas(_sort_contexts, _HITS)

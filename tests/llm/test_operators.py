@@ -217,6 +217,15 @@ def test_suffix_dedup(table):
     assert suffix_dedup.without_repeats(table).columns == table.columns
 
 
+def test_suffix_dedup_of_repeats_in_one_document(spark):
+    rng = np.random.default_rng(3)
+    a, s, b, u, v = ("".join(rng.choice(list("abcdefghijklmnop "), n)) for n in (90, 120, 90, 90, 90))
+    texts = [(1, a + s + b), (2, u + s + v + u + s + v), (3, "start " + u + s + v + u + s + v), (5, b[:20] + s), (5, v + s + a)]
+    texts += [(None, v[:60] + s + u), (None, "x " + v[:60] + s + u + v[:60] + s + u), (7, "z" * 400), (8, "y" + "z" * 300 + "y")]
+    documents = spark.createDataFrame([*texts, texts[1]], "doc_id long, text string")
+    test_suffix_dedup(documents)
+
+
 def test_suffix_sort_orders_and_confirms():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
