@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order ``ORDER`` per language, learned from a bounded sample: about ``SAMPLE_CHARS`` characters of each
-language, whole texts picked by a hash of the id (the bound is a parameter). Texts are folded to lower-case letters
+language, whole texts picked by a hash of the id (the bound is a parameter), at least one text of each language that has
+one with a letter. Texts are folded to lower-case letters
 and blanks. Log probabilities of the n-grams that any language has seen, and back-off weights of contexts, are kept in
 arrays sorted by hash, one row for an n-gram and one column for a language, and found through a bucket index.
 The language with the lowest cross-entropy per character wins. A text is marked as rejected when its best
@@ -223,11 +224,16 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     known = texts_of(docs, F.col("lang").cast("string").alias("lang"), held_out().alias("_out")).where(
         F.col("lang").isNotNull() & ~F.col("_out") & F.col("doc_id").isNotNull()
     )
-    sizes = known.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars")).collect()  # a row a language
+    least = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.xxhash64("doc_id"))).alias("least")
+    sizes = known.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"), least).collect()  # a row a language
     if not sizes:
         return None
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, sample_chars / max(1, r.chars))))])
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    # Few long texts may all miss their share: the text with the least hash is always in.
+    first = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(r.least).cast("long"))])
+    pick = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000) | F.coalesce(
+        F.xxhash64("doc_id") == first[F.col("lang")], F.lit(False)
+    )
     sample = keep(known.where(pick).select("text", "lang"), "language-sample")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()  # n-grams of the bounded sample

@@ -359,6 +359,13 @@ def test_language_odd(odd, spark):
     assert {r.lang_pred for r in language.identify(asked).collect()} == {"und"}
 
 
+def test_language_of_few_long_texts_is_learned(spark):
+    texts = [(i, t * 50, lang) for i in range(20) for t, lang in (("the cat sat on the mat ", "en"), ("el gato se sienta ", "es"))]
+    texts += [(i, "", "fr") for i in range(100, 120)] + [(120, "le chat est assis", "fr")]
+    known = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert language.train(known, sample_chars=1).languages == ["en", "es", "fr"]
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
