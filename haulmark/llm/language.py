@@ -42,22 +42,21 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def keys_of(codes: np.ndarray) -> np.ndarray:
-    """The n-gram of ``ORDER`` codes that ends at each position, 16 bits a code; before the first stand zeros."""
+    """The n-gram of ``ORDER`` codes that ends at each position, 16 bits a code; before the first of a text stand zeros."""
     padded = np.r_[np.zeros(ORDER - 1, np.uint64), codes]
-    key = np.zeros(len(codes), np.uint64)
-    for i in range(ORDER):
-        key = key << U64(16) | padded[i : i + len(codes)]
+    key, inside = codes.astype(np.uint64), codes != 0
+    for i in range(1, ORDER):
+        before = padded[ORDER - 1 - i : ORDER - 1 - i + len(codes)]
+        inside &= before != 0
+        key |= np.where(inside, before, U64(0)) << U64(16 * i)
     return key
 
 
 def _within(codes: np.ndarray) -> np.ndarray:
-    """Positions whose n-gram lies in one text and is not blank twice at its end (runs of blanks count once)."""
-    inside = codes != 0
-    ok = inside.copy()
-    for i in range(1, ORDER):
-        ok[i:] &= inside[:-i]
-        ok[:i] = False
-    ok[1:] &= (codes[1:] != 32) | (codes[:-1] != 32)
+    """Positions of all texts but the blank that each begins with, and repeated blanks (runs of blanks count once)."""
+    ok = codes != 0
+    ok[:1] = False
+    ok[1:] &= (codes[:-1] != 0) & ((codes[1:] != 32) | (codes[:-1] != 32))
     return ok
 
 

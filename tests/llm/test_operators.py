@@ -366,6 +366,21 @@ def test_language_of_few_long_texts_is_learned(spark):
     assert language.train(known, sample_chars=1).languages == ["en", "es", "fr"]
 
 
+def test_language_of_one_and_two_letters():
+    import pandas as pd
+
+    counts = []
+    for lang, texts in (("en", ["a cat sat at a tap", "i"]), ("ru", ["я и ты и он", "и"])):
+        codes, *_ = language.letters_of(texts)
+        key, n = np.unique(language.keys_of(codes)[language._within(codes)], return_counts=True)
+        counts.append(pd.DataFrame({"lang": lang, "gram": key.view(np.int64), "n": n}))
+    model = language.build(pd.concat(counts, ignore_index=True))
+    assert model.predict(["я", "a", "он", "at", "и"])[0] == ["ru", "en", "ru", "en", "ru"]
+    codes, start, end, _ = language.letters_of(["ab", "c", "", "d e"])
+    assert model.entropies(codes, start, end)[1].tolist() == [3, 2, 0, 4]
+    assert (language.keys_of(codes)[start + 1] >> np.uint64(32) == 0).all()  # nothing of the text before
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
