@@ -1,7 +1,8 @@
 """Token ids of whole texts, each distinct chunk encoded once per worker.
 
 Both supported pre-tokenizers cut at a lone space, so a text is split there and the ids of its chunks are joined.
-Only chunks not met before are encoded, many at a time. Texts for which the cut is not safe are encoded whole.
+Only chunks not met before are encoded, many at a time. Texts for which the cut is not safe are encoded whole, and
+those that hold the string of an added token, such as ``<|endoftext|>``, by the library, which gives them that token's id.
 
 The byte-level file is also read as ranks for ``tiktoken``, which gives the same ids several times faster; the tests
 compare it with ``tokenizers`` on odd and real texts.
@@ -35,9 +36,14 @@ def packed(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    return Tokenizer.from_file(path)
+
+
+def _added(path: str) -> tuple[re.Pattern, int]:
+    """The strings of the added tokens, which the library looks for before it normalizes, and the largest of their ids."""
+    tokens = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
+    assert not any(t["normalized"] for t in tokens), "added tokens are matched in the text as it is"
+    return re.compile("|".join(re.escape(t["content"]) for t in tokens) or r"(?!)"), max((t["id"] for t in tokens), default=-1)
 
 
 def _library(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -61,6 +67,7 @@ class ByteLevel:
 
     def __init__(self, path: str):
         vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        self.added, self.marked = _added(path)[0], _library(path)
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -83,12 +90,15 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for run in slices(texts):
-            cut = [[] if _RUN.search(t) else t.split(" ") for t in run]
+            cut = [[] if _RUN.search(t) or self.added.search(t) else t.split(" ") for t in run]
             self.heads.fill({c[0] for c in cut if c})
             self.inner.fill(set().union(*(c[1:] for c in cut)))
             heads, inner = self.heads, self.inner.__getitem__
             for t, c in zip(run, cut):
-                out.append(heads[c[0]] + b"".join(map(inner, c[1:])) if c else self.whole([t])[0])
+                if c:
+                    out.append(heads[c[0]] + b"".join(map(inner, c[1:])))
+                else:
+                    out += self.marked([t]) if self.added.search(t) else self.whole([t])
         return out
 
 
@@ -98,7 +108,8 @@ class WordLevel:
     def __init__(self, path: str):
         vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         self.path = path
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.added, largest = _added(path)
+        self.last = np.zeros(max(largest, *vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words = ChunkTable(self._words, TABLE)
         self.other = ChunkTable(_library(path), 50_000)
@@ -131,9 +142,9 @@ class WordLevel:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for run in slices(texts):
-            cut = [t.replace("\n", " ").split(" ") for t in run]
+            cut = [[] if self.added.search(t) else t.replace("\n", " ").split(" ") for t in run]
             self.inner.fill(set().union(*cut))
-            out += [b"".join(map(self.inner.__getitem__, c)) for c in cut]
+            out += [b"".join(map(self.inner.__getitem__, c)) if c else _library(self.path)([t])[0] for t, c in zip(run, cut)]
         return out
 
 

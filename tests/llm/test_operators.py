@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from haulmark.llm import (
@@ -282,6 +283,17 @@ def test_tokens_equal_the_library():
         assert [np.frombuffer(b, "<u4").tolist() for b in made(path).encode(texts)] == want
 
 
+def test_strings_of_added_tokens_equal_the_library():
+    texts = [f"one two{m}three  four" for m in ("<|endoftext|>", " <|endoftext|>\n", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end oftext|>")]
+    texts += ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|> b", "Plain text", ""]
+    for name, made, added in (("byte_bpe_50k.json", byte_level, 50256), ("word_bpe_49k.json", word_level, 49407)):
+        path = public_tokenizers.path(name)
+        plain = Tokenizer.from_file(path)
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in made(path).encode(texts)] == want
+        assert sum(ids.count(added) for ids in want) == 6
+
+
 def test_pieces_round_trip(table):
     model = piece_tokens.codec(public_tokenizers.path("piece_bpe_32k.model")).model
     want = []
@@ -309,6 +321,14 @@ def test_token_blocks(table):
     assert known == sorted(known)
 
 
+def test_token_blocks_with_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "one<|endoftext|>two"), (2, "plain"), (3, "<|startoftext|>")], "doc_id long, text string")
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: [*plain.encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
+    got = token_blocks.read_blocks(token_blocks.write_blocks(docs)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want and max(want[1]) == 49407
+
+
 def test_damaged_block_is_noticed():
     block = token_blocks.write_block([1], [5], np.arange(5, dtype="<u4").tobytes(), 10)
     assert token_blocks.read_block(block)[2] == np.arange(5, dtype="<u4").tobytes()
