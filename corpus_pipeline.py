@@ -4,7 +4,6 @@ packed into windows. Every stage works on all that the one before kept."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from haulmark.llm.common import keep
 from haulmark.llm.exact_dedup import keep_one
@@ -30,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, less the bytes of strings that a document with a smaller id has too; empty texts go."""
-    return without_repeats(docs).where(F.length("text") > 0)
+    """All rows, less the bytes of strings that a document with a smaller id has too; texts may end up empty."""
+    return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

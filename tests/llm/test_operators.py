@@ -438,6 +438,14 @@ def test_empty_tables(empty, spark):
         assert made.count() == 0
 
 
+def test_passages_keep_every_row(spark):
+    rows = [(1, "before " + PASSAGE), (2, PASSAGE), (3, ""), (4, None), (5, "a text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.passages(spark, docs, "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: "before " + PASSAGE, 2: "", 3: "", 4: "", 5: "a text of its own"}
+    assert {r.doc_id for r in packing.pieces_of(kept, public_tokenizers.path("byte_bpe_50k.json")).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_stages_on_odd_rows(spark, odd, tmp_path):
     labels = spark.createDataFrame([(1, 0, 1), (7, 0, 0), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
