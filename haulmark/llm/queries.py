@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from haulmark.llm import exact_dedup, fingerprints, jaccard_join, language, line_dedup, packing, piece_tokens, suffix_dedup, token_blocks, toxicity
+from haulmark.llm import (
+    exact_dedup,
+    fingerprints,
+    jaccard_join,
+    language,
+    line_dedup,
+    merkle,
+    packing,
+    piece_tokens,
+    suffix_dedup,
+    token_blocks,
+    toxicity,
+)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +27,12 @@ QUERIES = {
     "op8_token_blocks": token_blocks.op8_token_blocks,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
