@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from haulmark.llm import (
+    conversation_trie,
     exact_dedup,
     fingerprints,
     jaccard_join,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_blocks": token_blocks.op8_token_blocks,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
