@@ -11,6 +11,7 @@ from haulmark.llm import (
     line_dedup,
     merkle,
     packing,
+    personal_data,
     piece_tokens,
     suffix_dedup,
     token_blocks,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_token_blocks": token_blocks.op8_token_blocks,
     "op9_sentencepiece": piece_tokens.op9_sentencepiece,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_personal_data": personal_data.op11_personal_data,
     "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
