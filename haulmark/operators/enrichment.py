@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import numbers, times
 from haulmark.functions.geodesy import add_geodesic_km
 from haulmark.operators.lookups import lookup_derived
+from haulmark.staging import stage
 
 COORDINATES = ["seller_lat", "seller_lng", "customer_lat", "customer_lng"]
 
@@ -48,21 +49,29 @@ def with_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns({"day_of_week": times.day_of_week(purchased), "month": times.month(purchased)})
 
 
-def seller_delay_rates(df: DataFrame) -> DataFrame:
+def seller_delay_rates(df: DataFrame, among: Column | None = None) -> DataFrame:
+    """Late share per seller, of the rows that are ``among`` if given, and the seller's number of rows (``n``)."""
+    counted = F.coalesce(among, F.lit(False)) if among is not None else F.lit(True)
+    rate = numbers.per(F.count_if(counted & F.col("is_late")), F.count_if(counted))
     return (
         df.where(F.col("seller_id").isNotNull())
         .groupBy("seller_id")
-        .agg(numbers.share(F.col("is_late")).alias("seller_historical_delay_rate"))
+        .agg(rate.alias("seller_historical_delay_rate"), F.count(F.lit(1)).alias("n"))
     )
 
 
+def with_rates(df: DataFrame, rates: DataFrame) -> DataFrame:
+    """Attach stored seller rates (``seller_delay_rates`` of these rows); their counts tell the heavy sellers."""
+    return lookup_derived(df, rates.drop("n"), "seller_id", "order_id", rates.select("seller_id", "n"))
+
+
 def with_seller_delay_rate(df: DataFrame) -> DataFrame:
     """Late share of the seller over all given rows.
 
     An aggregate joined back, not a window: a window would pull all rows of a big seller into
     one task.
     """
-    return lookup_derived(df, seller_delay_rates(df), "seller_id", "order_id")
+    return with_rates(df, stage(seller_delay_rates(df), "seller-rates"))
 
 
 def with_past_delay_rate(df: DataFrame) -> DataFrame:
@@ -80,13 +89,15 @@ def with_past_delay_rate(df: DataFrame) -> DataFrame:
     earlier = W.partitionBy("seller_id").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
     rate = F.try_divide(F.sum("_late").over(earlier).cast("double"), F.sum("_n").over(earlier))
     history = daily.select(
-        F.struct("seller_id", "_day").alias("_seller_day"), rate.alias("seller_past_delay_rate")
+        F.struct("seller_id", "_day").alias("_seller_day"), rate.alias("seller_past_delay_rate"), F.col("_n").alias("n")
     )
+    history = stage(history, "seller-days")
     keyed = df.withColumn(
         "_seller_day",
         F.when(F.col("seller_id").isNotNull() & day.isNotNull(), F.struct("seller_id", day.alias("_day"))),
     )
-    return lookup_derived(keyed, history, "_seller_day", "order_id").drop("_seller_day")
+    weights = history.select("_seller_day", "n")
+    return lookup_derived(keyed, history.drop("n"), "_seller_day", "order_id", weights).drop("_seller_day")
 
 
 def with_cost_per_km(df: DataFrame) -> DataFrame:

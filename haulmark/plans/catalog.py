@@ -16,7 +16,7 @@ from haulmark.operators import aggregates, audit, browse, cleaning, enrichment,
 from haulmark.operators import evaluation as ev
 from haulmark.operators import features as ft
 from haulmark.operators import registry, reporting, scoring
-from haulmark.plans.shipments import enriched_shipments, shipments_with
+from haulmark.plans.shipments import FEATURES, enriched_shipments, shipments_with
 from haulmark.session import pin_utc
 from haulmark.sources import star
 from haulmark.staging import stage
@@ -40,8 +40,8 @@ class Tables:
     def facts(self, *dimensions: str, delivered: bool = True) -> DataFrame:
         return shipments_with(self.sources, star.ORDINAL, *dimensions, delivered=delivered)
 
-    def enriched(self, delivered: bool = True) -> DataFrame:
-        return enriched_shipments(self.sources, star.ORDINAL, delivered)
+    def enriched(self, delivered: bool = True, features: tuple[str, ...] = FEATURES) -> DataFrame:
+        return enriched_shipments(self.sources, star.ORDINAL, delivered, features)
 
     def all_orders(self) -> DataFrame:
         return cleaning.all_orders(self.sources, star.ORDINAL)
@@ -362,12 +362,12 @@ def kpi_range_check(t: Tables) -> DataFrame:
 
 @query
 def kpi_scan(t: Tables) -> DataFrame:
-    return browse.kpi_rows(t.enriched()).withColumn("distance_km", F.round("distance_km", 3))
+    return browse.kpi_rows(t.enriched(features=("distance",))).withColumn("distance_km", F.round("distance_km", 3))
 
 
 @query
 def all_orders_scan(t: Tables) -> DataFrame:
-    return browse.all_order_rows(t.enriched(delivered=False)).withColumn("distance_km", F.round("distance_km", 3))
+    return browse.all_order_rows(t.enriched(False, ("distance",))).withColumn("distance_km", F.round("distance_km", 3))
 
 
 @query
@@ -393,7 +393,7 @@ def shipments_late(t: Tables) -> DataFrame:
 
 
 def _listing(t: Tables) -> DataFrame:
-    return t.enriched().select(
+    return t.enriched(features=("distance",)).select(
         "order_id",
         "seller_id",
         "seller_state",

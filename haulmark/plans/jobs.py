@@ -10,14 +10,17 @@ import datetime as dt
 import json
 import sys
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.functions.times import Day, monday_of, utc_date
-from haulmark.operators import aggregates, audit, browse, cleaning, registry, reporting, scoring
+from haulmark.functions.times import Day, monday_of
+from haulmark.operators import aggregates, audit, browse, cleaning, ledger, registry, reporting, scoring
 from haulmark.operators import evaluation as ev
 from haulmark.operators.forest import ForestModel, Training, train_model
+from haulmark.operators.ledger import ORDER_LEDGER, SHIPMENT_LEDGER
 from haulmark.plans.shipments import enrich_facts
 from haulmark.schemas import ALL_ORDERS, DEFAULT_THRESHOLD, KPI_DAILY, OPEN_SHIPMENTS, REJECTED, SELLER_STATS, SHIPMENTS
 from haulmark.session import build_session, pin_utc
@@ -28,7 +31,8 @@ from haulmark.staging import stage
 
 def shipments_table(spark: SparkSession, root: str) -> StoredTable:
     return StoredTable(
-        spark, f"{root}/shipments", SHIPMENTS, "order_id", "purchase_timestamp", ("created_at",), cluster_by="seller_id"
+        spark, f"{root}/shipments", SHIPMENTS, "order_id", "purchase_timestamp", ("created_at",), cluster_by="seller_id",
+        ledger=SHIPMENT_LEDGER,
     )
 
 
@@ -41,40 +45,49 @@ def seller_stats_table(spark: SparkSession, root: str) -> StoredTable:
 
 
 def rejected_table(spark: SparkSession, root: str) -> StoredTable:
-    return StoredTable(spark, f"{root}/rejected", REJECTED, "order_id")
+    return StoredTable(spark, f"{root}/rejected", REJECTED, "order_id", "purchase_timestamp")
 
 
 def all_orders_table(spark: SparkSession, root: str) -> StoredTable:
-    return StoredTable(spark, f"{root}/all_orders", ALL_ORDERS, "order_id")
+    return StoredTable(spark, f"{root}/all_orders", ALL_ORDERS, "order_id", "purchase_timestamp", ledger=ORDER_LEDGER)
 
 
 def open_shipments_table(spark: SparkSession, root: str) -> StoredTable:
-    return StoredTable(spark, f"{root}/open_shipments", OPEN_SHIPMENTS, "order_id")
+    return StoredTable(spark, f"{root}/open_shipments", OPEN_SHIPMENTS, "order_id", "purchase_timestamp")
 
 
-def load(spark: SparkSession, shipments: DataFrame, root: str, as_of: str) -> dict[str, int]:
-    """Merge stored shipments; rows that break a constraint are kept aside.
+def together(*tasks: Callable[[], object]) -> list:
+    """Run jobs that do not depend on each other at the same time; fails if one fails."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [done.result() for done in [pool.submit(task) for task in tasks]]
 
-    The days and sellers that gained, lost or changed a shipment get their figures anew from the
-    whole merged table, so loads add up however the shipments were split into batches.
+
+def load(
+    spark: SparkSession, shipments: DataFrame, root: str, as_of: str, unique: bool = False
+) -> dict[str, int]:
+    """Merge stored shipments; rows that break a constraint are kept aside. ``unique`` promises that keys are.
+
+    Daily and seller figures are kept up by the table's ledger: the merge takes the replaced rows'
+    sums out and adds those of the new rows, so no stored shipment outside the batch's keys is
+    read and loads add up however the shipments were split into batches.
     """
     good = audit.storable(shipments)
     table = shipments_table(spark, root)
-    places = [utc_date(F.col("purchase_timestamp")).alias("date"), F.col("seller_id")]
-    before = table.read().join(good.select("order_id"), "order_id", "left_semi").select(*places)
-    touched = stage(before.unionByName(good.select(*places)).distinct(), "touched")
-    table.merge(good, as_of, stored=True)
-
-    days = stage(touched.select("date").where("date is not null").distinct(), "days")
-    sellers = stage(touched.select("seller_id").distinct(), "sellers")
-    # Months are bounded by the calendar, so their names may come to the driver.
-    months = [row.m for row in days.select(F.date_format("date", "yyyy-MM").alias("m")).distinct().collect()]
-    of_days = table.read(months).withColumn("date", places[0]).join(days, "date", "left_semi").drop("date")
-    of_sellers = table.read().join(sellers, "seller_id", "left_semi")
-    kpi_daily_table(spark, root).merge(aggregates.kpi_daily(of_days), as_of, replacing=days)
-    seller_stats_table(spark, root).merge(aggregates.seller_stats(of_sellers), as_of, replacing=sellers)
-    rejected_table(spark, root).merge(audit.rejected(shipments), as_of, replacing=shipments.select("order_id"))
-    return aggregates.load_summary(good).first().asDict()
+    table.merge(good, as_of, stored=True, unique=unique)
+
+    def figures(target: StoredTable, grain: str, key: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        groups = stage(table.touched(grain).select(key).where(F.col(key).isNotNull()).distinct(), "touched")
+        sums = table.sums(grain).join(groups, key, "left_semi")
+        target.merge(make(sums), as_of, replacing=groups, unique=True)
+
+    keys = shipments.select("order_id")
+    *_, summary = together(
+        lambda: figures(kpi_daily_table(spark, root), "day", "date", ledger.kpi_daily),
+        lambda: figures(seller_stats_table(spark, root), "seller", "seller_id", ledger.seller_stats),
+        lambda: rejected_table(spark, root).merge(audit.rejected(shipments), as_of, replacing=keys, unique=unique),
+        lambda: aggregates.load_summary(good).first().asDict(),
+    )
+    return summary
 
 
 def run_etl(
@@ -83,20 +96,23 @@ def run_etl(
     """Clean, enrich and load.
 
     The facts of all statuses and the enriched result are each written once and then reused. The
-    seller history is that of the stored shipments and of the batch; shipments stored earlier
-    keep the rate they were loaded with. Open shipments are stored with their features.
+    seller history is that of the stored shipments, known from their ledger, and of the batch;
+    shipments stored earlier keep the rate they were loaded with. Open shipments are stored with
+    their features.
     """
     pin_utc(spark)
     facts = stage(cleaning.order_facts(sources, order_by, delivered=False), "facts")
-    delivered, keys = cleaning.delivered_only(facts), facts.select("order_id")
-    known = shipments_table(spark, root).read().join(keys, "order_id", "left_anti")
-    rated = ["seller_id", "is_late"]
-    history = stage(delivered.select(*rated).unionByName(known.select(*rated)), "history")
-    enriched = stage(enrich_facts(delivered, sources, history), "enriched")
-    summary = load(spark, enriched, root, as_of)
-    all_orders_table(spark, root).merge(facts, as_of)
-    under_way = enrich_facts(scoring.active_only(facts), sources, history)
-    open_shipments_table(spark, root).merge(under_way, as_of, replacing=keys)
+    keys, table = facts.select("order_id"), shipments_table(spark, root)
+    replaced = table.rows_of(keys) if table.version() else None
+    rates = ledger.seller_rates(table.sums("seller"), replaced, facts)
+    enriched = stage(enrich_facts(facts, sources, stage(rates, "rates")), "enriched")
+    summary, *_ = together(
+        lambda: load(spark, cleaning.delivered_only(enriched), root, as_of, unique=True),
+        lambda: all_orders_table(spark, root).merge(facts, as_of, stored=True, unique=True),
+        lambda: open_shipments_table(spark, root).merge(
+            scoring.active_only(enriched), as_of, stored=True, replacing=keys, unique=True
+        ),
+    )
     return summary
 
 

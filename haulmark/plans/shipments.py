@@ -3,38 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from haulmark.operators import cleaning as c
 from haulmark.operators import enrichment as e
-from haulmark.operators.lookups import lookup_derived
+from haulmark.staging import stage
 
-def enrich_facts(facts: DataFrame, sources: c.Sources, history: DataFrame | None = None) -> DataFrame:
-    """Dimensions and features for order facts, joined in the order that moves the fewest rows.
+FEATURES = ("distance", "calendar", "seller_rate", "cost_per_km")
 
-    Coordinates are attached to the seller and customer tables before those meet the facts,
-    and the seller history is aggregated before the facts widen: from ``history``, which must be
-    delivered orders, since others count as on time. It defaults to ``facts``. Both the history
-    and the final join read their frame, so a job passes in a stored one.
+
+def enrich_facts(
+    facts: DataFrame, sources: c.Sources, rates: DataFrame | None = None, features: tuple[str, ...] = FEATURES
+) -> DataFrame:
+    """Dimensions and the named features for order facts, joined in the order that moves the fewest rows.
+
+    Coordinates are attached to the seller and customer tables before those meet the facts, and
+    the seller history is aggregated before the facts widen. ``rates`` are stored seller rates;
+    by default they come from the delivered rows of ``facts``, which should then be stored too.
     """
-    zips = e.zip_coordinates(sources["geolocation"])
-    joined = c.with_dimensions(
-        facts,
-        c.english_categories(sources["products"], sources["category_translation"]),
-        e.located(sources["sellers"], zips, "seller"),
-        e.located(sources["customers"], zips, "customer"),
-    )
-    return (
-        lookup_derived(joined, e.seller_delay_rates(facts if history is None else history), "seller_id", "order_id")
-        .transform(e.with_distance)
-        .transform(e.with_calendar)
-        .transform(e.with_cost_per_km)
-    )
-
-
-def enriched_shipments(sources: c.Sources, order_by: list[str], delivered: bool = True) -> DataFrame:
-    """Cleaned and enriched shipments as one lazy plan."""
+    distance = "distance" in features or "cost_per_km" in features
+    roles = {role: sources[f"{role}s"].select(f"{role}_id", f"{role}_state") for role in ("seller", "customer")}
+    if distance:
+        zips = stage(e.zip_coordinates(sources["geolocation"]), "zips")
+        roles = {role: e.located(sources[f"{role}s"], zips, role) for role in roles}
+    products = c.english_categories(sources["products"], sources["category_translation"])
+    rows = c.with_dimensions(facts, products, roles["seller"], roles["customer"])
+    if "seller_rate" in features:
+        if rates is None:
+            rates = stage(e.seller_delay_rates(facts, F.col("order_status") == "delivered"), "seller-rates")
+        rows = e.with_rates(rows, rates)
+    if distance:
+        rows = e.with_distance(rows)
+    if "calendar" in features:
+        rows = e.with_calendar(rows)
+    if "cost_per_km" in features:
+        rows = e.with_cost_per_km(rows)
+    return rows
+
+
+def enriched_shipments(
+    sources: c.Sources, order_by: list[str], delivered: bool = True, features: tuple[str, ...] = FEATURES
+) -> DataFrame:
+    """Cleaned and enriched shipments. Facts that the seller history reads as well are stored first."""
     facts = c.order_facts(sources, order_by, delivered)
-    return enrich_facts(facts, sources, None if delivered else c.delivered_only(facts))
+    if "seller_rate" in features:
+        facts = stage(facts, "facts")
+    return enrich_facts(facts, sources, features=features)
 
 
 def shipments_with(

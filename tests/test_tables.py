@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from haulmark.plans import jobs
 from haulmark.schemas import SHIPMENTS
 from haulmark.sources import csv_files
-from haulmark.sources.stored import StoredTable, absent_columns, conform
+from haulmark.sources.stored import Snapshot, StoredTable, absent_columns, conform
 
 FIRST, SECOND = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
@@ -91,7 +91,7 @@ def test_row_without_a_time_is_kept(spark, table):
 def test_second_publisher_of_a_version_fails(spark, table):
     table.merge(batch(spark, [("a", month(1), 1.0)]), FIRST)
     with pytest.raises(RuntimeError, match="another merge"):
-        table._publish(1, {})
+        table._publish(1, Snapshot())
     assert content(table) == {"a": (1, 1.0, "2024-01-01")}
 
 
