@@ -11,7 +11,6 @@ import json
 import sys
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from haulmark.schemas import ALL_ORDERS, DEFAULT_THRESHOLD, KPI_DAILY, OPEN_SHIP
 from haulmark.session import build_session, pin_utc
 from haulmark.sources import csv_files
 from haulmark.sources.stored import StoredTable
-from haulmark.staging import stage
+from haulmark.staging import stage, together
 
 
 def shipments_table(spark: SparkSession, root: str) -> StoredTable:
@@ -56,12 +55,6 @@ def open_shipments_table(spark: SparkSession, root: str) -> StoredTable:
     return StoredTable(spark, f"{root}/open_shipments", OPEN_SHIPMENTS, "order_id", "purchase_timestamp")
 
 
-def together(*tasks: Callable[[], object]) -> list:
-    """Run jobs that do not depend on each other at the same time; fails if one fails."""
-    with ThreadPoolExecutor(len(tasks)) as pool:
-        return [done.result() for done in [pool.submit(task) for task in tasks]]
-
-
 def load(
     spark: SparkSession, shipments: DataFrame, root: str, as_of: str, unique: bool = False
 ) -> dict[str, int]:

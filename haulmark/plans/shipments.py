@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulmark.operators import cleaning as c
 from haulmark.operators import enrichment as e
-from haulmark.staging import stage
+from haulmark.staging import stage, together
 
 FEATURES = ("distance", "calendar", "seller_rate", "cost_per_km")
 
@@ -25,7 +25,8 @@ def enrich_facts(
     roles = {role: sources[f"{role}s"].select(f"{role}_id", f"{role}_state") for role in ("seller", "customer")}
     if distance:
         zips = stage(e.zip_coordinates(sources["geolocation"]), "zips")
-        roles = {role: e.located(sources[f"{role}s"], zips, role) for role in roles}
+        found = together(*[lambda role=role: e.located(sources[f"{role}s"], zips, role) for role in roles])
+        roles = dict(zip(roles, found, strict=True))
     products = c.english_categories(sources["products"], sources["category_translation"])
     rows = c.with_dimensions(facts, products, roles["seller"], roles["customer"])
     if "seller_rate" in features:

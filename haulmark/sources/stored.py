@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.operators.ledger import Ledger
-from haulmark.staging import stage
+from haulmark.staging import stage, together
 
 Columns = list[tuple[str, str, bool]]
 
 WHOLE = "all"
-KEY_BUCKETS = 32
 MAX_PARTS = 8  # appended parts of a bucket or ledger before they are written as one
 
 
@@ -61,13 +60,14 @@ class Snapshot:
 class StoredTable:
     """A table at ``path`` keyed by ``key``, optionally split by a timestamp column's month.
 
-    ``key_buckets`` counts when the table is first written; choose it so that a bucket's keys fit a task.
+    ``key_buckets`` counts when the table is first written; choose it so that a bucket's keys fit a task. By default
+    there are as many as shuffle partitions.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, columns: Columns, key: str, month_of: str | None = None,
         stamps: tuple[str, ...] = (), cluster_by: str | None = None, ledger: Ledger | None = None,
-        key_buckets: int = KEY_BUCKETS,
+        key_buckets: int | None = None,
     ):
         self.spark, self.path, self.columns, self.key, self.month_of = spark, path.rstrip("/"), columns, key, month_of
         # Files are sorted by this column, so a filter on it skips row groups; the key gets a bloom filter.
@@ -260,7 +260,7 @@ class StoredTable:
             new = stage(new, "merge")
         keyed = bool(self.month_of)
         if keyed and not snapshot.buckets:
-            snapshot.buckets = self.key_buckets
+            snapshot.buckets = self.key_buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             if parts:  # written before there was a directory
                 self._add_keys(version, snapshot, self._read(sorted(parts.values())), None, set(range(snapshot.buckets)))
         if self.ledger and parts and snapshot.last_sums is None:  # or a ledger
@@ -293,12 +293,13 @@ class StoredTable:
                 .write.option(f"parquet.bloom.filter.enabled#{self.key}", "true")
                 .option("parquet.bloom.filter.adaptive.enabled", "true")
             )
-        writer.partitionBy("part").parquet(folder)
+        tasks = [lambda: writer.partitionBy("part").parquet(folder)]
         if keyed:
-            self._add_keys(version + 1, snapshot, new, gone, buckets)
+            tasks.append(lambda: self._add_keys(version + 1, snapshot, new, gone, buckets))
         if self.ledger:
             out = None if gone is None or old is None else old.join(gone.select(self.key), self.key, "left_semi")
-            self._add_sums(version + 1, snapshot, new, out)
+            tasks.append(lambda: self._add_sums(version + 1, snapshot, new, out))
+        together(*tasks)  # none of them is seen before the snapshot is published
         kept = {month: path for month, path in parts.items() if month not in touched}
         written = {name: f"{folder}/part={name}" for name in touched if self._exists(f"{folder}/part={name}")}
         snapshot.parts = kept | written

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{staging_root(spark)}/haulmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*tasks: Callable[[], object]) -> list:
+    """Run Spark jobs that do not depend on each other at the same time; fails if one fails."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [done.result() for done in [pool.submit(task) for task in tasks]]
