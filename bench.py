@@ -15,9 +15,9 @@ import sys
 import tempfile
 import time
 
-from haulmark.operators import browse, kpi, reporting
+from haulmark.operators import reporting
 from haulmark.operators.forest import train_model
-from haulmark.plans import jobs
+from haulmark.plans import jobs, serving
 from haulmark.plans.catalog import REGISTRY
 from haulmark.session import build_session
 from haulmark.sources import star
@@ -60,12 +60,12 @@ def main() -> None:
     sources = star.StarSources(spark, FOLDER)
     seconds = {"etl": timed(lambda: jobs.run_etl(spark, sources, star.ORDINAL, root, "2024-01-01 00:00:00"))}
 
-    shipments, orders = jobs.shipments_table(spark, root).read(), jobs.all_orders_table(spark, root).read()
+    shipments = jobs.shipments_table(spark, root).read()
     stored = {
-        "stored_kpi_summary": lambda: noop(kpi.kpi_summary(shipments, orders)),
-        "stored_seller_scorecard": lambda: noop(kpi.ranked_scorecard(shipments)),
-        "stored_shipments_page": lambda: noop(browse.details(browse.page_of(shipments, 1, 50))),
-        "stored_delay_by_category": lambda: noop(kpi.delay_by_category(shipments)),
+        "stored_kpi_summary": lambda: noop(serving.kpi_summary(spark, root)),
+        "stored_seller_scorecard": lambda: noop(serving.seller_scorecard(spark, root)),
+        "stored_shipments_page": lambda: noop(serving.shipments_page(spark, root)),
+        "stored_delay_by_category": lambda: noop(serving.delay_by_category(spark, root)),
         "stored_week_flagged": lambda: noop(reporting.late_of_week(shipments, "1995-07-19")),
         "stored_weekly_report": lambda: jobs.run_report(spark, root, "1995-07-19"),
     }

@@ -688,3 +688,21 @@ ORACLES = {
     "retrain_trigger": _q(VERSIONS, DECISION.format(minimum=1_000_000_000)),
     "retrain_new_rows": _q(VERSIONS, DECISION.format(minimum=10)),
 }
+
+ORACLES["shipments_page_deep"] = _q(
+    ENRICHED,
+    f"SELECT {DETAILS}, round(distance_km, 3) AS distance_km FROM enriched WHERE NOT is_late {NEWEST} LIMIT 40 OFFSET 280",
+)
+
+# Other ways to the same rows.
+for _name, _same in {
+    "rollup_kpi_summary": "kpi_summary",
+    "rollup_scorecard": "seller_scorecard",
+    "rollup_weekly_trend": "weekly_otif_trend",
+    "rollup_delay_by_category": "delay_by_category",
+    "rollup_week_metrics": "report_week_metrics",
+    "rollup_critical_sellers": "report_critical_sellers",
+    "shipments_page_ranked": "shipments_page",
+    "shipments_enriched_bucketed": "shipments_enriched",
+}.items():
+    ORACLES[_name] = ORACLES[_same]

@@ -92,27 +92,27 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc_nulls_first("purchase_timestamp"), "order_id")
 
 
-def _check_page(page: int, size: int) -> None:
+def check_page(page: int, size: int) -> None:
     if page < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"page must be at least 1 and size between 1 and {MAX_PAGE}")
 
 
 def page_of(df: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
     """One page by offset: a distributed top-k of ``page * size`` rows."""
-    _check_page(page, size)
+    check_page(page, size)
     return newest_first(df).offset((page - 1) * size).limit(size)
 
 
 def page_after(df: DataFrame, purchased: When, order_id: str, size: int = 50) -> DataFrame:
     """The page behind a known row. Costs the same however deep the page is."""
-    _check_page(1, size)
+    check_page(1, size)
     bought, mark = F.col("purchase_timestamp"), time_literal(df, "purchase_timestamp", purchased)
     behind = (bought < mark) | ((bought == mark) & (F.col("order_id") > order_id))
     return newest_first(df.where(behind)).limit(size)
 
 
 def page_totals(df: DataFrame, size: int = 50) -> DataFrame:
-    _check_page(1, size)
+    check_page(1, size)
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn(
         "total_pages", F.ceil(F.col("total") / F.lit(size)).cast("bigint")
     )

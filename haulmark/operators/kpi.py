@@ -46,7 +46,7 @@ def _weekly(shipments: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _trend(weekly: DataFrame, weeks: int, *keys: str) -> DataFrame:
+def filled_trend(weekly: DataFrame, weeks: int, *keys: str) -> DataFrame:
     """Fill the last ``weeks`` weeks up to the latest one, in one pass over the weekly rows."""
     by_week = F.map_from_entries(F.collect_list(F.struct("week_start", "otif_rate")))
     folded = weekly.groupBy(*keys).agg(F.max("week_start").alias("_latest"), by_week.alias("_by_week"))
@@ -61,13 +61,13 @@ def _trend(weekly: DataFrame, weeks: int, *keys: str) -> DataFrame:
 
 def weekly_otif_trend(shipments: DataFrame, weeks: int = 8) -> DataFrame:
     """Oldest first; weeks without shipments have a NULL rate."""
-    return _trend(_weekly(shipments), weeks).orderBy("week_start")
+    return filled_trend(_weekly(shipments), weeks).orderBy("week_start")
 
 
 def seller_weekly_trends(shipments: DataFrame, weeks: int = 8) -> DataFrame:
     """The same trend for every seller, each ending at its own latest week."""
     keyed = shipments.where(F.col("seller_id").isNotNull())
-    return _trend(_weekly(keyed, "seller_id"), weeks, "seller_id")
+    return filled_trend(_weekly(keyed, "seller_id"), weeks, "seller_id")
 
 
 def seller_profile(stats: DataFrame, shipments: DataFrame, seller_id: str | None = None) -> DataFrame:
@@ -122,7 +122,12 @@ SCORECARD_SORTS = ["delay_rate", "total_orders", "avg_delay_days", "avg_cost"]
 
 def seller_scorecard(shipments: DataFrame) -> DataFrame:
     """Per seller: volume, late share (a fraction), late-only mean delay and mean freight."""
-    rows = seller_sums(shipments).select(
+    return scorecard_of(seller_sums(shipments))
+
+
+def scorecard_of(sums: DataFrame) -> DataFrame:
+    """The scorecard from sums per seller."""
+    rows = sums.select(
         "seller_id",
         "seller_state",
         F.col("orders").alias("total_orders"),
@@ -136,6 +141,11 @@ def seller_scorecard(shipments: DataFrame) -> DataFrame:
 def ranked_scorecard(
     shipments: DataFrame, sort_by: str = "delay_rate", order: str = "desc", limit: int = 50
 ) -> DataFrame:
+    """``first_sellers`` of these shipments' scorecard."""
+    return first_sellers(seller_scorecard(shipments), sort_by, order, limit)
+
+
+def first_sellers(card: DataFrame, sort_by: str = "delay_rate", order: str = "desc", limit: int = 50) -> DataFrame:
     """The scorecard's first ``limit`` sellers; unknown sort columns fall back to the late share."""
     if order not in ("asc", "desc"):
         raise ValueError("order must be 'asc' or 'desc'")
@@ -143,7 +153,7 @@ def ranked_scorecard(
         raise ValueError("limit must be between 1 and 500")
     key = F.col(sort_by if sort_by in SCORECARD_SORTS else "delay_rate")
     direction = key.asc_nulls_last() if order == "asc" else key.desc_nulls_last()
-    return seller_scorecard(shipments).orderBy(direction, "seller_id").limit(limit)
+    return card.orderBy(direction, "seller_id").limit(limit)
 
 
 def _latest_weeks(week: Column, rate: Column) -> Column:
@@ -181,6 +191,11 @@ def kpi_summary(shipments: DataFrame, orders: DataFrame) -> DataFrame:
         F.count("freight_value").alias("freight_n"),
     )
     counts = orders.agg(F.count(F.lit(1)).alias("all_n"), F.count_if(_delivered()).alias("delivered"))
+    return summary_of(weekly, counts)
+
+
+def summary_of(weekly: DataFrame, counts: DataFrame) -> DataFrame:
+    """The summary from sums per week, whatever they were added up from, and the number of orders."""
     parts = weekly.unionByName(counts, allowMissingColumns=True)
 
     rate = numbers.per(F.col("n") - F.col("late"), F.col("n")) * 100

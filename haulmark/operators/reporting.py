@@ -35,6 +35,11 @@ def week_metrics(shipments: DataFrame, week: times.Day) -> DataFrame:
         F.count_if(~now).alias("prior"),
         F.count_if(~now & late).alias("prior_late"),
     )
+    return metrics_of(sums)
+
+
+def metrics_of(sums: DataFrame) -> DataFrame:
+    """The headline figures from the sums of a week and of the one before."""
     share = numbers.ratio_or_zero(F.col("total") - F.col("late"), F.col("total"))
     prior_share = numbers.per(F.col("prior") - F.col("prior_late"), F.col("prior"))
     return sums.select(

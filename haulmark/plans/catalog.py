@@ -15,10 +15,12 @@ from haulmark.functions import labels, numbers, times
 from haulmark.operators import aggregates, audit, browse, cleaning, enrichment, kpi
 from haulmark.operators import evaluation as ev
 from haulmark.operators import features as ft
-from haulmark.operators import registry, reporting, scoring
+from haulmark.operators import pages, registry, reporting, rollup, scoring
+from haulmark.operators.ledger import ORDER_LEDGER
 from haulmark.plans.shipments import FEATURES, enriched_shipments, shipments_with
 from haulmark.session import pin_utc
 from haulmark.sources import star
+from haulmark.sources.bucketed import BucketedSources
 from haulmark.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,6 +465,63 @@ def in_transit(t: Tables) -> DataFrame:
     return browse.in_transit(t.enriched(delivered=False)).withColumn("distance_km", F.round("distance_km", 3))
 
 
+@query
+def shipments_page_ranked(t: Tables) -> DataFrame:
+    return browse.details(pages.ranked_page(_listing(t), page=3, size=50))
+
+
+@query
+def shipments_page_deep(t: Tables) -> DataFrame:
+    on_time = browse.filter_shipments(_listing(t), status="on_time")
+    return browse.details(pages.ranked_page(on_time, page=8, size=40))
+
+
+# --- figures from sums ----------------------------------------------------------------------
+
+
+def _sums(t: Tables) -> rollup.Sums:
+    return rollup.of_rows(t.facts("product", "seller"))
+
+
+@query
+def rollup_kpi_summary(t: Tables) -> DataFrame:
+    orders = rollup.of_rows(t.orders(), ORDER_LEDGER)
+    return rollup.kpi_summary(_sums(t), orders("status"))
+
+
+@query
+def rollup_scorecard(t: Tables) -> DataFrame:
+    return rollup.seller_scorecard(_sums(t))
+
+
+@query
+def rollup_weekly_trend(t: Tables) -> DataFrame:
+    return rollup.weekly_otif_trend(_sums(t), weeks=12)
+
+
+@query
+def rollup_delay_by_category(t: Tables) -> DataFrame:
+    return rollup.delay_by_category(_sums(t))
+
+
+@query
+def rollup_week_metrics(t: Tables) -> DataFrame:
+    return rollup.week_metrics(_sums(t), WEEK)
+
+
+@query
+def rollup_critical_sellers(t: Tables) -> DataFrame:
+    return rollup.critical_sellers(_sums(t), WEEK)
+
+
+@query
+def shipments_enriched_bucketed(t: Tables) -> DataFrame:
+    """The enriched shipments from sources staged in buckets by order."""
+    sources = BucketedSources(t.spark, t.sources)
+    rows = enriched_shipments(sources, star.ORDINAL)
+    return rows.withColumn("distance_km", F.round("distance_km", 3)).drop("order_status")
+
+
 # --- weekly report --------------------------------------------------------------------------
 
 
