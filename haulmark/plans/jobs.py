@@ -12,7 +12,7 @@ import sys
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.functions.times import Day, monday_of
@@ -21,7 +21,7 @@ from haulmark.operators import evaluation as ev
 from haulmark.operators.forest import ForestModel, Training, train_model
 from haulmark.operators.ledger import ORDER_LEDGER, SHIPMENT_LEDGER
 from haulmark.plans.shipments import enrich_facts
-from haulmark.schemas import ALL_ORDERS, DEFAULT_THRESHOLD, KPI_DAILY, OPEN_SHIPMENTS, REJECTED, SELLER_STATS, SHIPMENTS
+from haulmark.schemas import ALL_ORDERS, DEFAULT_THRESHOLD, KPI_DAILY, OPEN_SHIPMENTS, REJECTED, SCORES, SELLER_STATS, SHIPMENTS
 from haulmark.session import build_session, pin_utc
 from haulmark.sources import csv_files
 from haulmark.sources.stored import StoredTable
@@ -31,7 +31,7 @@ from haulmark.staging import stage, together
 def shipments_table(spark: SparkSession, root: str) -> StoredTable:
     return StoredTable(
         spark, f"{root}/shipments", SHIPMENTS, "order_id", "purchase_timestamp", ("created_at",), cluster_by="seller_id",
-        ledger=SHIPMENT_LEDGER,
+        ledger=SHIPMENT_LEDGER, search_on=("order_id", "seller_id"),
     )
 
 
@@ -158,22 +158,56 @@ def save_run(spark: SparkSession, models: str, training: Training, as_of: str) -
     return run
 
 
-def active_model(spark: SparkSession, root: str) -> ForestModel:
+def active_version(spark: SparkSession, root: str) -> Row:
     active = registry.active_version(registry.read_versions(spark, f"{root}/models")).first()
     if active is None:
         raise RuntimeError("no active model; run the retrain job first")
-    return ForestModel.load(spark, active.storage_path)
+    return active
+
+
+def active_model(spark: SparkSession, root: str) -> ForestModel:
+    return ForestModel.load(spark, active_version(spark, root).storage_path)
+
+
+def scores_table(spark: SparkSession, root: str) -> StoredTable:
+    return StoredTable(spark, f"{root}/scores", SCORES, "order_id", "purchase_timestamp")
+
+
+def rescore(spark: SparkSession, root: str, model: Callable[[DataFrame], DataFrame], name: str, as_of: str) -> DataFrame:
+    """Scores of the stored open shipments; only those that changed since the last run are scored.
+
+    What changed is the difference of two snapshots of the table: the present one and the one that
+    the scores were made from. Another model (``name``) scores everything anew.
+    """
+    table, scores = open_shipments_table(spark, root), scores_table(spark, root)
+    known, version = scores.notes(), table.version()
+    if known == {"model": name, "version": version}:
+        return scores.read()
+    if known.get("model") == name:
+        changed, gone = table.changes(known["version"])
+        gone = gone.unionByName(changed.select("order_id"))
+    else:
+        changed, gone = table.read(), scores.read().select("order_id")
+    under_way = scoring.active_only(changed).where(F.col("delivered_timestamp").isNull())
+    scored = stage(model(under_way).select(*[column for column, _, _ in SCORES]), "scored")
+    notes = {"model": name, "version": version}
+    scores.merge(scored, as_of, stored=True, unique=True, replacing=stage(gone, "gone"), notes=notes)
+    return scores.read()
 
 
 def run_alerts(spark: SparkSession, root: str, open_shipments: DataFrame | None, as_of: str) -> dict:
-    """Score open shipments, by default the stored ones, and write the flagged ones and their totals."""
+    """Write the flagged open shipments and their totals.
+
+    The stored open shipments, the default, are rescored by difference; a given frame is scored in full.
+    """
     pin_utc(spark)
+    active = active_version(spark, root)
+    model = ForestModel.load(spark, active.storage_path)
     if open_shipments is None:
-        open_shipments = open_shipments_table(spark, root).read()
-    model = active_model(spark, root)
-    flagged = stage(
-        scoring.flagged_shipments(browse.in_transit(open_shipments), model, as_of, model.threshold), "flagged"
-    )
+        rows, scorer = rescore(spark, root, model, active.storage_path, as_of), lambda scored: scored
+    else:
+        rows, scorer = browse.in_transit(open_shipments), model
+    flagged = stage(scoring.flagged_shipments(rows, scorer, as_of, model.threshold), "flagged")
     flagged.write.mode("overwrite").parquet(f"{root}/alerts/flagged")
     stats = scoring.alert_stats(flagged)
     stats.coalesce(1).write.mode("overwrite").json(f"{root}/alerts/stats")

@@ -39,3 +39,9 @@ def shipments_between(spark: SparkSession, root: str, first: Day, end: Day, **co
     """The listing of a time range up to, but without, ``end``; opens only its months."""
     rows = jobs.shipments_table(spark, root).between(str(first), str(end))
     return browse.details(browse.filter_shipments(rows, **conditions))
+
+
+def shipments_search(spark: SparkSession, root: str, text: str, **conditions) -> DataFrame:
+    """Shipments whose order or seller id contains ``text``; opens only files that may hold one."""
+    rows = jobs.shipments_table(spark, root).search(text)
+    return browse.details(browse.filter_shipments(rows, **conditions))

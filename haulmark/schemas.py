@@ -60,6 +60,7 @@ SOURCE_TYPES = {
     },
 }
 
+# --- Fixed values: the time columns of an order. -----------------------------------------
 ORDER_TIMESTAMPS = [
     "order_purchase_timestamp",
     "order_approved_at",
@@ -134,6 +135,10 @@ OPEN_SHIPMENTS = [
     ],
 ]
 
+# Scores of open shipments: what an alert shows, and the columns a status filter and the months need.
+SCORES = [column for column in OPEN_SHIPMENTS if column[0] not in ("seller_historical_delay_rate", "day_of_week", "month", "freight_value", "price")]
+SCORES = [*SCORES, ("delay_probability", "double", True)]
+
 KPI_DAILY = [
     ("date", "date", False),
     ("otif_rate", "double", True),

@@ -11,6 +11,8 @@ A table split by month has two companions, listed in the same snapshots and so n
   keys and a lookup opens the buckets of the keys it asks for, so no merge reads all keys.
 * the ledger holds partial sums. A merge appends those of its new rows less those of the rows
   they replace; readers add up the few appended parts.
+
+A table may also be searched by parts of its ids: postings say which files hold an id with given three letters.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.operators.ledger import Ledger
+from haulmark.sources import postings
 from haulmark.staging import stage, together
 
 Columns = list[tuple[str, str, bool]]
@@ -48,13 +52,16 @@ def absent_columns(df: DataFrame, columns: Columns) -> list[str]:
 
 @dataclass
 class Snapshot:
-    """What a version consists of: folder per month, folders per key bucket, ledger folders and the latest of them."""
+    """What a version consists of: folder per month, folders per key bucket, ledger folders and the latest of them,
+    folders of postings, and notes of the writer."""
 
     parts: dict[str, str] = field(default_factory=dict)
     buckets: int = 0
     keys: dict[str, list[str]] = field(default_factory=dict)
     sums: list[str] = field(default_factory=list)
     last_sums: str | None = None
+    grams: list[str] = field(default_factory=list)
+    notes: dict = field(default_factory=dict)
 
 
 class StoredTable:
@@ -67,14 +74,14 @@ class StoredTable:
     def __init__(
         self, spark: SparkSession, path: str, columns: Columns, key: str, month_of: str | None = None,
         stamps: tuple[str, ...] = (), cluster_by: str | None = None, ledger: Ledger | None = None,
-        key_buckets: int | None = None,
+        key_buckets: int | None = None, search_on: tuple[str, ...] = (),
     ):
         self.spark, self.path, self.columns, self.key, self.month_of = spark, path.rstrip("/"), columns, key, month_of
         # Files are sorted by this column, so a filter on it skips row groups; the key gets a bloom filter.
         self.cluster_by = cluster_by
         # Audit columns set by the merge: "created_at" survives updates, "updated_at" does not.
         self.stamps = stamps
-        self.ledger, self.key_buckets = ledger, key_buckets
+        self.ledger, self.key_buckets, self.search_on = ledger, key_buckets, search_on
 
     # --- snapshots ------------------------------------------------------------------------
 
@@ -103,6 +110,9 @@ class StoredTable:
             stream.close()
         return Snapshot(**found) if "parts" in found else Snapshot(parts=found)
 
+    def notes(self) -> dict:
+        return self._snapshot().notes
+
     def _parts(self, version: int) -> dict[str, str]:
         return self._snapshot(version).parts
 
@@ -150,6 +160,51 @@ class StoredTable:
         months = self._months(self._located(snapshot, keys, self._buckets_of(snapshot, keys)))
         return self._read(sorted(snapshot.parts[m] for m in months)).join(keys.select(self.key), self.key, "left_semi")
 
+    def search(self, text: str) -> DataFrame:
+        """Rows in which an id of ``search_on`` contains ``text``, in any case; opens only files that postings name.
+
+        ``%`` and ``_`` keep their LIKE meaning. Texts without three letters in a row, and those that are not plain
+        ASCII, have no postings to look at; all files are searched then.
+        """
+        found = [F.col(name).ilike(f"%{text}%") for name in self.search_on]
+        wanted = reduce(lambda a, b: a | b, found)
+        grams = postings.grams_of(text)
+        snapshot = self._snapshot()
+        if not grams or not snapshot.grams:
+            return self.read().where(wanted)
+        folders = [f"{f}/bucket={b}" for f in snapshot.grams for b in sorted({postings.bucket_of(g) for g in grams})]
+        rows = self._open([f for f in folders if self._exists(f)], postings.DDL)
+        files = [row.file for row in postings.candidates(rows, grams).collect()]  # at most the table's files
+        current = {postings.below_data(folder) for folder in snapshot.parts.values()}
+        return self._read(sorted(f for f in files if postings.below_data(f).rpartition("/")[0] in current)).where(wanted)
+
+    def _add_grams(self, version: int, snapshot: Snapshot, written: list[str]) -> None:
+        """Append postings of the files of this merge; many parts are made anew from the current files."""
+        anew = len(snapshot.grams) >= MAX_PARTS
+        folders = written if not anew else sorted(snapshot.parts.values())
+        if folders:
+            folder = f"{self.path}/grams/{version:08d}-{uuid.uuid4().hex}"
+            rows = postings.of_files(self._read(folders), self.search_on)
+            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(folder)
+            snapshot.grams = [folder] if anew else [*snapshot.grams, folder]
+
+    # --- changes --------------------------------------------------------------------------
+
+    def changes(self, since: int) -> tuple[DataFrame, DataFrame]:
+        """Rows that are new or other than in version ``since``, and keys that were there then and are gone.
+
+        Months whose folder is the same in both snapshots are not opened; in the others rows are told apart by a digest.
+        """
+        then, now = self._snapshot(since).parts, self._snapshot().parts
+        months = sorted(m for m in then.keys() | now.keys() if then.get(m) != now.get(m))
+        old, new = (self._read([parts[m] for m in months if m in parts]) for parts in (then, now))
+        names = [name for name, _, _ in self.columns]
+        # A null leaves a hash as it was, so which values are null is hashed as well.
+        digest = F.xxhash64(*names, *[F.col(name).isNull() for name in names]).alias("_digest")
+        same = old.select(self.key, digest)
+        changed = new.withColumn("_digest", digest).join(same, [self.key, "_digest"], "left_anti").drop("_digest")
+        return changed, old.select(self.key).join(new.select(self.key), self.key, "left_anti")
+
     # --- ledger ---------------------------------------------------------------------------
 
     def sums(self, grain: str) -> DataFrame:
@@ -244,13 +299,14 @@ class StoredTable:
         return {row.part for row in found}, {b for row in found for b in row.buckets}
 
     def merge(
-        self, rows: DataFrame, as_of: str, stored: bool = False, replacing: DataFrame | None = None, unique: bool = False
+        self, rows: DataFrame, as_of: str, stored: bool = False, replacing: DataFrame | None = None, unique: bool = False,
+        notes: dict | None = None,
     ) -> int:
         """Insert new keys and replace existing ones; returns the new version.
 
         ``rows`` must hold each key once, which is checked unless ``unique`` promises it; ``stored`` says they are
         read from files and need not be written once more. Old rows go too if ``replacing`` has their key, whether
-        ``rows`` has it or not. Running the same merge again leaves the same rows.
+        ``rows`` has it or not. Running the same merge again leaves the same rows. ``notes`` are published with it.
         """
         version = self.version()
         snapshot = self._snapshot(version)
@@ -303,6 +359,9 @@ class StoredTable:
         kept = {month: path for month, path in parts.items() if month not in touched}
         written = {name: f"{folder}/part={name}" for name in touched if self._exists(f"{folder}/part={name}")}
         snapshot.parts = kept | written
+        if self.search_on:
+            self._add_grams(version + 1, snapshot, sorted(written.values()))
+        snapshot.notes = snapshot.notes if notes is None else notes
         self._publish(version + 1, snapshot)
         return version + 1
 

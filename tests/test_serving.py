@@ -115,3 +115,80 @@ def test_bucketed_files_serve_another_session(spark, tmp_path):
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in orders.schema.fields)
     again = bucketed.read_bucketed(spark.newSession(), f"{tmp_path}/orders", ddl, 5)
     assert sorted(map(str, again.collect())) == sorted(map(str, orders.collect()))
+
+
+@pytest.mark.parametrize("text", ["o12", "O1", "s3", "hot", "HO", "o1_3", "o%99", "t%", "o29", "zzz", "ö12", "", "o\\_1"])
+def test_search_equals_the_scan(spark, root, text):
+    want = browse.details(browse.filter_shipments(jobs.shipments_table(spark, root).read(), search=text))
+    assert plain(serving.shipments_search(spark, root, text).collect()) == plain(want.collect())
+
+
+def test_search_opens_candidate_files_only(spark, root):
+    table = jobs.shipments_table(spark, root)
+    found = table.search("o123")
+    assert [r.order_id for r in found.collect()] == ["o123"]
+    assert len(found.inputFiles()) == 1 < len(table.read().inputFiles())
+    assert table.search("o12345").inputFiles() == []
+
+
+def test_search_after_many_merges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("haulmark.sources.stored.MAX_PARTS", 2)
+    rng, table = random.Random(2), jobs.shipments_table(spark, str(tmp_path))
+    for _ in range(3):
+        rows = spark.createDataFrame([random_shipment(rng, i) for i in range(rng.randint(10, 40))], DDL).na.fill(5.0, ["price"])
+        table.merge(rows, AS_OF)
+    assert len(table._snapshot().grams) <= 2
+    for text in ("o1%", "hot", "o12"):
+        want = table.read().where(browse.id_contains(text))
+        assert plain(table.search(text).collect()) == plain(want.collect())
+
+
+def test_changes_between_versions(spark, tmp_path):
+    table, rng = jobs.open_shipments_table(spark, str(tmp_path)), random.Random(6)
+    first = [random_shipment(rng, i) for i in range(40)]
+    table.merge(spark.createDataFrame(first, DDL), AS_OF)
+    moved = [(*first[3][:4], "other", *first[3][5:]), first[4], (*first[5][:5], None, *first[5][6:])]
+    gone = spark.createDataFrame([("o7",)], "order_id string")
+    table.merge(spark.createDataFrame([*moved, random_shipment(rng, 99)], DDL), AS_OF, replacing=gone)
+    changed, lost = table.changes(1)
+    assert sorted(r.order_id for r in changed.collect()) == sorted({"o3", "o99"} | ({"o5"} if first[5][5] else set()))
+    assert [r.order_id for r in lost.collect()] == ["o7"]
+    assert table.changes(2)[0].count() == table.changes(2)[1].count() == 0
+
+
+def test_alerts_score_only_what_changed(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path), []
+
+    class Model:
+        threshold = 0.5
+
+        def __call__(self, rows):
+            seen.append(rows.count())
+            return rows.withColumn("delay_probability", F.pmod(F.xxhash64("order_id", "price"), F.lit(100)) / 100)
+
+    model = Model()
+    monkeypatch.setattr(jobs.ForestModel, "load", lambda spark, path: model)
+    monkeypatch.setattr(jobs, "active_version", lambda spark, root: jobs.Row(storage_path="first"))
+    rng = random.Random(4)
+
+    def orders(ids):
+        rows = spark.createDataFrame([random_shipment(rng, i) for i in ids], DDL)
+        return rows.withColumns({"order_status": F.lit("shipped"), "estimated_delivery": F.lit("2024-02-01").cast("timestamp_ntz")})
+
+    def full():
+        rows = jobs.open_shipments_table(spark, root).read()
+        return jobs.run_alerts(spark, root, rows, AS_OF)
+
+    table = jobs.open_shipments_table(spark, root)
+    table.merge(orders(range(60)), AS_OF)
+    stats = jobs.run_alerts(spark, root, None, AS_OF)
+    assert seen == [60] and stats["total_flagged"] > 0
+    assert jobs.run_alerts(spark, root, None, AS_OF) == stats and seen == [60]  # nothing changed, nothing is scored
+    assert full() == stats
+    table.merge(orders(range(50, 65)), AS_OF, replacing=spark.createDataFrame([("o1",), ("o2",)], "order_id string"))
+    del seen[:]
+    assert jobs.run_alerts(spark, root, None, AS_OF) == full() and seen == [15, 63]
+    monkeypatch.setattr(jobs, "active_version", lambda spark, root: jobs.Row(storage_path="second"))
+    del seen[:]
+    jobs.run_alerts(spark, root, None, AS_OF)
+    assert seen == [63]
