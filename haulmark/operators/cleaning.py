@@ -56,24 +56,31 @@ def delivered_only(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("order_status") == "delivered")
 
 
-def first_items(items: DataFrame) -> DataFrame:
-    """Per order and column, the first non-null value by item number.
+_ITEM_RANK = f"struct(coalesce(order_item_id, {2**63 - 1}) as order_item_id, {', '.join(ITEM_VALUES)})"
+
+
+def item_states(items: DataFrame) -> DataFrame:
+    """Per order, minima that tell the first non-null value of each column; least() merges two of them.
 
     Rows without any null, the usual case, feed one running minimum; only rows with a null
     feed the minimum of each single column. Items without a number come last.
     """
-    rank = f"struct(coalesce(order_item_id, {2**63 - 1}) as order_item_id, {', '.join(ITEM_VALUES)})"
     complete = " and ".join(f"{name} is not null" for name in ITEM_VALUES)
-    first = F.expr(f"min(if({complete}, {rank}, null)) as _complete")
+    first = F.expr(f"min(if({complete}, {_ITEM_RANK}, null)) as _complete")
     partial = [
-        F.expr(f"min(if(not ({complete}) and {name} is not null, {rank}, null)) as _{name}") for name in ITEM_VALUES
+        F.expr(f"min(if(not ({complete}) and {name} is not null, {_ITEM_RANK}, null)) as _{name}") for name in ITEM_VALUES
     ]
-    return (
-        drop_null_keys(items, "order_id")
-        .groupBy("order_id")
-        .agg(first, *partial)
-        .selectExpr("order_id", *[f"least(_complete, _{name}).{name} as {name}" for name in ITEM_VALUES])
-    )
+    return drop_null_keys(items, "order_id").groupBy("order_id").agg(first, *partial)
+
+
+def item_value(name: str) -> Column:
+    """The first value of a column of the items, from their states."""
+    return F.expr(f"least(_complete, _{name}).{name} as {name}")
+
+
+def first_items(items: DataFrame) -> DataFrame:
+    """Per order and column, the first non-null value by item number."""
+    return item_states(items).select("order_id", *[item_value(name) for name in ITEM_VALUES])
 
 
 def payment_totals(payments: DataFrame) -> DataFrame:
@@ -121,10 +128,11 @@ def order_facts(sources: Sources, order_by: list[str], delivered: bool = True) -
         .join(payment_totals(sources["order_payments"]), "order_id", "left")
         .join(best_reviews(sources["order_reviews"]), "order_id", "left")
     )
-    priced = joined.withColumns(
-        {"price": numbers.money(F.col("price")), "freight_value": numbers.money(F.col("freight_value"))}
-    )
-    return with_delay(priced)
+    return with_delay(priced(joined))
+
+
+def priced(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: numbers.money(F.col(name)) for name in ("price", "freight_value")})
 
 
 def with_dimensions(

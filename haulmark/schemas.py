@@ -135,6 +135,23 @@ OPEN_SHIPMENTS = [
     ],
 ]
 
+# What is known of an order so far; every column of a later part merges into it.
+_ITEM = "struct<order_item_id:bigint,product_id:string,seller_id:string,price:double,freight_value:double>"
+ORDER_STATES = [
+    ("order_id", "string", False),
+    ("place", "struct<load:int,_file:string,_block:bigint,_line:bigint>", True),
+    ("customer_id", "string", True),
+    ("order_status", "string", True),
+    ("purchase_timestamp", "timestamp_ntz", True),
+    ("order_approved_at", "timestamp_ntz", True),
+    ("order_delivered_carrier_date", "timestamp_ntz", True),
+    ("delivered_timestamp", "timestamp_ntz", True),
+    ("estimated_delivery", "timestamp_ntz", True),
+    *[(name, _ITEM, True) for name in ("_complete", "_product_id", "_seller_id", "_price", "_freight_value")],
+    ("payment_value", "decimal(18,2)", True),
+    ("review_score", "smallint", True),
+]
+
 # Scores of open shipments: what an alert shows, and the columns a status filter and the months need.
 SCORES = [column for column in OPEN_SHIPMENTS if column[0] not in ("seller_historical_delay_rate", "day_of_week", "month", "freight_value", "price")]
 SCORES = [*SCORES, ("delay_probability", "double", True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +35,40 @@ def check_complete(spark: SparkSession, root: str) -> None:
         raise FileNotFoundError(f"missing source files in {root}: {', '.join(missing)}")
 
 
-def read_table(spark: SparkSession, root: str, table: str, mode: str = "FAILFAST", ordinal: bool = False) -> DataFrame:
-    """One CSV file (or folder of parts) with its pinned types; other columns stay text.
+def parts_of(spark: SparkSession, root: str, table: str) -> dict[str, int]:
+    """The files of a table, one file or a folder of parts, with their sizes; nothing is opened."""
+    path = _path(spark, root, f"{SOURCE_FILES[table]}.csv")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    statuses = fs.listStatus(path)  # of the file itself, or of the folder's entries
+    named = ((status.getPath().toString(), status) for status in statuses)
+    return {name: status.getLen() for name, status in named if status.isFile() and name.rpartition("/")[2][0] not in "._"}
+
+
+def digests(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """A digest of each file's lines, whatever their order; the files are read where they lie, one row each comes back."""
+    if not files:
+        return {}
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.xxhash64("value").alias("h"))
+    sums = lines.groupBy("file").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
+    found = {_plain(row.file): f"{row.n}:{row.sum}" for row in sums.collect()}
+    return {file: found.get(_plain(file), "0:0") for file in files}
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme, so that two spellings of it compare."""
+    return "/" + unquote(path.partition(":")[2] if ":" in path else path).lstrip("/")
+
+
+def read_table(
+    spark: SparkSession, root: str, table: str, mode: str = "FAILFAST", ordinal: bool = False, files: list[str] | None = None
+) -> DataFrame:
+    """One CSV file (or folder of parts, or the given ``files`` of it) with its pinned types; other columns stay text.
 
     FAILFAST stops at a value that does not fit its pinned type; PERMISSIVE nulls it and keeps
     the line in ``_corrupt_record``. ``ordinal`` adds sortable columns that follow file order
     however the file is split.
     """
-    path = f"{root.rstrip('/')}/{SOURCE_FILES[table]}.csv"
+    path = files or f"{root.rstrip('/')}/{SOURCE_FILES[table]}.csv"
     options = {"header": "true", "quote": '"', "escape": '"', "multiLine": str(table in MULTI_LINE).lower()}
     header = spark.read.options(**options).csv(path).columns
     pinned = SOURCE_TYPES[table]
