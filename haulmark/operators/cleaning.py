@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.functions import numbers, times
-from haulmark.operators.lookups import lookup_stored
+from haulmark.operators.lookups import lookup_small, lookup_stored
 from haulmark.schemas import CANONICAL_NAMES, ORDER_TIMESTAMPS
 
 Sources = Mapping[str, DataFrame]
@@ -102,7 +102,7 @@ def best_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def english_categories(products: DataFrame, translation: DataFrame) -> DataFrame:
-    named = lookup_stored(products, translation, "product_category_name")
+    named = lookup_small(products, translation, "product_category_name")
     return named.select("product_id", F.col("product_category_name_english").alias("category_name"))
 
 

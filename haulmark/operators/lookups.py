@@ -1,6 +1,7 @@
 """Left joins from many rows to a keyed lookup.
 
-A broadcast is hinted only for the list of heavy keys, whose length arithmetic bounds; otherwise Spark broadcasts
+A broadcast is hinted only for the list of heavy keys, whose length arithmetic bounds, and for lookups whose size was
+checked; otherwise Spark broadcasts
 a side only when the size it knows (file statistics, or the measured shuffle output under adaptive execution) is below
 ``spark.sql.autoBroadcastJoinThreshold``. Beyond that size the joins below stay balanced.
 """
@@ -21,6 +22,23 @@ def lookup_stored(rows: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     return rows.join(lookup.where(F.col(on).isNotNull()), on, "left")
 
 
+SMALL_ROWS, SMALL_CHARS = 10_000, 1_000_000
+
+
+def lookup_small(rows: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
+    """Left join to a lookup that is expected to be short, by a key of few values.
+
+    Its size is checked, which reads at most ``SMALL_ROWS`` + 1 of its rows. Within the bounds it is broadcast and the
+    rows stay where they are; a longer one is joined like any stored lookup.
+    """
+    known = lookup.where(F.col(on).isNotNull())
+    chars = sum((F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) for name in lookup.columns), F.lit(0))
+    size = known.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).first()
+    if size.n > SMALL_ROWS or (size.chars or 0) > SMALL_CHARS:
+        return lookup_stored(rows, lookup, on)
+    return rows.join(F.broadcast(known), on, "left")
+
+
 def key_weights(rows: DataFrame, on: str) -> DataFrame:
     """Rows per key, from a pass over the key column alone."""
     return stage(rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n")), "weights")

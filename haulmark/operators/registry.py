@@ -30,9 +30,11 @@ def retrain_decision(
     """One row: whether to retrain, why, and the figures behind it.
 
     ``late_rate_drift`` is the gap between the stored accuracy and the recent on-time share, a
-    stand-in for accuracy on fresh rows.
+    stand-in for accuracy on fresh rows. The active version, one row, is read once, before the shipments.
     """
-    active = active_version(versions).select(F.struct("version", "accuracy", "trained_at")).scalar()
+    found = active_version(versions).first()
+    kinds = {"version": "string", "accuracy": "double", "trained_at": "timestamp_ntz"}
+    active = {name: F.lit(found[name] if found else None).cast(kind) for name, kind in kinds.items()}
     now = F.lit(as_of).cast("timestamp_ntz")
     recent = F.col("purchase_timestamp") >= now - F.make_dt_interval(days=F.lit(RECENT_DAYS))
     figures = shipments.agg(

@@ -306,6 +306,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--as-of", default=dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S"))
     parser.add_argument("--week")
     parser.add_argument("--force", action="store_true")
+    parser.add_argument("--single-line", action="store_true", help="etl: no value holds a line break, so every file is split")
     parser.add_argument("--increment", action="store_true", help="etl: read only files that were not read before")
     parser.add_argument("--sellers", type=int, default=reporting.CRITICAL_SELLERS, help="0 for all")
     parser.add_argument("--flagged", type=int, default=reporting.FLAGGED_ROWS, help="0 for all")
@@ -315,7 +316,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.job == "etl" and args.increment:
             result = run_increment(spark, args.raw, args.tables, args.as_of)
         elif args.job == "etl":
-            sources = csv_files.read_sources(spark, args.raw)
+            sources = csv_files.read_sources(spark, args.raw, multi_line=False if args.single_line else None)
             result = run_etl(spark, sources, csv_files.ORDINAL, args.tables, args.as_of)
         elif args.job == "retrain":
             result = run_retrain(spark, args.tables, args.as_of, force=args.force)

@@ -60,16 +60,18 @@ def _plain(path: str) -> str:
 
 
 def read_table(
-    spark: SparkSession, root: str, table: str, mode: str = "FAILFAST", ordinal: bool = False, files: list[str] | None = None
+    spark: SparkSession, root: str, table: str, mode: str = "FAILFAST", ordinal: bool = False, files: list[str] | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """One CSV file (or folder of parts, or the given ``files`` of it) with its pinned types; other columns stay text.
 
     FAILFAST stops at a value that does not fit its pinned type; PERMISSIVE nulls it and keeps
     the line in ``_corrupt_record``. ``ordinal`` adds sortable columns that follow file order
-    however the file is split.
+    however the file is split. A file that may hold line breaks inside quotes, by default only ``MULTI_LINE``, is
+    read by one task; say ``multi_line=False`` if it holds none, and it is split like any other.
     """
     path = files or f"{root.rstrip('/')}/{SOURCE_FILES[table]}.csv"
-    options = {"header": "true", "quote": '"', "escape": '"', "multiLine": str(table in MULTI_LINE).lower()}
+    options = {"header": "true", "quote": '"', "escape": '"', "multiLine": str(table in MULTI_LINE if multi_line is None else multi_line).lower()}
     header = spark.read.options(**options).csv(path).columns
     pinned = SOURCE_TYPES[table]
     absent = [name for name in pinned if name not in header]
@@ -91,7 +93,11 @@ def read_table(
     return df
 
 
-def read_sources(spark: SparkSession, root: str, mode: str = "FAILFAST") -> dict[str, DataFrame]:
+def read_sources(
+    spark: SparkSession, root: str, mode: str = "FAILFAST", multi_line: bool | None = None
+) -> dict[str, DataFrame]:
     """All nine tables; orders carry the file-order columns ``ORDINAL`` for keep-first."""
     check_complete(spark, root)
-    return {table: read_table(spark, root, table, mode, ordinal=table == "orders") for table in SOURCE_FILES}
+    return {
+        table: read_table(spark, root, table, mode, ordinal=table == "orders", multi_line=multi_line) for table in SOURCE_FILES
+    }
