@@ -125,7 +125,8 @@ class WordLevel:
         cut = []
         for c in chunks:
             m = None if c.isalpha() else _WORD_AND_MARKS.fullmatch(c)
-            cut.append((c,) if c.isalpha() else m.groups() if m and m[1].isalpha() else None)
+            # In lower case a word may end in a mark (U+0130 does), which the library joins to the marks behind it.
+            cut.append((c,) if c.isalpha() else m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else None)
         self.words.fill({p for g in cut if g for p in (g[0], g[-1]) if p})
         self.other.fill({p for g in cut if g for p in g[1:3] if p and not p.isspace() and not p.isalpha()})
         self.other.fill({c for c, g in zip(chunks, cut) if not g})

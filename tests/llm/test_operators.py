@@ -283,6 +283,18 @@ def test_tokens_equal_the_library():
         assert [np.frombuffer(b, "<u4").tolist() for b in made(path).encode(texts)] == want
 
 
+def test_words_that_lower_to_marks_equal_the_library():
+    rng = np.random.default_rng(11)
+    pieces = ["İ", "GAZİ", "Sİ", "ß", "ŉ", "ǰ", "ΐ", "Ω", "ﬁ", "Å", "e\u0301", "a", "Don", ".", ",", ":", "!", "?", "'s", "-", " ", "\n", "1", "é", "日", "İstanbul"]
+    texts = ["GAZİ.", "Sİ!", "İ:", "İ|", "İ", "bİ,cİ", "x.İ", "İ.İ", "İİ;"]
+    texts += ["".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(20_000)]
+    for name, made in (("byte_bpe_50k.json", byte_level), ("word_bpe_49k.json", word_level)):
+        path = public_tokenizers.path(name)
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in made(path).encode(texts)]
+        assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_strings_of_added_tokens_equal_the_library():
     texts = [f"one two{m}three  four" for m in ("<|endoftext|>", " <|endoftext|>\n", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end oftext|>")]
     texts += ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|> b", "Plain text", ""]
