@@ -183,9 +183,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their columns; a null text comes back empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows, entries = build_index(docs, *others)
+    plain = {c: f"c{i}" for i, c in enumerate(others)}  # whatever signs the given names hold
+    rows, entries = build_index(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in plain.items()]), *plain.values())
     kept = entries.select(F.col("keep_row").alias("row_id")).distinct()
-    values = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_{c}") for c in others}
+    values = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_{p}") for c, p in plain.items()}
     return (
         rows.where("copies is not null").join(kept, "row_id", "left_semi").select(*[values[c].alias(c) for c in docs.columns])
     )

@@ -431,7 +431,8 @@ def jaccard_groups(
 def keep_leaders(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows whose id is that of their group, with their columns. Rows without words are no group, and stay."""
     first = jaccard_groups(docs, words, num, den).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", "__component"), F.col("doc_id").cast("long").eqNullSafe(F.col("__component")), "left_semi")
+    own = "component" + "_" * (1 + max(map(len, docs.columns)))  # longer than any name of the documents
+    return docs.join(first.withColumnRenamed("doc_id", own), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -189,6 +189,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build(counts: pd.DataFrame) -> Model:
     languages = sorted(counts["lang"].unique())
+    # One alphabet for all, and one place in it for every unseen character: else a language with few would win those.
+    size = len(np.unique(counts["gram"].to_numpy().view(np.uint64) & U64((1 << 16) - 1))) + 1
     orders: list[list[tuple]] = [[] for _ in range(ORDER)]
     floor = []
     for lang in languages:
@@ -198,7 +200,6 @@ def build(counts: pd.DataFrame) -> Model:
         layers = [(key[order], own["n"].to_numpy()[order].astype(np.float64))]
         for n in range(ORDER - 1, 0, -1):  # below the top, how many different characters precede
             layers.append(tuple(np.unique(layers[-1][0] & U64((1 << 16 * n) - 1), return_counts=True)))
-        size = len(layers[-1][0]) + 1
         lower = None
         made = []
         for n, (k, c) in zip(range(1, ORDER + 1), reversed(layers)):

@@ -480,7 +480,8 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows with their columns; ``text`` is what is left, without the bytes of characters that were cut in two."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = remove_repeats(docs, *others)
+    plain = {c: f"c{i}" for i, c in enumerate(others)}  # whatever signs the given names hold
+    rows = remove_repeats(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in plain.items()]), *plain.values())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,9 +490,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 [*batch.columns[1:], pa.array(text, pa.string())], names=[*batch.schema.names[1:], "text"]
             )
 
-    chosen = rows.select("kept", "doc_id", *[f"_{c}" for c in others])
+    chosen = rows.select("kept", "doc_id", *[f"_{p}" for p in plain.values()])
     done = chosen.mapInArrow(decode, f"{_types(chosen, 'kept')}, text string")
-    return done.select(*[F.col(c if c in ("doc_id", "text") else f"_{c}").alias(c) for c in docs.columns])
+    return done.select(*[F.col(f"_{plain[c]}" if c in plain else c).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -169,6 +169,15 @@ def test_similar_sets_share_enough_signatures():
             assert len(set(sig[owner == 0]) & set(sig[owner == 1])) >= need
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    schema = "doc_id long, text string, `a.b` string, __component string, c0 int, row struct<doc_id:int>"
+    docs = spark.createDataFrame([(i, t, "x", "y", i, (i,)) for i, t in enumerate(["one two", "one  two", PASSAGE, "more " + PASSAGE])], schema)
+    for stage, n in ((exact_dedup.keep_one, 3), (jaccard_join.keep_leaders, 2), (suffix_dedup.without_repeats, 4)):
+        rows = stage(docs).collect()
+        assert stage(docs).columns == docs.columns and len(rows) == n
+        assert all((r["a.b"], r["__component"], r.c0, r.row.doc_id) == ("x", "y", r.doc_id, r.doc_id) for r in rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, 5), (5, 3), (9, 9)]
     got = components.components(spark.createDataFrame(chain, "a long, b long")).collect()
@@ -413,15 +422,66 @@ def test_language_of_one_and_two_letters():
     assert (language.keys_of(codes)[start + 1] >> np.uint64(32) == 0).all()  # nothing of the text before
 
 
-def test_kneser_ney_sums_to_one():
+def grams(texts_of):
     import pandas as pd
 
-    codes, *_ = language.letters_of(["abracadabra abba cab", "a bad cab"])
-    key, n = np.unique(language.keys_of(codes)[language._within(codes)], return_counts=True)
-    model = language.build(pd.DataFrame({"lang": "x", "gram": key.view(np.int64), "n": n}))
-    array = model.grams[0]
-    assert (np.diff(array.hashes.astype(object)) > 0).all() and (array.find(key) >= 0).all()
-    assert np.isfinite(array.rows).all() and array.rows.max() <= 0
+    counts = []
+    for lang, texts in texts_of.items():
+        codes, *_ = language.letters_of(texts)
+        key, n = np.unique(language.keys_of(codes)[language._within(codes)], return_counts=True)
+        counts.append(pd.DataFrame({"lang": lang, "gram": key.view(np.int64), "n": n}))
+    return pd.concat(counts, ignore_index=True)
+
+
+class PlainKneserNey:
+    """The same model by dictionaries, one n-gram at a time."""
+
+    def __init__(self, counts, size):
+        self.size, self.layers = size, {4: counts}
+        for n in (3, 2, 1):
+            self.layers[n] = {}
+            for key in self.layers[n + 1]:
+                short = key % (1 << 16 * n)
+                self.layers[n][short] = self.layers[n].get(short, 0) + 1
+
+    def p(self, key, n=4):
+        if n == 0:
+            return 1 / self.size
+        key %= 1 << 16 * n
+        layer, below = self.layers[n], self.p(key, n - 1)
+        ones, twos = (sum(c == k for c in layer.values()) for k in (1, 2))
+        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        same = {k: c for k, c in layer.items() if k >> 16 == key >> 16}
+        if not same:
+            return below
+        return (max(0, layer.get(key, 0) - discount) * (key in layer) + discount * len(same) * below) / sum(same.values())
+
+
+def test_kneser_ney_equals_a_plain_one_and_sums_to_one():
+    counts = grams({"x": ["abracadabra abba cab", "a bad cab"], "y": ["deed dada ace", "bead"]})
+    size = len({k % (1 << 16) for k in counts["gram"].astype("uint64").tolist()}) + 1
+    model = language.build(counts)
+    for i, lang in enumerate(("x", "y")):
+        own = counts[counts["lang"] == lang]
+        plain = PlainKneserNey(dict(zip(own["gram"].astype("uint64").tolist(), own["n"].tolist())), size)
+        alphabet = {k % (1 << 16) for k in counts["gram"].astype("uint64").tolist()} | {60_000}
+        for context in [*(k >> 16 for k in list(plain.layers[4])[:12]), 12345]:
+            assert abs(sum(plain.p((context << 16) + c) for c in alphabet) - 1) < 1e-9
+        for text in ("cab", "bad dabba", "zz a", "ace of deeds"):
+            codes, start, end, _ = language.letters_of([text])
+            keys = language.keys_of(codes)[language._within(codes)].tolist()
+            want = -np.mean([np.log(plain.p(k)) for k in keys])
+            assert abs(model.entropies(codes, start, end)[0][0, i] - want) < 1e-4
+
+
+def test_a_small_alphabet_does_not_win_unseen_characters():
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    rng = np.random.default_rng(4)
+    chinese = ["".join(rng.choice(signs[:1500], 40)) for _ in range(60)]
+    model = language.build(grams({"en": ["the cat sat on the mat and the dog ran to the tree"] * 5, "zh": chinese}))
+    unseen = "".join(signs[2000:2030])
+    half = "".join(a + b for a, b in zip(signs[:15], signs[2000:2015]))
+    assert model.predict([unseen, half, "a hat on the tree"])[0] == ["zh", "zh", "en"]
 
 
 def test_toxicity_on_held_out_rows(spark, labels):
