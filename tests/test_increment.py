@@ -78,9 +78,7 @@ def test_a_part_of_some_tables(spark, tmp_path):
         "order_items": ["o1,2,p1,s1,5.00,1.00", "late,1,p1,s1,9.00,1.00"], "order_payments": ["o1,1,card,1,"], "order_reviews": [],
     })
     jobs.run_increment(spark, str(raw), root, AS_OF)
-    put(raw, 1, {"order_reviews": ["r,o1,4,"]})
-    jobs.run_increment(spark, str(raw), root, AS_OF)
-    put(raw, 2, {"orders": ["late,c2,delivered,2018-02-02 10:00:00,,,2018-02-12 12:00:00,2018-02-20 00:00:00"]})
+    put(raw, 1, {"order_reviews": ["r,o1,4,"], "orders": ["late,c2,delivered,2018-02-02 10:00:00,,,2018-02-12 12:00:00,2018-02-20 00:00:00"]})
     jobs.run_increment(spark, str(raw), root, AS_OF)
     rows = {r.order_id: r for r in jobs.shipments_table(spark, root).read().collect()}
     assert (rows["o1"].review_score, float(rows["o1"].payment_value), float(rows["late"].price)) == (4, 0.0, 9.0)
