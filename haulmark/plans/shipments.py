@@ -22,17 +22,25 @@ def enrich_facts(
     by default they come from the delivered rows of ``facts``, which should then be stored too.
     """
     distance = "distance" in features or "cost_per_km" in features
-    roles = {role: sources[f"{role}s"].select(f"{role}_id", f"{role}_state") for role in ("seller", "customer")}
-    if distance:
+
+    def places() -> list[DataFrame]:
+        """Sellers and customers with their state, and their coordinates if a distance is asked for."""
+        if not distance:
+            return [sources[f"{role}s"].select(f"{role}_id", f"{role}_state") for role in ("seller", "customer")]
         zips = stage(e.zip_coordinates(sources["geolocation"]), "zips")
-        found = together(*[lambda role=role: e.located(sources[f"{role}s"], zips, role) for role in roles])
-        roles = dict(zip(roles, found, strict=True))
-    products = c.english_categories(sources["products"], sources["category_translation"])
-    rows = c.with_dimensions(facts, products, roles["seller"], roles["customer"])
+        return together(*[lambda role=role: e.located(sources[f"{role}s"], zips, role) for role in ("seller", "customer")])
+
+    def seller_rates() -> DataFrame | None:
+        if "seller_rate" not in features or rates is not None:
+            return rates
+        return stage(e.seller_delay_rates(facts, F.col("order_status") == "delivered"), "seller-rates")
+
+    known, products, (sellers, customers) = together(
+        seller_rates, lambda: c.english_categories(sources["products"], sources["category_translation"]), places
+    )
+    rows = c.with_dimensions(facts, products, sellers, customers)
     if "seller_rate" in features:
-        if rates is None:
-            rates = stage(e.seller_delay_rates(facts, F.col("order_status") == "delivered"), "seller-rates")
-        rows = e.with_rates(rows, rates)
+        rows = e.with_rates(rows, known)
     if distance:
         rows = e.with_distance(rows)
     if "calendar" in features:
