@@ -706,3 +706,12 @@ for _name, _same in {
     "shipments_enriched_bucketed": "shipments_enriched",
 }.items():
     ORACLES[_name] = ORACLES[_same]
+
+# Rows without a seller are kept aside by a load.
+ORACLES["stored_kpi_daily"] = ORACLES["kpi_daily"].replace("FROM facts GROUP BY 1", "FROM facts WHERE seller_id IS NOT NULL GROUP BY 1")
+ORACLES["stored_seller_stats"] = ORACLES["seller_stats"]
+ORACLES["stored_search"] = _q(
+    FACTS,
+    """SELECT order_id, seller_id, purchase_timestamp FROM facts
+    WHERE seller_id IS NOT NULL AND NOT is_late AND (order_id ILIKE '%142%' OR seller_id ILIKE '%142%')""",
+)

@@ -6,6 +6,7 @@ the whole tables. Parameters such as a week or a page are fixed here so results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,12 @@ from haulmark.operators import evaluation as ev
 from haulmark.operators import features as ft
 from haulmark.operators import pages, registry, reporting, rollup, scoring
 from haulmark.operators.ledger import ORDER_LEDGER
+from haulmark.plans import jobs, serving
 from haulmark.plans.shipments import FEATURES, enriched_shipments, shipments_with
 from haulmark.session import pin_utc
 from haulmark.sources import star
 from haulmark.sources.bucketed import BucketedSources
-from haulmark.staging import stage
+from haulmark.staging import stage, staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -522,6 +524,40 @@ def shipments_enriched_bucketed(t: Tables) -> DataFrame:
     return rows.withColumn("distance_km", F.round("distance_km", 3)).drop("order_status")
 
 
+# --- stored tables ----------------------------------------------------------------------------
+
+
+def _loaded(t: Tables) -> str:
+    """Folder of tables that two loads made: one with many rows that are wrong, then one that replaces them."""
+    rows = stage(t.facts("product", "seller", "customer"), "facts")
+    wrong = rows.where((F.pmod(F.hash("order_id"), F.lit(3)) > 0) & F.col("seller_id").isNotNull()).withColumns({
+        "seller_id": F.when(F.col("is_late"), F.col("seller_id")).otherwise("another"),
+        "seller_state": F.lit("N0"),
+        "purchase_timestamp": (F.col("purchase_timestamp") + F.make_dt_interval(days=F.lit(9))).cast("timestamp_ntz"),
+        "delay_days": F.col("delay_days") + 0.25,
+        "freight_value": F.col("freight_value") + 1,
+    })
+    root = f"{staging_root(t.spark)}/haulmark/{t.spark.sparkContext.applicationId}/loads-{uuid.uuid4().hex}"
+    for batch in (wrong, rows):
+        jobs.load(t.spark, batch, root, AS_OF, unique=True)
+    return root
+
+
+@query
+def stored_kpi_daily(t: Tables) -> DataFrame:
+    return jobs.kpi_daily_table(t.spark, _loaded(t)).read().drop("updated_at")
+
+
+@query
+def stored_seller_stats(t: Tables) -> DataFrame:
+    return jobs.seller_stats_table(t.spark, _loaded(t)).read().drop("updated_at")
+
+
+@query
+def stored_search(t: Tables) -> DataFrame:
+    return serving.shipments_search(t.spark, _loaded(t), "142", is_late=False).select("order_id", "seller_id", "purchase_timestamp")
+
+
 # --- weekly report --------------------------------------------------------------------------
 
 
