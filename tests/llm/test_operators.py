@@ -526,3 +526,67 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == odd.columns and docs.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept: survivors, their texts, and the ids that are packed."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bad = "you are a horrid vile nasty thing"
+    texts = [t for t in TEXTS if t] + [f"{bad} number {i} and some words" for i in range(12)]
+    texts += [f"kind words number {i} for you" for i in range(30)] + [f"{t} {i}" for i in range(5) for t in TEXTS if t and len(t) < 200]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    labels = [(i, 1, int(bad in t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    marked = toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    left = {r.doc_id: texts[r.doc_id] for r in marked if not r.predicted}
+    assert not any(bad in t for t in left.values()) and len(left) > len(texts) / 2
+
+    groups: dict[str, list] = {}
+    for i, t in left.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
+    left = {i: left[i] for i in sorted(min(g)[1] for g in groups.values())}
+
+    sets = {}
+    for i, t in left.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in left for b in left if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = closure(left, links)
+    left = {i: t for i, t in left.items() if not sets[i] or root[i] == i}
+
+    first: dict[bytes, int] = {}
+    raw = {i: t.encode() for i, t in sorted(left.items())}
+    for i, b in raw.items():
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        left[i] = bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+
+    stage = docs
+    for k, (_, work) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage = work(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+        stage.write.parquet(f"{tmp_path}/stage{k}")
+        stage = spark.read.parquet(f"{tmp_path}/stage{k}")
+    assert {r.doc_id: r.text for r in stage.collect()} == left
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = {i: [*tokenizer(path).encode(t, add_special_tokens=False).ids, 0] for i, t in left.items()}
+    packed_rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces: dict[int, list] = {}
+    for r in packed_rows:
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, ids in want.items():
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at
+            at += length
+        assert at == len(ids)
