@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -26,6 +27,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_by_key(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """``keep`` with Spark's bucketing: joins and groups by the keys read it without a shuffle.
+
+    ``df`` should be partitioned by the keys into as many partitions as there are buckets, which gives one file each.
+    """
+    spark = df.sparkSession
+    table = f"kept_{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/haulmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+    kept = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # external: the files stay
+    return kept
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,19 +90,31 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _BYTES = mix(np.arange(256, dtype=np.uint64), 77)
 _powers: dict[int, np.ndarray] = {}
+POWERS = 1 << 21  # powers of a base that a worker keeps
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
+    """base**0 ... base**(n-1) modulo 2**64. More than ``POWERS`` are computed anew each time."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16) * 5 // 4
+        size = n if n > POWERS else min(POWERS, max(n, 1 << 16) * 5 // 4)
         have = np.full(size, base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
+        np.multiply.accumulate(have, out=have)
+        if size <= POWERS:
+            _powers[base] = have
     return have[:n]
 
 
+def release() -> None:
+    """Give memory that a task has freed back, since its Python worker lives on for the next stage."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over the bytes; ``span_hash`` turns them into hashes of any span."""
     out = np.zeros(len(data) + 1, np.uint64)
@@ -110,17 +137,19 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable(dict):
-    """Distinct chunks and their solution, emptied whenever it outgrows its limit."""
+    """Distinct chunks and their solution, emptied whenever it outgrows its limit of entries or of characters."""
 
-    def __init__(self, solve: Callable[[list[str]], Iterable], limit: int = 250_000):
+    def __init__(self, solve: Callable[[list[str]], Iterable], limit: int = 250_000, characters: int = 8_000_000):
         super().__init__()
-        self.solve, self.limit = solve, limit
+        self.solve, self.limit, self.characters, self.held = solve, limit, characters, 0
 
     def fill(self, chunks: set[str]) -> None:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.characters:
             self.clear()
+            self.held = 0
         new = [c for c in chunks if c not in self]
         if new:
+            self.held += sum(map(len, new))
             self.update(zip(new, self.solve(new), strict=True))
 
 

@@ -4,21 +4,27 @@ A byte goes when a ``SPAN``-byte string that covers it also starts in a document
 that length has one anchor, the k-gram with the least hash in it (the leftmost of equals), so equal strings have equal
 anchors and only places that share an anchor with another document need to be compared.
 
-1. Anchors of all texts are dealt out by hash, packed in runs of 32-bit hashes, positions, and 8-bit hashes of the
-   ``SIDE`` bytes to the left and to the right. An equal string around an anchor has one of the two sides in full, so
-   an anchor is a candidate if two documents have it with the same left or the same right side. Clashes of the short
-   hashes only add candidates.
-2. Texts with candidates are kept in the shared folder. The stretch of strings around an anchor that all have it as
-   theirs is compared as a whole by two 64-bit hashes; all but the smallest document lose an equal stretch.
+1. Anchors of all texts are dealt out by hash, packed in runs of 32-bit hashes and 8-bit hashes of the ``SIDE`` bytes
+   to the left and to the right. An equal string around an anchor has one of the two sides in full, so an anchor is a
+   candidate if two documents have it with the same left or the same right side. Clashes of the short hashes only add
+   candidates. What comes back is packed by part, a range of hashes of documents.
+2. Texts with candidates are kept in the shared folder, bucketed by document, so that no later join moves a text. The
+   stretch of strings around an anchor that all have it as theirs is compared as a whole by two 64-bit hashes; all but
+   the smallest document lose an equal stretch.
 3. What is left are anchors with several different stretches: their distinct contexts are sorted as suffixes. The sort
    is a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes. Runs of
    suffixes that agree over the whole length are confirmed byte by byte. Only the first place of a stretch in its
    smallest document is sorted; what is found there holds for all places of the stretch in that document.
 4. Removed runs are merged per document.
 
+Before both deals a run of texts settles what two of its documents share by themselves: such anchors are candidates at
+once, and such stretches go from all but the smallest document. Only one or two documents of the run are dealt out for
+them, so an anchor or a stretch that a third of all documents have reaches its task as a few entries of each run.
+
 Nulls: a null text is empty. A null ``doc_id`` counts as larger than all others. Rows with the same id are one
 document to this rule and never shorten each other. Repeated rows give repeated results; texts shorter than the
-length stay whole; an empty table gives an empty result. Other columns are ignored unless carried.
+length stay whole; an empty table gives an empty result. Other columns are ignored unless carried. A very long text is
+one run of its own and must fit a task; positions inside it have 32 bits.
 """
 
 from __future__ import annotations
@@ -31,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, below, keep, mix, partitions, prefix_hash, span_hash, texts_of, utf8
+from haulmark.llm.common import U64, below, keep, keep_by_key, mix, partitions, prefix_hash, release, span_hash, texts_of, utf8
 from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, runs_of_equal, unpack
 
 SPAN, GRAM = 50, 24
 SIDE = (SPAN - GRAM) // 2
-_PLACE = 28  # bits of a position inside a run of texts
+_PLACE = 32  # bits of a position inside a run of texts, more than a string of Spark can have
 _LAST = (1 << 63) - 1
 BUCKET_BYTES = 32_000_000
 
@@ -79,7 +85,67 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     return hashes[place], place, start, count, doc[start], prefix
 
 
+def part_of(docs: np.ndarray, prints: np.ndarray, parts: int) -> np.ndarray:
+    """The part a document belongs to."""
+    return below(mix(docs.astype(np.uint64) ^ mix(prints.astype(np.uint64), 17), 18), parts)
+
+
+def _by_document(docs: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of entries by document, and where each document begins in it (with the end of all)."""
+    order = np.lexsort((prints, docs))
+    d, p = docs[order], prints[order]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])][: len(d)])
+    return order, np.r_[cut, len(d)]
+
+
+def _pack_parts(docs: np.ndarray, prints: np.ndarray, parts: int, values: dict) -> dict[str, list]:
+    """One row per part with the values of its documents."""
+    order, cut = _by_document(docs, prints)
+    ids, names = docs[order][cut[:-1]], prints[order][cut[:-1]]
+    owner = np.repeat(np.arange(len(ids)), np.diff(cut))
+    return pack_by_bucket(part_of(docs[order], prints[order], parts), owner, ids, names, {k: v[order] for k, v in values.items()})
+
+
+def _two_documents(key: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, run of each sorted entry, and the smallest and largest document of each run."""
+    order = np.argsort(key, kind="stable")
+    bounds, _ = runs_of_equal(key[order])
+    if len(bounds) == 1:
+        return order, order, order, order
+    run = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return order, run, np.minimum.reduceat(docs[order], bounds[:-1]), np.maximum.reduceat(docs[order], bounds[:-1])
+
+
+def _shared_places(docs: np.ndarray, h: np.ndarray, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose anchor two documents have with the same side; entries of a smallest or largest document."""
+    shared, outer = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    for side in sides:
+        order, run, least, most = _two_documents(h.astype(np.uint64) << U64(8) | side, docs)
+        if len(order):
+            shared[order] |= (least != most)[run]
+            outer[order] |= (docs[order] == least[run]) | (docs[order] == most[run])
+    return shared, outer
+
+
+_DEALT = ("hashes", "left", "right")
+HOT = 64  # an anchor with more places in a run of texts is a candidate whatever its sides are
+_ANY = 255  # both sides: whatever they are. An anchor whose sides hash to this only adds candidates.
+
+
+def _of_anchor(docs: np.ndarray, h: np.ndarray, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of anchors in two documents that have a marked entry, or are hot; those in the first and last document."""
+    shared, outer = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    order, run, least, most = _two_documents(h, docs)
+    if len(order):
+        n = np.bincount(run) > HOT if marked is None else np.bincount(run, marked[order]) > 0
+        shared[order] = (n & (least != most))[run]
+        outer[order] = (docs[order] == least[run]) | (docs[order] == most[run])
+    return shared, outer
+
+
 def _deal(buckets: int) -> Callable:
+    """Anchors by bucket; those that are candidates already, by part, with numbers from ``buckets`` on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s, e in runs_of(whole.column(2)):
@@ -89,45 +155,65 @@ def _deal(buckets: int) -> Callable:
                 h, place, _, _, doc, prefix = anchors(data, offsets)
                 left = np.maximum(place - SIDE, offsets[doc])
                 right = np.minimum(place + GRAM + SIDE, offsets[doc + 1])
-                values = {
-                    "hashes": h.astype("<u4"),
-                    "places": (place - offsets[doc]).astype("<u4"),
-                    "left": (mix(span_hash(prefix, left, place), 11) >> U64(56)).astype("<u1"),
-                    "right": (mix(span_hash(prefix, place + GRAM, right), 12) >> U64(56)).astype("<u1"),
-                }
-                yield as_batch(pack_by_bucket(below(mix(h, 9), buckets), doc, ids, prints, values), packed_schema(*values))
+                sides = [
+                    (mix(span_hash(prefix, left, place), 11) >> U64(56)).astype("<u1"),
+                    (mix(span_hash(prefix, place + GRAM, right), 12) >> U64(56)).astype("<u1"),
+                ]
+                short = h.astype("<u4")
+                shared, outer = _shared_places(ids[doc], short, sides)
+                hot, ends = _of_anchor(ids[doc], short)
+                shared, outer = shared | hot, np.where(hot, ends, outer)
+                sides = [np.where(hot, np.uint8(_ANY), side) for side in sides]
+                dealt = np.flatnonzero(~shared | outer)
+                bucket = below(mix(short[dealt].astype(np.uint64), 9), buckets)
+                values = dict(zip(_DEALT, (short[dealt], sides[0][dealt], sides[1][dealt])))
+                yield as_batch(pack_by_bucket(bucket, doc[dealt], ids, prints, values), packed_schema(*_DEALT))
+                done = np.flatnonzero(shared)
+                none = np.zeros(len(done), "<u1")
+                values = dict(zip(_DEALT, (short[done], none, none)))
+                part = buckets + part_of(ids[doc[done]], prints[doc[done]], buckets)
+                yield as_batch(pack_by_bucket(part, doc[done], ids, prints, values), packed_schema(*_DEALT))
+        release()
 
     return run
 
 
-_PLACES = "doc long, print long, places binary"
+def _shared(buckets: int) -> Callable:
+    """Anchors that more than one document has, packed by part."""
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        docs, prints, h, *sides = unpack(frame, {"hashes": "<u4", "left": "<u1", "right": "<u1"})
+        if frame["bucket"].iloc[0] < buckets:
+            any_side = _of_anchor(docs, h, (sides[0] == _ANY) & (sides[1] == _ANY))[0]
+            hit = np.flatnonzero(_shared_places(docs, h, sides)[0] | any_side)
+            docs, prints, h = docs[hit], prints[hit], h[hit]
+        return pd.DataFrame(_pack_parts(docs, prints, buckets, {"hashes": h}))
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Places of anchors that more than one document has."""
-    kinds = {"hashes": "<u4", "places": "<u4", "left": "<u1", "right": "<u1"}
-    docs, prints, h, places, *sides = unpack(frame, kinds)
-    shared = np.zeros(len(h), bool)
-    for side in sides:
-        key = h.astype(np.uint64) << U64(8) | side
-        order = np.argsort(key, kind="stable")
-        bounds, _ = runs_of_equal(key[order])
-        if len(bounds) > 1:
-            least = np.minimum.reduceat(docs[order], bounds[:-1])
-            most = np.maximum.reduceat(docs[order], bounds[:-1])
-            shared[order] |= np.repeat(least != most, np.diff(bounds))
-    hit = np.flatnonzero(shared)
-    hit = hit[np.lexsort((prints[hit], docs[hit]))]
-    docs, prints, places = docs[hit], prints[hit], places[hit]
-    cut = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (prints[1:] != prints[:-1])][: len(docs)])
-    ends = np.r_[cut[1:], len(docs)]
+    return run
+
+
+def _gather_anchors(frame: pd.DataFrame) -> pd.DataFrame:
+    """The candidate anchors of each document of a part."""
+    docs, prints, h = unpack(frame, {"hashes": "<u4"})
+    order, cut = _by_document(docs, prints)
+    docs, prints, h = docs[order], prints[order], h[order]
     return pd.DataFrame(
-        {"doc": docs[cut], "print": prints[cut], "places": [places[s:e].tobytes() for s, e in zip(cut, ends)]}
+        {
+            "doc": docs[cut[:-1]],
+            "print": prints[cut[:-1]],
+            "hashes": [np.unique(h[s:e]).tobytes() for s, e in zip(cut, cut[1:])],
+        }
     )
 
 
+_STRETCH = ("anchor", "body", "start", "strings")
+
+
 def _stretches(buckets: int) -> Callable:
-    """Stretches of the candidate anchors: anchor hash, hash of the whole stretch, first string, number of strings."""
+    """Stretches of the candidate anchors: anchor hash, hash of the whole stretch, first string, number of strings.
+
+    Those that a smaller document of the same run has go by part, with numbers from ``buckets`` on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,38 +222,63 @@ def _stretches(buckets: int) -> Callable:
                 ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 data, offsets = utf8(batch.column(2))
                 h, place, start, count, doc, prefix = anchors(data, offsets)
-                wanted = np.zeros(len(data) + 1, bool)
-                for base, parts in zip(offsets, batch.column(3).to_pylist()):
-                    wanted[base + np.frombuffer(b"".join(parts), "<u4").astype(np.int64)] = True
-                use = np.flatnonzero(wanted[place])
+                wanted = [np.frombuffer(b, "<u4").astype(np.uint64) | U64(i << 32) for i, b in enumerate(batch.column(3).to_pylist())]
+                key = doc.astype(np.uint64) << U64(32) | h.astype("<u4")
+                use = np.flatnonzero(np.isin(key, np.concatenate(wanted)))
                 h, place, start, count, doc = h[use], place[use], start[use], count[use], doc[use]
                 body = mix(span_hash(prefix, start, start + count - 1 + SPAN), 6)
                 body = mix(body ^ mix((place - start).astype(np.uint64) << U64(8) | count.astype(np.uint64), 7), 8)
-                values = {
-                    "anchor": h,
-                    "body": body,
-                    "start": (start - offsets[doc]).astype("<u4"),
-                    "strings": count.astype("<u1"),
-                }
-                yield as_batch(pack_by_bucket(below(mix(h, 9), buckets), doc, ids, prints, values), packed_schema(*values))
+                order, group, least, _ = _two_documents(body ^ mix(h, 19), ids[doc])
+                later = np.zeros(len(h), bool)
+                if len(order):
+                    later[order] = ids[doc[order]] > least[group]
+                bucket = np.where(later, buckets + part_of(ids[doc], prints[doc], buckets), below(mix(h, 9), buckets))
+                values = dict(zip(_STRETCH, (h, body, (start - offsets[doc]).astype("<u4"), count.astype("<u1"))))
+                yield as_batch(pack_by_bucket(bucket, doc, ids, prints, values), packed_schema(*_STRETCH))
+        release()
 
     return run
 
 
 _FOUND = (
-    "doc long, print long, sure boolean, anchor binary, start binary, strings binary,"
+    "bucket long, docs binary, prints binary, counts binary, doc long, print long, anchor binary, start binary, strings binary,"
     " further binary, further_prints binary, further_starts binary"
 )
+_OPEN = ("anchor", "start", "strings", "further", "further_prints", "further_starts")
+_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def _found_parts(docs: np.ndarray, prints: np.ndarray, start: np.ndarray, strings: np.ndarray, parts: int) -> pd.DataFrame:
+    return pd.DataFrame(_pack_parts(docs, prints, parts, {"start": start, "strings": strings}))
+
+
+def _found_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    """All columns of ``_FOUND``; nullable integers, as floats would change the ids."""
+    return pd.DataFrame(
+        {
+            c: pd.array(frame[c].tolist() if c in frame else [None] * len(frame), "Int64" if c in ("bucket", "doc", "print") else object)
+            for c in _FOUND_NAMES
+        }
+    )
+
 
+def _compare(buckets: int) -> Callable:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        columns = unpack(frame, {"anchor": "<u8", "body": "<u8", "start": "<u4", "strings": "<u1"})
+        if frame["bucket"].iloc[0] >= buckets:
+            docs, prints, _, _, start, strings = columns
+            return _found_rows(_found_parts(docs, prints, start, strings, buckets))
+        return _compared(*columns, buckets)
 
-def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sure: stretches of all but the smallest document. Not sure: one of each, where an anchor has several.
+    return run
+
+
+def _compared(docs, prints, anchor, body, start, strings, parts: int) -> pd.DataFrame:
+    """Sure (packed by part): stretches of all but the smallest document. Open: one of each, where an anchor has several.
 
     ``further`` is how many other places of an open stretch its smallest document has, ``further_prints`` and
     ``further_starts`` are where they are.
     """
-    kinds = {"anchor": "<u8", "body": "<u8", "start": "<u4", "strings": "<u1"}
-    docs, prints, anchor, body, start, strings = unpack(frame, kinds)
     order = np.lexsort((start, prints, docs, body, anchor))
     docs, prints, anchor, body, start, strings = (x[order] for x in (docs, prints, anchor, body, start, strings))
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
@@ -185,21 +296,20 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
     further = np.flatnonzero(~new_body & ~again & ~sure & (bodies > 1) & (docs > least))
     n_further = np.bincount(group[further], minlength=len(head))
     base = np.cumsum(n_further) - n_further
+    use = np.flatnonzero(sure)
+    packed = _found_parts(docs[use], prints[use], start[use], strings[use], parts)
+    use = np.flatnonzero(open_)
+    order, cut = _by_document(docs[use], prints[use])
+    use = use[order]
     rows = []
-    for mark, use in ((True, np.flatnonzero(sure)), (False, np.flatnonzero(open_))):
-        use = use[np.lexsort((prints[use], docs[use]))]
-        d, p = docs[use], prints[use]
-        cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])][: len(d)])
-        for s, e in zip(cut, np.r_[cut[1:], len(d)]):
-            part = use[s:e]
-            row = (docs[part[0]], prints[part[0]], mark, b"" if mark else anchor[part].tobytes(), start[part].tobytes(), strings[part].tobytes())
-            if mark:
-                rows.append((*row, b"", b"", b""))
-                continue
-            n = n_further[group[part]]
-            other = further[_ranges(base[group[part]], n)]
-            rows.append((*row, n.astype("<u4").tobytes(), prints[other].tobytes(), start[other].tobytes()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")])
+    for s, e in zip(cut, cut[1:]):
+        one = use[s:e]
+        n = n_further[group[one]]
+        other = further[_ranges(base[group[one]], n)]
+        values = (anchor[one], start[one], strings[one], n.astype("<u4"), prints[other], start[other])
+        rows.append((docs[one[0]], prints[one[0]], *(v.tobytes() for v in values)))
+    opened = pd.DataFrame(rows, columns=["doc", "print", *_OPEN])
+    return pd.concat([_found_rows(packed), _found_rows(opened)], ignore_index=True)
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -320,11 +430,11 @@ class Suffixes:
         return order, np.cumsum(~alike) - 1
 
 
-_OPEN = ("anchor", "start", "strings", "further", "further_prints", "further_starts")
-_HITS = "doc long, print long, start binary, strings binary"
+def _sort_contexts(parts: int) -> Callable:
+    return lambda frame: _found_parts(*_sorted(frame), parts)
 
 
-def _sort_contexts(frame: pd.DataFrame) -> pd.DataFrame:
+def _sorted(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Strings of open stretches that a smaller document has too."""
     frame = frame.sort_values(["anchor", "doc", "start"], ignore_index=True)
     raw = frame["bytes"].tolist()
@@ -348,18 +458,27 @@ def _sort_contexts(frame: pd.DataFrame) -> pd.DataFrame:
     other = _ranges((np.cumsum(n_further) - n_further)[row[hit]], n)
     other_print = np.frombuffer(b"".join(frame["further_prints"]), "<i8")[other]
     other_start = np.frombuffer(b"".join(frame["further_starts"]), "<u4")[other] + np.repeat(shift[hit], n)
-    found = pd.DataFrame(
+    starts = np.r_[start, other_start].astype("<u4")
+    return (
+        np.r_[docs[hit], np.repeat(docs[hit], n)],
+        np.r_[frame["print"].to_numpy()[row[hit]], other_print],
+        starts,
+        np.ones(len(starts), "<u1"),
+    )
+
+
+def _gather_spans(frame: pd.DataFrame) -> pd.DataFrame:
+    """The removed runs of each document of a part."""
+    docs, prints, start, strings = unpack(frame, {"start": "<u4", "strings": "<u1"})
+    order, cut = _by_document(docs, prints)
+    return pd.DataFrame(
         {
-            "doc": np.r_[docs[hit], np.repeat(docs[hit], n)],
-            "print": np.r_[frame["print"].to_numpy()[row[hit]], other_print],
-            "start": np.r_[start, other_start],
+            "doc": docs[order][cut[:-1]],
+            "print": prints[order][cut[:-1]],
+            "start": [start[order[s:e]].tobytes() for s, e in zip(cut, cut[1:])],
+            "strings": [strings[order[s:e]].tobytes() for s, e in zip(cut, cut[1:])],
         }
     )
-    rows = [
-        (d, p, g.to_numpy().astype("<u4").tobytes(), np.ones(len(g), "<u1").tobytes())
-        for (d, p), g in found.groupby(["doc", "print"])["start"]
-    ]
-    return pd.DataFrame(rows, columns=["doc", "print", "start", "strings"])
 
 
 def cut_out(raw: bytes, start: np.ndarray, strings: np.ndarray) -> tuple[bytes, int, int]:
@@ -374,20 +493,18 @@ def cut_out(raw: bytes, start: np.ndarray, strings: np.ndarray) -> tuple[bytes,
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first two columns are the text and its spans; the others stay."""
+    """The first three columns are the text, and first string and number of strings of its runs; the others stay."""
     for batch in batches:
         kept, removed, runs = [], [], []
-        for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, start, strings in zip(*(c.to_pylist() for c in batch.columns[:3])):
             raw = text.encode("utf-8", "surrogatepass")
-            start = np.frombuffer(b"".join(p["start"] for p in parts or ()), "<u4")
-            strings = np.frombuffer(b"".join(p["strings"] for p in parts or ()), "<u1")
-            left, gone, n = cut_out(raw, start, strings)
+            left, gone, n = cut_out(raw, np.frombuffer(start or b"", "<u4"), np.frombuffer(strings or b"", "<u1"))
             kept.append(left)
             removed.append(gone)
             runs.append(n)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[2:], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-            names=[*batch.schema.names[2:], "kept", "n_removed", "n_spans"],
+            [*batch.columns[3:], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+            names=[*batch.schema.names[3:], "kept", "n_removed", "n_spans"],
         )
 
 
@@ -408,37 +525,40 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
     buckets = max(partitions(docs), -(-total // BUCKET_BYTES))
     places = (
         keyed.select("doc", "print", "text")
-        .mapInArrow(_deal(buckets), packed_ddl("hashes", "places", "left", "right"))
+        .mapInArrow(_deal(buckets), packed_ddl(*_DEALT))
+        .groupBy("bucket")
+        .applyInPandas(_shared(buckets), packed_ddl("hashes"))
         .groupBy("bucket")
-        .applyInPandas(_shared, _PLACES)
-        .groupBy("doc", "print")
-        .agg(F.collect_set("places").alias("places"))
+        .applyInPandas(_gather_anchors, "doc long, print long, hashes binary")
     )
-    rest = F.col("places").isNull() & F.lit(not whole)
-    texts = keep(
-        keyed.join(places, ["doc", "print"], "left").select(
+    rest = F.col("hashes").isNull() & F.lit(not whole)
+    texts = keep_by_key(
+        keyed.repartition(buckets, "doc", "print")
+        .join(places.repartition(buckets, "doc", "print"), ["doc", "print"], "left")
+        .select(
             "doc",
             "print",
             F.when(~rest, F.col("text")).alias("text"),
-            "places",
+            "hashes",
             "doc_id",
             *extra,
             F.octet_length("text").cast("long").alias("n_bytes"),
             F.when(rest, F.sha2(F.col("text").cast("binary"), 256)).alias("digest"),
         ),
         "repeat-texts",
+        buckets,
+        "doc",
+        "print",
     )
-    touched = texts.where("places is not null")
+    touched = texts.where("hashes is not null")
     found = keep(
-        touched.select("doc", "print", "text", "places")
-        .mapInArrow(_stretches(buckets), packed_ddl("anchor", "body", "start", "strings"))
+        touched.select("doc", "print", "text", "hashes")
+        .mapInArrow(_stretches(buckets), packed_ddl(*_STRETCH))
         .groupBy("bucket")
-        .applyInPandas(_compare, _FOUND),
+        .applyInPandas(_compare(buckets), _FOUND),
         "repeat-stretches",
     )
-    open_ = (
-        found.where("not sure").groupBy("doc", "print").agg(F.collect_set(F.struct(*_OPEN)).alias("parts"))
-    )
+    open_ = found.where("docs is null").groupBy("doc", "print").agg(F.collect_set(F.struct(*_OPEN)).alias("parts"))
     contexts = (
         touched.select("doc", "print", "text")
         .dropDuplicates(["doc", "print"])
@@ -450,22 +570,18 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
             " further_prints binary, further_starts binary",
         )
     )
-    hits = contexts.groupBy("bucket").applyInPandas(_sort_contexts, _HITS)
+    hits = contexts.groupBy("bucket").applyInPandas(_sort_contexts(buckets), packed_ddl("start", "strings"))
     spans = (
-        found.where("sure")
-        .select("doc", "print", "start", "strings")
+        found.where("docs is not null")
+        .select(*hits.columns)
         .union(hits)
-        .groupBy("doc", "print")
-        .agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
-    )
-    cut = (
-        touched.drop("places", "digest")
-        .join(spans, ["doc", "print"], "left")
-        .select("text", "spans", "doc_id", "n_bytes", *extra)
+        .groupBy("bucket")
+        .applyInPandas(_gather_spans, "doc long, print long, start binary, strings binary")
     )
-    schema = f"{_types(cut, 'text', 'spans')}, kept binary, n_removed long, n_spans long"
+    cut = touched.join(spans, ["doc", "print"], "left").select("text", "start", "strings", "doc_id", "n_bytes", *extra)
+    schema = f"{_types(cut, 'text', 'start', 'strings')}, kept binary, n_removed long, n_spans long"
     changed = cut.mapInArrow(_finish, schema).withColumn("kept_sha256", F.sha2("kept", 256))
-    same = texts.where("places is null").select(
+    same = texts.where("hashes is null").select(
         "doc_id",
         "n_bytes",
         *extra,

@@ -7,7 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,6 +29,7 @@ from haulmark.llm import (
     toxicity,
 )
 from haulmark.llm.byte_tokens import byte_level, tokenizer, word_level
+from haulmark.llm.packed import unpack
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id long, place string, _text string"
 LONG = " ".join(f"Word{i % 97}x{i}" for i in range(3000))
@@ -236,6 +239,40 @@ def test_suffix_dedup_of_repeats_in_one_document(spark):
     test_suffix_dedup(documents)
 
 
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """A passage in all documents with other surroundings each, twice in some, over several runs of texts."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    hot, lead = word(150), word(70)
+    texts = [(i, word(40) + hot + word(60) + (lead + hot if i % 5 == 0 else lead[30:])) for i in range(120)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    test_suffix_dedup(documents)
+    kept = suffix_dedup.remove_repeats(documents).agg({"n_removed": "min"}).where("`min(n_removed)` = 0")
+    assert kept.count() == 1
+
+
+def test_a_hot_passage_is_settled_before_the_deal():
+    """Of an anchor that all documents of a run have, few places are dealt out; the rest goes by part."""
+    texts = [f"{i:05d} own start of it {i * 7919:09d} " + "the passage that all of these documents hold, " * 2 for i in range(500)]
+    arrays = [pa.array(range(500), pa.int64()), pa.array(range(500), pa.int64()), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(arrays, names=["doc", "print", "text"])
+    rows = [b.to_pandas() for b in suffix_dedup._deal(4)(iter([batch]))]
+    dealt = pd.concat(rows)
+    dealt = dealt[dealt["bucket"] < 4]
+    _, _, h, *_ = unpack(dealt, {"hashes": "<u4", "left": "<u1", "right": "<u1"})
+    assert np.unique(h, return_counts=True)[1].max() <= suffix_dedup.HOT
+
+
+def test_later_joins_of_suffix_dedup_move_no_text(spark):
+    rows = [(i, f"{i} the same words in all of the documents, long enough to be found again {i}") for i in range(40)]
+    done = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc" in line]
+    spans = [line for line in plan.splitlines() if "_gather_spans" in line]
+    assert spans and len(moved) <= 3  # spans twice (a union's copy) and open contexts, none of them above a text
+    assert "Bucketed: true" in plan
+
+
 def test_suffix_sort_orders_and_confirms():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
