@@ -124,7 +124,12 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes from start to end, the same wherever they stand."""
-    return (prefix[end] - prefix[start]) * powers(len(prefix), _INVERSE)[start]
+    return (prefix[end] - prefix[start]) * inverse_powers(len(prefix))[start]
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """What takes the place of a span out of its hash; hold on to it where many spans of long bytes are hashed."""
+    return powers(n, _INVERSE)
 
 
 def below(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:

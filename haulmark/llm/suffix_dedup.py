@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, below, keep, keep_by_key, mix, partitions, prefix_hash, release, span_hash, texts_of, utf8
+from haulmark.llm.common import U64, below, inverse_powers, keep, keep_by_key, mix, partitions, prefix_hash, release, span_hash, texts_of, utf8
 from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, runs_of_equal, unpack
 
 SPAN, GRAM = 50, 24
@@ -350,8 +350,13 @@ class Suffixes:
     def __init__(self, data: np.ndarray, length: int = SPAN):
         self.data, self.length = data, length
         self.prefix = prefix_hash(data)
+        self.inverse = inverse_powers(len(self.prefix))
         self.bytes = np.r_[data, np.zeros(1, np.uint8)]
 
+    def hashes(self, x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hash of the n bytes from each x."""
+        return (self.prefix[x + n] - self.prefix[x]) * self.inverse[x]
+
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """How many leading bytes agree, up to the length, by binary search."""
         low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length)
@@ -360,12 +365,12 @@ class Suffixes:
             if not open_.any():
                 return low
             mid = (low + high + 1) // 2
-            same = span_hash(self.prefix, x, x + mid) == span_hash(self.prefix, y, y + mid)
+            same = self.hashes(x, mid) == self.hashes(y, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
 
     def twins(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Places in ``at`` whose hash over the whole length another suffix of the segment has too."""
-        key = mix(span_hash(self.prefix, at, at + self.length) ^ mix(segment.astype(np.uint64), 15), 16)
+        key = mix(self.hashes(at, self.length) ^ mix(segment.astype(np.uint64), 15), 16)
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         return np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(at) > 1 else np.empty(0, np.int64)
