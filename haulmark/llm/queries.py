@@ -38,6 +38,7 @@ ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
     "op12_conversation_trie": conversation_trie.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }

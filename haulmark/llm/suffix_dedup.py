@@ -619,3 +619,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=False)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# Every 50-byte string of every text, the smallest document that has it, and the bytes that larger ones lose.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+s AS (SELECT doc_id, i, raw[i:i + 49] AS part FROM (SELECT doc_id, raw, unnest(range(1, octet_length(raw) - 48)) AS i FROM d)),
+least AS (SELECT part, min(doc_id) AS first_doc FROM s GROUP BY part HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT s.doc_id, s.i FROM s JOIN least USING (part) WHERE s.doc_id > first_doc),
+marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 AS joined FROM hits),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 49 AS b
+  FROM (SELECT doc_id, i, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
+  GROUP BY doc_id, run
+),
+gone AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+ends AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, octet_length(raw) + 1, NULL FROM d),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS first_byte, a - 1 AS last_byte FROM ends),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN last_byte >= first_byte THEN hex(raw[first_byte:last_byte]) ELSE '' END, '' ORDER BY first_byte) AS left_hex
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(left_hex)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
