@@ -1,8 +1,9 @@
-"""Token ids of whole texts, each distinct chunk encoded once per worker.
+"""Token ids of whole texts, each distinct piece encoded about once per worker.
 
-Both supported pre-tokenizers cut at a lone space, so a text is split there and the ids of its chunks are joined.
-Only chunks not met before are encoded, many at a time. Texts for which the cut is not safe are encoded whole, and
-those that hold the string of an added token, such as ``<|endoftext|>``, by the library, which gives them that token's id.
+Both supported pre-tokenizers cut at a lone space and where ASCII letters, digits and marks meet, so texts are split
+there, a run of texts at a time, and the ids of their pieces are joined. Short pieces and their ids are held in arrays
+under all their bytes; only pieces not held are encoded, many at a time. Texts for which the cut is not safe are encoded
+whole, and those that hold the string of an added token, such as ``<|endoftext|>``, by the library, which gives them that token's id.
 
 The byte-level file is also read as ranks for ``tiktoken``, which gives the same ids several times faster; the tests
 compare it with ``tokenizers`` on odd and real texts.
@@ -21,12 +22,13 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from haulmark.llm.common import ChunkTable, slices
+from haulmark.llm.common import U64, mix, slices
 
 # A run of white space is one piece of byte-level pre-tokenization, so a chunk may not touch another white space there.
 _RUN = re.compile(r"\s{2}")
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?|&%$*#]+)(\n?)([A-Za-z]*)")
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?|&%$*#]+)")
 TABLE = 350_000  # chunks held by a worker, about 70 MB
+JOINED = 100  # words encoded by one call
 _packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -46,6 +48,12 @@ def _added(path: str) -> tuple[re.Pattern, int]:
     return re.compile("|".join(re.escape(t["content"]) for t in tokens) or r"(?!)"), max((t["id"] for t in tokens), default=-1)
 
 
+def _white_run(text: str) -> bool:
+    if not text.isascii() or any(c in text for c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"):
+        return _RUN.search(text) is not None
+    return any(c in text for c in ("  ", "\n\n", " \n", "\n "))  # the same, several times faster
+
+
 def _library(path: str) -> Callable[[list[str]], list[bytes]]:
     def solve(texts: list[str]) -> list[bytes]:
         return [packed(e.ids) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,12 +70,126 @@ def _runs(ids: np.ndarray, first: np.ndarray, n: int) -> list[bytes] | None:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-class ByteLevel:
-    """Byte-level vocabulary: a chunk is encoded with the space before it."""
+_LETTER, _DIGIT, _MARK, _SPACE, _BREAK = range(1, 6)
+_CLASS = np.zeros(256, np.uint8)  # 0: the apostrophe, which contractions join to letters, controls, and all that is not ASCII
+_CLASS[33:127] = _MARK
+_CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[39], _CLASS[32], _CLASS[10] = 0, _SPACE, _BREAK
+_KEY, _SLOTS, _POOL = 15, 1 << 21, 8_000_000  # bytes of a piece that is held, slots (38 MB for all), ids held
+
+
+class PieceTable:
+    """Ids of short pieces of texts, held under their bytes and length in an array of slots (each piece has two)."""
+
+    def __init__(self, solve: Callable[[list[str]], list[bytes]], slots: int = _SLOTS, most: int = _POOL):
+        self.solve, self.slots, self.most = solve, slots, most
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.at, self.n = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _keep(self, solved: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids, now in the pool."""
+        n = np.array([len(x) // 4 for x in solved], np.int64)
+        end = self.used + int(n.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(end * 5 // 4 - self.used, np.uint32)])
+        self.pool[self.used : end] = np.frombuffer(b"".join(solved), "<u4")
+        at, self.used = self.used + np.cumsum(n) - n, end
+        return at, n
+
+    def ids(self, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one behind the other, and their number in each piece."""
+        if self.used > self.most:
+            self.high[:], self.used = 0, 0
+            self.pool = np.zeros(1 << 16, np.uint32)
+        padded = np.frombuffer(data + bytes(16), np.uint8)
+        key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 16)[start]).view("<u8")
+        short = size <= _KEY
+        fit = np.minimum(size, _KEY)
+        low, high = key[:, 0] & _HEAD[fit], key[:, 1] & _TAIL[fit] | (fit.astype(np.uint64) << U64(56))
+        slot = (mix(low ^ mix(high)) >> U64(32)).astype(np.int64) % self.slots
+        hit = (self.low[slot] == low) & (self.high[slot] == high) & short
+        other = np.flatnonzero(~hit)
+        slot[other] ^= 1
+        hit[other] = (self.low[slot[other]] == low[other]) & (self.high[slot[other]] == high[other]) & short[other]
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
+        miss = other[~hit[other]]
+        if len(miss):
+            found = [data[s:e] for s, e in zip(start[miss].tolist(), (start[miss] + size[miss]).tolist())]
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(x, len(number)) for x in found], np.int64)
+            placed, count = self._keep(self.solve([x.decode() for x in number]))
+            at[miss], n[miss] = placed[which], count[which]
+            new = miss[short[miss] & (n[miss] < 256)]
+            free = self.high[slot[new] ^ 1] == 0
+            slot[new[free]] ^= 1
+            held, first = np.unique(slot[new], return_index=True)
+            new = new[first]
+            self.low[held], self.high[held], self.at[held], self.n[held] = low[new], high[new], at[new], n[new]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+_HEAD = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(_KEY + 1)], np.uint64)
+_TAIL = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(_KEY + 1)], np.uint64)
+
+
+def _pieces(texts: list[str], spaces: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, start and size of their pieces, and the pieces before each text and in all.
+
+    Cuts are where both pre-tokenizers cut whatever stands around: between ASCII letters, digits and marks other than
+    the apostrophe, around a line break, and before a space. Without ``spaces``, spaces and line breaks are left out.
+    """
+    raw = [t.encode() for t in texts]
+    data = b"".join(raw)
+    begin = np.cumsum([0, *map(len, raw)])
+    kind = _CLASS[np.frombuffer(data, np.uint8)]
+    cut = np.zeros(len(data) + 1, bool)
+    a, b = kind[:-1], kind[1:]
+    cut[1:-1] = (a != b) & (a > 0) & (b > 0) & ((a != _SPACE) | (not spaces)) if len(data) else False
+    blank = kind >= (_BREAK if spaces else _SPACE)
+    cut[:-1] |= kind >= _SPACE
+    cut[1:] |= blank
+    cut[begin] = True
+    start = np.flatnonzero(cut[:-1])
+    size = np.diff(np.r_[start, len(data)])
+    if not spaces:
+        words = ~blank[start]
+        start, size = start[words], size[words]
+    return data, start, size, np.searchsorted(start, begin)
+
+
+class Pieces:
+    """Vocabulary that encodes texts by their pieces, each distinct piece once for long."""
+
+    spaces = True
 
     def __init__(self, path: str):
+        self.path = path
+        self.added, self.largest = _added(path)
+        self.marked = _library(path)
+        self.table = PieceTable(self.solve)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for run in slices(texts):
+            how = [self.otherwise(t) for t in run]
+            data, start, size, before = _pieces(["" if other else t for t, other in zip(run, how)], self.spaces)
+            ids, n = self.table.ids(data, start, size)
+            ends = (4 * np.r_[0, np.cumsum(n)][before]).tolist()
+            raw = ids.astype("<u4").tobytes()
+            for t, other, a, b in zip(run, how, ends, ends[1:]):
+                out += other([t]) if other else [raw[a:b]]
+        return out
+
+
+class ByteLevel(Pieces):
+    """Byte-level vocabulary: a word is encoded with the space before it."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        self.added, self.marked = _added(path)[0], _library(path)
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -75,78 +197,66 @@ class ByteLevel:
         self.bpe = tiktoken.Encoding(
             "from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
-        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.heads = ChunkTable(self.whole, 50_000)
-        self.inner = ChunkTable(self._chunks, TABLE)
+        self.first = {c: np.zeros(max(ranks.values()) + 1, bool) for c in " \n"}
+        for c, first in self.first.items():
+            first[[i for t, i in ranks.items() if t[:1] == c.encode()]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [packed(self.bpe.encode_ordinary(t)) for t in texts]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(chunks)), np.int64)
-        return _runs(ids, self.spaced[ids], len(chunks)) or self.whole([" " + c for c in chunks])
+    def otherwise(self, text: str) -> Callable | None:
+        """How to encode a text that must not be cut."""
+        return self.marked if self.added.search(text) else self.whole if _white_run(text) else None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for run in slices(texts):
-            cut = [[] if _RUN.search(t) or self.added.search(t) else t.split(" ") for t in run]
-            self.heads.fill({c[0] for c in cut if c})
-            self.inner.fill(set().union(*(c[1:] for c in cut)))
-            heads, inner = self.heads, self.inner.__getitem__
-            for t, c in zip(run, cut):
-                if c:
-                    out.append(heads[c[0]] + b"".join(map(inner, c[1:])))
-                else:
-                    out += self.marked([t]) if self.added.search(t) else self.whole([t])
-        return out
+    def _joined(self, pieces: list[str], before: str) -> list[bytes]:
+        """Pieces with this character before them, encoded by one call and told apart by the ids that begin with it."""
+        ids = np.array(self.bpe.encode_ordinary(before + before.join(pieces)), np.int64)
+        return _runs(ids, self.first[before][ids], len(pieces)) or self.whole([before + p for p in pieces])
+
+    def solve(self, pieces: list[str]) -> list[bytes]:
+        spaced = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
+        bare = [p for p in pieces if not p[0].isspace() and not p[-1].isspace()]
+        found = dict(zip(spaced, self._joined([p[1:] for p in spaced], " "))) if spaced else {}
+        if bare:  # the line break is an id of its own
+            found |= zip(bare, [x[4:] for x in self._joined(bare, "\n")])
+        return [found[p] if p in found else self.whole([p])[0] for p in pieces]
 
 
-class WordLevel:
+class WordLevel(Pieces):
     """Vocabulary of words with an end mark; white space is dropped."""
 
+    spaces = False
+
     def __init__(self, path: str):
+        super().__init__(path)
         vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        self.path = path
-        self.added, largest = _added(path)
-        self.last = np.zeros(max(largest, *vocabulary.values()) + 1, bool)
+        self.last = np.zeros(max(self.largest, *vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words = ChunkTable(self._words, TABLE)
-        self.other = ChunkTable(_library(path), 50_000)
-        self.inner = ChunkTable(self._chunks, TABLE)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Runs of letters, joined for one call and told apart by the ids that end a word."""
-        ids = np.array(tokenizer(self.path).encode(" ".join(words), add_special_tokens=False).ids, np.int64)
-        ends = self.last[ids]
-        return _runs(ids, np.r_[True, ends[:-1]], len(words)) or _library(self.path)(words)
+    def otherwise(self, text: str) -> Callable | None:
+        return self.marked if self.added.search(text) else None
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = []
-        for c in chunks:
-            m = None if c.isalpha() else _WORD_AND_MARKS.fullmatch(c)
-            # In lower case a word may end in a mark (U+0130 does), which the library joins to the marks behind it.
-            cut.append((c,) if c.isalpha() else m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else None)
-        self.words.fill({p for g in cut if g for p in (g[0], g[-1]) if p})
-        self.other.fill({p for g in cut if g for p in g[1:3] if p and not p.isspace() and not p.isalpha()})
-        self.other.fill({c for c, g in zip(chunks, cut) if not g})
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Runs of letters, joined for a call and told apart by the ids that end a word."""
         out = []
-        for c, g in zip(chunks, cut):
-            if not g:
-                out.append(self.other[c])
-            elif len(g) == 1:
-                out.append(self.words[c])
-            else:
-                out.append(self.words[g[0]] + self.other[g[1]] + (self.words[g[3]] if g[3] else b""))
+        joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        made = tokenizer(self.path).encode_batch_fast([" ".join(w) for w in joined], add_special_tokens=False)
+        for some, e in zip(joined, made):
+            ids = np.array(e.ids, np.int64)
+            out += _runs(ids, np.r_[True, self.last[ids][:-1]], len(some)) or self.marked(some)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for run in slices(texts):
-            cut = [[] if self.added.search(t) else t.replace("\n", " ").split(" ") for t in run]
-            self.inner.fill(set().union(*cut))
-            out += [b"".join(map(self.inner.__getitem__, c)) if c else _library(self.path)([t])[0] for t, c in zip(run, cut)]
-        return out
+    def solve(self, pieces: list[str]) -> list[bytes]:
+        cut = []
+        for p in pieces:
+            m = None if p.isalpha() else _WORD_AND_MARKS.fullmatch(p)
+            # In lower case a word may end in a mark (U+0130 does), which the library joins to the marks behind it.
+            cut.append((p, "") if p.isalpha() else m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else ("", p))
+        words = list({w for w, _ in cut if w})
+        other = list({o for _, o in cut if o})
+        found = dict(zip(words, self._words(words))) | {"": b""}
+        rest = dict(zip(other, self.marked(other))) | {"": b""}
+        return [found[w] + rest[o] for w, o in cut]
 
 
 @lru_cache(maxsize=4)

@@ -75,7 +75,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
         v = values.pop(a) + values.pop(b)[::-1]
-        order = np.argsort(-v, kind="stable")
+        order = (-v).argsort(kind="stable")
         v = v[order]
         v -= v[-1]
         values[top], parts[top] = v, (a, b, order)
