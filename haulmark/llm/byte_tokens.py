@@ -12,6 +12,7 @@ compare it with ``tokenizers`` on odd and real texts.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 from collections.abc import Callable
@@ -38,6 +39,7 @@ def packed(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would also hold memory each
     return Tokenizer.from_file(path)
 
 

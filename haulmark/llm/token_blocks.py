@@ -4,7 +4,8 @@ A block holds the ids of whole documents, about ``BLOCK_IDS`` of them, and is re
 in lanes that are coded side by side; all lanes learn one model. The contexts of one and of two ids before each predict
 an id, with a confidence that grows when the prediction comes true. How much probability the order-2 prediction, the
 order-1 prediction and the order-0 frequencies get is learned for every pair of confidences. The mixture drives a
-carry-less 64-bit range coder.
+carry-less 64-bit range coder, which sends 16 bits of a lane at a time. Weights and frequencies are scaled to powers of
+two, so an interval costs no division; frequencies are counted anew after ever more steps.
 
 Files are Parquet tables of blocks, written by Spark to the shared folder in ascending order of ``doc_id``; a row is
 one block, whose bytes are complete in themselves: header, checksums of the coded bytes and of the ids, document ids
@@ -33,75 +34,107 @@ from haulmark.llm.common import U64, keep, partitions, slices, texts_of
 
 BLOCK_IDS = 1 << 20
 MOST_LANES, LANE_IDS = 2048, 256
-_TOP, _BOTTOM = U64(1 << 56), U64(1 << 48)
-_MAGIC = b"IDB1"
+_BOTTOM = U64(1 << 48)
+_WEIGHT = 12  # bits of the weights
+_WHOLE = U64(1 << _WEIGHT)
+_ONE, _TWO, _THREE, _SEVEN = np.array([1, 2, 3, 7], np.uint32)
+# By twice the confidence, and one if the prediction came true: what is added to it (modulo 2**32).
+_STEP = np.array([d % (1 << 32) for k in range(8) for d in ((k >> 1) - k, int(k < 7))], np.uint32)
+_REFRESH = {1, 2, 4, 8, 16, 32, 48, 64, 96}  # steps after which frequencies are counted anew, besides every 128th
+_MAGIC = b"IDB2"
 _HEADER = struct.Struct("<4s6I")  # magic, ids, documents, lanes, alphabet, crc of the body, crc of the ids
 _NULL = -(1 << 63)
 
 
 class Mixer:
-    """What coder and decoder know before each step; both make the same updates in the same order."""
+    """What coder and decoder know before each step; both make the same updates in the same order.
+
+    An entry of a context is its predicted id, and in the lowest three bits the confidence. Weights and frequencies are
+    scaled to powers of two, so that an interval is one out of ``2**bits``.
+    """
 
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
-        self.guess = [np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64)]
-        self.trust = [np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64)]
+        self.places = max(20, alphabet.bit_length() + 2)
+        self.bits = U64(self.places + _WEIGHT)
+        self.contexts = [np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint32)]
         k2, k1, same = np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij")
         self.mix = np.stack([1 + 16 * k2, 1 + 8 * k1 * (1 - same), 24 + 0 * k2], -1).reshape(128, 3).astype(np.int64)
+        self.apart = 1 - same.ravel()
         self.counts = np.ones(alphabet, np.int64)
         self.pending: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
         self.step = 0
+        self._weigh()
         self._refresh()
 
+    def _weigh(self) -> None:
+        if self.seen:
+            self.mix += 4 * np.bincount(np.concatenate(self.seen), minlength=384).reshape(128, 3)
+            self.seen = []
+            while (heavy := self.mix.sum(1) > 1 << 16).any():
+                self.mix[heavy] = (self.mix[heavy] + 1) >> 1
+        part = self.mix * ((1 << _WEIGHT) - 3) // self.mix.sum(1, keepdims=True)
+        first = 1 + part[:, 0]
+        self.first, self.second = first.astype(np.uint64), (first + (1 + part[:, 1]) * self.apart).astype(np.uint64)
+
     def _refresh(self) -> None:
         if self.pending:
             self.counts += 32 * np.bincount(np.concatenate(self.pending), minlength=self.alphabet)
             self.pending = []
-        self.cumulated = np.r_[0, np.cumsum(self.counts)]
-        self.total = int(self.cumulated[-1])
+        free = (1 << self.places) - self.alphabet
+        size = 1 + (self.counts * (free / self.counts.sum())).astype(np.int64)
+        size[self.counts.argmax()] += (1 << self.places) - size.sum()
+        self.size = size.astype(np.uint64)
+        self.begin = (np.cumsum(size) - size).astype(np.uint64)
+        self.holder = None
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """one, two: the last id and the last but one of every lane."""
-        mixed = (one * 0x9E3779B1 + two * 0x85EBCA77 * 64) & 0xFFFFFFFF
-        self.at = [one & 0xFFFF, mixed >> 14]
-        self.p1, self.p2 = self.guess[0][self.at[0]], self.guess[1][self.at[1]]
-        self.k1, self.k2 = self.trust[0][self.at[0]], self.trust[1][self.at[1]]
-        self.cell = (self.k2 * 8 + self.k1) * 2 + (self.p1 == self.p2)
-        self.f = self.mix[self.cell]
-        self.whole = self.f.sum(1) * self.total
+        mixed = (one * np.uint32(0x9E3779B1) + two * np.uint32(0x61725DC0)) >> np.uint32(14)
+        self.at = [(one & np.uint32(0xFFFF)).astype(np.intp), mixed.astype(np.intp)]
+        self.e1, self.e2 = (entries.take(at) for entries, at in zip(self.contexts, self.at))
+        self.p1, self.p2 = self.e1 >> _THREE, self.e2 >> _THREE
+        self.k1, self.k2 = self.e1 & _SEVEN, self.e2 & _SEVEN
+        self.cell = (((self.k2 << _THREE) + self.k1) * _TWO + (self.p1 == self.p2)).astype(np.intp)
+        self.f1, self.f2 = self.first.take(self.cell), self.second.take(self.cell)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cumulated, frequency) of the ids, out of ``whole``."""
-        self.case = np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, 2))
-        f0, f1, f2 = self.f[:, 0], self.f[:, 1], self.f[:, 2]
-        low = np.where(self.case == 0, 0, np.where(self.case == 1, f0, f0 + f1)) * self.total
-        size = np.where(self.case == 0, f0, f1) * self.total
-        own = self.cumulated[ids]
-        rest = self.case == 2
-        return np.where(rest, low + f2 * own, low), np.where(rest, f2 * (self.cumulated[ids + 1] - own), size)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """Ids whose intervals hold the values."""
-        f0, f1, f2 = self.f[:, 0] * self.total, self.f[:, 1] * self.total, self.f[:, 2]
-        ids = np.where(value < f0, self.p2, self.p1)
-        rest = np.flatnonzero(value >= f0 + f1)
-        inner = (value[rest] - f0[rest] - f1[rest]) // f2[rest]
-        ids[rest] = np.searchsorted(self.cumulated, inner, "right") - 1
+        """(begin, size) of the ids, out of ``2**bits``."""
+        self.is1, self.is2 = ids == self.p1, ids == self.p2
+        places = U64(self.places)
+        f1, f2 = self.f1 << places, self.f2 << places
+        rest, at = _WHOLE - self.f2, ids.astype(np.intp)
+        begin, size = f2 + rest * self.begin.take(at), rest * self.size.take(at)
+        np.copyto(begin, f1, where=self.is1)
+        np.copyto(size, f2 - f1, where=self.is1)
+        np.copyto(begin, U64(0), where=self.is2)
+        np.copyto(size, f1, where=self.is2)
+        return begin, size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """Ids whose intervals hold the places."""
+        if self.holder is None:
+            self.holder = np.repeat(np.arange(self.alphabet, dtype=np.uint32), self.size.astype(np.int64))
+        part = place >> U64(self.places)
+        ids = np.where(part < self.f1, self.p2, self.p1)
+        rest = np.flatnonzero(part >= self.f2)
+        f2 = self.f2.take(rest)
+        ids[rest] = self.holder.take(((place.take(rest) - (f2 << U64(self.places))) // (_WHOLE - f2)).astype(np.int64))
         return ids
 
     def update(self, ids: np.ndarray) -> None:
-        self.mix += 24 * np.bincount(self.cell * 3 + self.case, minlength=384).reshape(128, 3)
-        while (heavy := self.mix.sum(1) > 4096).any():
-            self.mix[heavy] = (self.mix[heavy] + 1) >> 1
-        for i, guess, trust in ((0, self.p1, self.k1), (1, self.p2, self.k2)):
-            right = guess == ids
-            weak = ~right & (trust == 0)
+        self.seen.append(self.cell * 3 + np.where(self.is2, 0, 2 - self.is1.view(np.int8)))
+        fresh = (ids << _THREE) + _ONE
+        for i, entry, right, trust in ((0, self.e1, self.is1, self.k1), (1, self.e2, self.is2, self.k2)):
+            step = (trust << _ONE) + right
             # Where lanes share a context, the last one's view is kept.
-            self.guess[i][self.at[i]] = np.where(weak, ids, guess)
-            self.trust[i][self.at[i]] = np.where(right, np.minimum(trust + 1, 7), np.where(weak, 1, trust >> 1))
+            self.contexts[i][self.at[i]] = np.where(step == 0, fresh, entry + _STEP.take(step))
         self.pending.append(ids)
         self.step += 1
-        if self.step % (4 if self.step < 64 else 16) == 0:
+        if self.step < 16 or self.step % 4 == 0:
+            self._weigh()
+        if self.step in _REFRESH or self.step % 128 == 0:
             self._refresh()
 
 
@@ -112,82 +145,80 @@ def _layout(n: int) -> tuple[int, int]:
     return -(-n // each), each
 
 
+def _shrunk(low: np.ndarray, size: np.ndarray, lane: np.ndarray) -> None:
+    """Make 16 bits of room in the lanes; where these bits are not settled, the interval is cut so that they are."""
+    l, s = low[lane], size[lane]
+    s = np.where((l ^ (l + s)) < _BOTTOM, s, (~l + U64(1)) & (_BOTTOM - U64(1)))
+    low[lane], size[lane] = l << U64(16), s << U64(16)
+
+
 def code(ids: np.ndarray, alphabet: int) -> list[bytes]:
     """The coded bytes of every lane."""
-    ids = ids.astype(np.int64)
     n = len(ids)
     lanes, each = _layout(n)
+    steps = np.zeros(lanes * each, np.uint32)
+    steps[:n] = ids
+    steps = np.ascontiguousarray(steps.reshape(lanes, each).T)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~U64(0))
-    out, at = np.zeros((lanes, 2 * each + 64), np.uint8), np.zeros(lanes, np.int64)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    out, at, most = np.zeros((lanes, each + 64), np.uint16), np.zeros(lanes, np.int64), 0
+    one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     model = Mixer(alphabet)
-    begin = np.arange(lanes) * each
+    last = n - (lanes - 1) * each
     for t in range(each):
-        a = lanes if t < n - begin[-1] else lanes - 1
-        now = ids[begin[:a] + t]
+        a = lanes if t < last else lanes - 1
+        now = steps[t, :a]
         model.predict(one[:a], two[:a])
         start, width = model.interval(now)
-        r = size[:a] // model.whole.astype(np.uint64)
-        low[:a] += r * start.astype(np.uint64)
-        size[:a] = r * width.astype(np.uint64)
-        lane = np.arange(a)
-        while True:
-            l, s = low[lane], size[lane]
-            flat = (l ^ (l + s)) < _TOP
-            go = flat | (s < _BOTTOM)
-            if not go.any():
-                break
-            lane, l, s, flat = lane[go], l[go], s[go], flat[go]
-            s = np.where(flat, s, (~l + U64(1)) & (_BOTTOM - U64(1)))
-            if at.max() + 9 > out.shape[1]:
-                out = np.pad(out, ((0, 0), (0, out.shape[1])))
-            out[lane, at[lane]] = (l >> U64(56)).astype(np.uint8)
+        r = size[:a] >> model.bits
+        low[:a] += r * start
+        size[:a] = r * width
+        lane = np.flatnonzero(size[:a] < _BOTTOM)
+        while len(lane):
+            if most == out.shape[1]:
+                out = np.pad(out, ((0, 0), (0, most)))
+            out[lane, at[lane]] = low[lane] >> U64(48)
             at[lane] += 1
-            low[lane], size[lane] = l << U64(8), s << U64(8)
+            most += 1  # no lane holds more
+            _shrunk(low, size, lane)
+            lane = lane[size[lane] < _BOTTOM]
         model.update(now)
         two[:a], one[:a] = one[:a], now
     tails = low.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return [out[i, : at[i]].tobytes() + tails[i].tobytes() for i in range(lanes)]
+    return [out[i, : at[i]].astype(">u2").tobytes() + tails[i].tobytes() for i in range(lanes)]
 
 
 def decode(parts: list[bytes], n: int, alphabet: int) -> np.ndarray:
     lanes, each = _layout(n)
-    longest = max(map(len, parts)) + 8
-    data = np.zeros((lanes, longest), np.uint8)
+    longest = max(map(len, parts)) // 2
+    data = np.zeros((lanes, longest), np.uint64)
     for i, p in enumerate(parts):
-        data[i, : len(p)] = np.frombuffer(p, np.uint8)
+        data[i, : len(p) // 2] = np.frombuffer(p, ">u2")
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~U64(0))
-    value = np.ascontiguousarray(data[:, :8]).view(">u8").ravel().astype(np.uint64)
-    at = np.full(lanes, 8)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    value = data[:, 0] << U64(48) | data[:, 1] << U64(32) | data[:, 2] << U64(16) | data[:, 3]
+    at = np.full(lanes, 4)
+    one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     model = Mixer(alphabet)
-    ids = np.zeros(n, np.int64)
-    begin = np.arange(lanes) * each
+    most = (U64(1) << model.bits) - U64(1)
+    ids = np.zeros((each, lanes), np.uint32)
+    last = n - (lanes - 1) * each
     for t in range(each):
-        a = lanes if t < n - begin[-1] else lanes - 1
+        a = lanes if t < last else lanes - 1
         model.predict(one[:a], two[:a])
-        r = size[:a] // model.whole.astype(np.uint64)
-        place = np.minimum(((value[:a] - low[:a]) // r).astype(np.int64), model.whole - 1)
-        now = model.find(place)
+        r = size[:a] >> model.bits
+        now = model.find(np.minimum((value[:a] - low[:a]) // r, most))
         start, width = model.interval(now)
-        low[:a] += r * start.astype(np.uint64)
-        size[:a] = r * width.astype(np.uint64)
-        lane = np.arange(a)
-        while True:
-            l, s = low[lane], size[lane]
-            flat = (l ^ (l + s)) < _TOP
-            go = flat | (s < _BOTTOM)
-            if not go.any():
-                break
-            lane, l, s, flat = lane[go], l[go], s[go], flat[go]
-            s = np.where(flat, s, (~l + U64(1)) & (_BOTTOM - U64(1)))
-            value[lane] = value[lane] << U64(8) | data[lane, np.minimum(at[lane], longest - 1)]
+        low[:a] += r * start
+        size[:a] = r * width
+        lane = np.flatnonzero(size[:a] < _BOTTOM)
+        while len(lane):
+            value[lane] = value[lane] << U64(16) | data[lane, np.minimum(at[lane], longest - 1)]
             at[lane] += 1
-            low[lane], size[lane] = l << U64(8), s << U64(8)
+            _shrunk(low, size, lane)
+            lane = lane[size[lane] < _BOTTOM]
         model.update(now)
-        ids[begin[:a] + t] = now
+        ids[t, :a] = now
         two[:a], one[:a] = one[:a], now
-    return ids
+    return ids.T.ravel()[:n]
 
 
 def write_block(doc_ids: list[int | None], lengths: list[int], ids: bytes, alphabet: int) -> bytes:
