@@ -83,9 +83,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x + U64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    # In place, as new arrays cost as much as the arithmetic.
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 _BYTES = mix(np.arange(256, dtype=np.uint64), 77)
@@ -118,7 +122,9 @@ def release() -> None:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over the bytes; ``span_hash`` turns them into hashes of any span."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(len(data)), out=out[1:])
+    terms = _BYTES[data]
+    terms *= powers(len(data))
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -127,6 +133,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * inverse_powers(len(prefix))[start]
 
 
+def gram_hashes(prefix: np.ndarray, n: int) -> np.ndarray:
+    """``span_hash`` of the n bytes from each place that has as many."""
+    out = prefix[n:] - prefix[: len(prefix) - n]
+    out *= inverse_powers(len(prefix))[: len(out)]
+    return out
+
+
 def inverse_powers(n: int) -> np.ndarray:
     """What takes the place of a span out of its hash; hold on to it where many spans of long bytes are hashed."""
     return powers(n, _INVERSE)

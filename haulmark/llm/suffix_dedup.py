@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, below, inverse_powers, keep, keep_by_key, mix, partitions, prefix_hash, release, span_hash, texts_of, utf8
+from haulmark.llm.common import U64, below, gram_hashes, inverse_powers, keep, keep_by_key, mix, partitions, prefix_hash, release, span_hash, texts_of, utf8
 from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, runs_of_equal, unpack
 
 SPAN, GRAM = 50, 24
@@ -67,22 +67,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     empty = np.empty(0, np.int64)
     if len(data) < span:
         return np.empty(0, np.uint64), empty, empty, empty, empty, prefix
-    at = np.arange(n)
-    hashes = mix(span_hash(prefix, at, at + gram), 3)
-    best = (hashes >> U64(_PLACE) << U64(_PLACE)) | at.astype(np.uint64)
+    hashes = mix(gram_hashes(prefix, gram), 3)
+    best, spare = np.arange(n, dtype=np.uint64), np.empty(n, np.uint64)
+    best |= np.bitwise_and(hashes, ~U64((1 << _PLACE) - 1), out=spare)
     width, reach = span - gram + 1, 1
-    while 2 * reach <= width:
-        best = np.minimum(best[: len(best) - reach], best[reach:])
-        reach *= 2
-    if reach < width:
-        best = np.minimum(best[: len(best) - (width - reach)], best[width - reach :])
-    doc = np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets), 0))[: len(best)]
-    inside = np.flatnonzero(np.arange(len(best)) + span <= offsets[doc + 1])
-    place = (best[inside] & U64((1 << _PLACE) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(inside) != 1)][: len(inside)])
-    count = np.diff(np.r_[first, len(inside)])
-    start, place = inside[first], place[first]
-    return hashes[place], place, start, count, doc[start], prefix
+    while reach < width:
+        step = min(reach, width - reach)
+        best, spare = np.minimum(best[:-step], best[step:], out=spare[: len(best) - step]), best
+        reach += step
+    inside = np.ones(len(best) + 1, bool)  # strings that end in their text
+    inside[-1] = False
+    ends = offsets[1:]
+    for low, high in zip(np.maximum(offsets[:-1], ends - span + 1).tolist(), ends.tolist()):
+        inside[low:high] = False
+    other = best[1:] != best[:-1]
+    start = np.flatnonzero(inside[:-1] & np.r_[True, other | ~inside[:-2]])
+    count = np.flatnonzero(inside[:-1] & np.r_[other | ~inside[1:-1], True]) - start + 1
+    place = (best[start] & U64((1 << _PLACE) - 1)).astype(np.int64)
+    return hashes[place], place, start, count, np.searchsorted(ends, start, "right"), prefix
 
 
 def part_of(docs: np.ndarray, prints: np.ndarray, parts: int) -> np.ndarray:
