@@ -82,13 +82,46 @@ _KEY, _SLOTS, _POOL = 15, 1 << 21, 8_000_000  # bytes of a piece that is held, s
 
 
 class PieceTable:
-    """Ids of short pieces of texts, held under their bytes and length in an array of slots (each piece has two)."""
+    """Ids of short pieces of texts, held under their bytes and length in an array of slots (each piece has two).
+
+    The array grows to ``slots`` with the pieces held, as every worker of an executor has one.
+    """
 
     def __init__(self, solve: Callable[[list[str]], list[bytes]], slots: int = _SLOTS, most: int = _POOL):
-        self.solve, self.slots, self.most = solve, slots, most
+        self.solve, self.limit, self.most = solve, slots, most
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self._empty(min(slots, 1 << 16))
+
+    def _empty(self, slots: int) -> None:
+        self.slots, self.held = slots, 0
         self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
         self.at, self.n = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high)) >> U64(32)).astype(np.int64) % self.slots
+
+    def _enter(self, *pieces: np.ndarray) -> None:
+        """Hold pieces that are not held yet: in their first slot where it is free, else in the second in any case."""
+        slot = self._slot(*pieces[:2])
+        left = np.arange(len(slot))
+        for other in (0, 1):
+            going = left if other else left[self.high[slot] == 0]
+            where, first = np.unique(slot[going] ^ other, return_index=True)
+            self.held += int((self.high[where] == 0).sum())
+            for held, x in zip((self.low, self.high, self.at, self.n), pieces, strict=True):
+                held[where] = x[going[first]]
+            left = np.setdiff1d(left, going[first])
+
+    def _room(self, more: int) -> None:
+        """At least four times the slots of what is held and comes, up to the limit: in fuller arrays pieces push others out."""
+        slots = self.slots
+        while slots < min(4 * (self.held + more), self.limit):
+            slots = min(2 * slots, self.limit)
+        if slots > self.slots:
+            there = np.flatnonzero(self.high)
+            pieces = [x[there] for x in (self.low, self.high, self.at, self.n)]
+            self._empty(slots)
+            self._enter(*pieces)
 
     def _keep(self, solved: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of the ids, now in the pool."""
@@ -103,14 +136,14 @@ class PieceTable:
     def ids(self, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one behind the other, and their number in each piece."""
         if self.used > self.most:
-            self.high[:], self.used = 0, 0
+            self.high[:], self.used, self.held = 0, 0, 0
             self.pool = np.zeros(1 << 16, np.uint32)
         padded = np.frombuffer(data + bytes(16), np.uint8)
         key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 16)[start]).view("<u8")
         short = size <= _KEY
         fit = np.minimum(size, _KEY)
         low, high = key[:, 0] & _HEAD[fit], key[:, 1] & _TAIL[fit] | (fit.astype(np.uint64) << U64(56))
-        slot = (mix(low ^ mix(high)) >> U64(32)).astype(np.int64) % self.slots
+        slot = self._slot(low, high)
         hit = (self.low[slot] == low) & (self.high[slot] == high) & short
         other = np.flatnonzero(~hit)
         slot[other] ^= 1
@@ -123,12 +156,10 @@ class PieceTable:
             which = np.array([number.setdefault(x, len(number)) for x in found], np.int64)
             placed, count = self._keep(self.solve([x.decode() for x in number]))
             at[miss], n[miss] = placed[which], count[which]
-            new = miss[short[miss] & (n[miss] < 256)]
-            free = self.high[slot[new] ^ 1] == 0
-            slot[new[free]] ^= 1
-            held, first = np.unique(slot[new], return_index=True)
-            new = new[first]
-            self.low[held], self.high[held], self.at[held], self.n[held] = low[new], high[new], at[new], n[new]
+            new = miss[np.unique(which, return_index=True)[1]]
+            new = new[short[new] & (n[new] < 256)]
+            self._room(len(new))
+            self._enter(low[new], high[new], at[new], n[new])
         ends = np.cumsum(n)
         return self.pool[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 

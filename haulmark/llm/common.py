@@ -119,6 +119,37 @@ def release() -> None:
         trim(0)
 
 
+def releasing(work: Callable) -> Callable:
+    """``work`` on batches for ``mapInArrow``. Its worker waits small, beside those of other tasks and stages."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def releasing_group(work: Callable) -> Callable:
+    """``work`` on the frame of a group for ``applyInPandas``, as ``releasing``."""
+
+    def run(frame):
+        out = work(frame)
+        release()
+        return out
+
+    return run
+
+
+def runs_of(column: pa.Array, size: int = 1_000_000) -> Iterable[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``size`` bytes."""
+    _, offsets = utf8(column)
+    first = 0
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        yield first, end
+        first = end
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over the bytes; ``span_hash`` turns them into hashes of any span."""
     out = np.zeros(len(data) + 1, np.uint64)

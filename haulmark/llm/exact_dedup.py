@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import WHITE, keep, partitions, texts_of
+from haulmark.llm.common import WHITE, keep, partitions, releasing, texts_of
 
 MAX_DEPTH = 18  # directory of 2**18 entries at most
 BUCKET_ROWS = 512
@@ -148,7 +148,7 @@ def build_index(docs: DataFrame, *carry: str, capacity: int = BUCKET_ROWS) -> tu
     """
     given = texts_of(docs, *[F.col(c).alias(f"_{c}") for c in carry])
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[2:])
-    rows = keep(given.mapInArrow(_merge_locally, ENTRY + extra), "dedup-rows")
+    rows = keep(given.mapInArrow(releasing(_merge_locally), ENTRY + extra), "dedup-rows")
     reps = rows.where("copies is not null")
     top = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
     counts = {r[0]: r[1] for r in reps.groupBy(top.alias("p")).count().collect()}  # 2**MAX_DEPTH rows at most
@@ -162,7 +162,7 @@ def build_index(docs: DataFrame, *carry: str, capacity: int = BUCKET_ROWS) -> tu
         routed.select("bucket", "key", "row_id", "doc_id", "n_chars", "copies", "text")
         .repartition(partitions(docs), "bucket")
         .sortWithinPartitions("bucket", "key")
-        .mapInArrow(_own, "rep_id long, bucket long, chain long, keep_id long, keep_row long, group_size long")
+        .mapInArrow(releasing(_own), "rep_id long, bucket long, chain long, keep_id long, keep_row long, group_size long")
     )
     return rows, keep(entries, "dedup-index")
 

@@ -35,7 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, WHITE, below, keep, mix, partitions, prefix_hash, signed, span_hash, texts_of, utf8
+from haulmark.llm.common import (
+    U64,
+    WHITE,
+    below,
+    keep,
+    mix,
+    partitions,
+    prefix_hash,
+    releasing,
+    releasing_group,
+    runs_of,
+    signed,
+    span_hash,
+    texts_of,
+    utf8,
+)
 from haulmark.llm.components import components
 from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, unpack
 
@@ -43,6 +58,7 @@ NUM, DEN = 90, 100
 WORDS = 3
 CHUNK = 2048
 BUCKET_SIGNATURES = 2_000_000
+ENTRIES = 500_000  # of the inverted lists, looked at in one go
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -138,8 +154,8 @@ def _digests(feature: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def _describe(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for s, e in runs_of(whole.column(1)):
+                batch = whole.slice(s, e - s)
                 feature, offsets = shingle_sets(batch.column(1), words)
                 one, two = _digests(feature, offsets)
                 yield pa.RecordBatch.from_arrays(
@@ -156,8 +172,8 @@ def _deal(words: int, num: int, den: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple] = set()
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                feature, offsets = shingle_sets(whole.column(0).slice(at, 512), words)
+            for s, e in runs_of(whole.column(0)):
+                feature, offsets = shingle_sets(whole.column(0).slice(s, e - s), words)
                 one, two = _digests(feature, offsets)
                 fresh = np.array([x not in told and not told.add(x) for x in zip(one.tolist(), two.tolist())], bool)
                 if len(told) > 500_000:
@@ -227,8 +243,8 @@ def _own_sets(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple] = set()
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for s, e in runs_of(whole.column(0)):
+                batch = whole.slice(s, e - s)
                 feature, offsets = shingle_sets(batch.column(0), words)
                 one, two = (signed(x).tolist() for x in _digests(feature, offsets))
                 names = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
@@ -247,15 +263,19 @@ class Inverted:
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = len(sets)
-        sizes = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(self.n), sizes)
-        _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        ok = often[column] > 1
-        self.owner, column = owner[ok], column[ok]
-        order = np.argsort(column, kind="stable")
-        self.members = self.owner[order]
-        self.begin = np.searchsorted(column[order], np.arange(len(often) + 1))
-        self.column = column
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        same = values[1:] == values[:-1]
+        del values
+        again = np.r_[False, same][: len(order)]
+        shared = again | np.r_[same, False][: len(order)]
+        order, first = order[shared], np.flatnonzero(~again[shared])
+        self.begin = np.r_[first, len(order)]
+        self.members = np.searchsorted(np.cumsum([len(x) for x in sets]), order, "right")
+        back = np.argsort(order)  # set by set
+        self.owner = self.members[back]
+        self.column = np.repeat(np.arange(len(first)), np.diff(self.begin))[back]
         self.first = np.searchsorted(self.owner, np.arange(self.n + 1))
 
     def overlaps(self, start: int, stop: int) -> np.ndarray:
@@ -266,8 +286,8 @@ class Inverted:
         total = np.cumsum(length)
         out = np.zeros((stop - start) * self.n, np.int64)
         done = 0
-        while done < len(column):  # at most some millions of list entries at a time
-            end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 4_000_000, "right")))
+        while done < len(column):
+            end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + ENTRIES, "right")))
             k = length[done:end]
             at = np.arange(k.sum()) + np.repeat(self.begin[column[done:end]] - (np.cumsum(k) - k), k)
             out += np.bincount(np.repeat(row[done:end] * self.n, k) + self.members[at], minlength=len(out))
@@ -322,7 +342,7 @@ def jaccard_groups(
     """doc_id, n_shingles, component_id and n_links of every row; linked: den * intersection >= num * union."""
     given = texts_of(docs)
     described = keep(
-        given.mapInArrow(_describe(words), "doc_id long, n_shingles long, one long, two long"), "jaccard-sets"
+        given.mapInArrow(releasing(_describe(words)), "doc_id long, n_shingles long, one long, two long"), "jaccard-sets"
     )
     classes = keep(
         described.where("n_shingles > 0")
@@ -334,9 +354,9 @@ def jaccard_groups(
     buckets = max(partitions(docs), -(-load // BUCKET_SIGNATURES))
     shared = (
         given.select("text")
-        .mapInArrow(_deal(words, num, den, buckets), packed_ddl("sig", "role"))
+        .mapInArrow(releasing(_deal(words, num, den, buckets)), packed_ddl("sig", "role"))
         .groupBy("bucket")
-        .applyInPandas(_common, "one long, two long, own long, next long")
+        .applyInPandas(releasing_group(_common), "one long, two long, own long, next long")
         .groupBy("one", "two")
         .agg(F.sum("own").alias("own"), F.sum("next").alias("next"))
     )
@@ -344,7 +364,7 @@ def jaccard_groups(
     left = keep(
         classes.join(shared, ["one", "two"])
         .select(*[c.split()[0] for c in columns.split(", ")])
-        .mapInArrow(_may_link(num, den), columns)
+        .mapInArrow(releasing(_may_link(num, den)), columns)
         .drop("own", "next"),
         "jaccard-left",
     )
@@ -352,12 +372,12 @@ def jaccard_groups(
         given.withColumnRenamed("doc_id", "leader")
         .join(left.hint("merge"), "leader")
         .select("text", "leader", "copies", "n", "one", "two")
-        .mapInArrow(_own_sets(words), "leader long, copies long, n long, one long, two long, features binary"),
+        .mapInArrow(releasing(_own_sets(words)), "leader long, copies long, n long, one long, two long, features binary"),
         "jaccard-features",
     )
     # The first half of a set's name stands for it here; a clash only makes it visit more blocks.
     bucket = Window.partitionBy("sig")
-    signed_rows = sets.select("one", "features").mapInArrow(_sign(num, den), "a long, sig long, role long, need long")
+    signed_rows = sets.select("one", "features").mapInArrow(releasing(_sign(num, den)), "a long, sig long, role long, need long")
     rows = keep(
         signed_rows.withColumns({"leader": F.min("a").over(bucket), "most": F.max("a").over(bucket)})
         .where("leader <> most")
@@ -400,7 +420,7 @@ def jaccard_groups(
         .repartition(partitions(docs), "i", "j")
     )
     judged = keep(
-        blocks.groupBy("i", "j").applyInPandas(_judge(num, den), "a long, b long, partners long"),
+        blocks.groupBy("i", "j").applyInPandas(releasing_group(_judge(num, den)), "a long, b long, partners long"),
         "jaccard-links",
     )
     linked = components(judged.select("a", "b")).select(F.col("node").alias("leader"), "component")

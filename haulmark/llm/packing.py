@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.byte_tokens import byte_level
-from haulmark.llm.common import keep, partitions, slices, texts_of
+from haulmark.llm.common import keep, partitions, releasing, releasing_group, slices, texts_of
 
 WINDOW, PIECE, BLOCK = 1024, 256, 96
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -130,7 +130,7 @@ def pieces_of(
     docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW, piece: int = PIECE
 ) -> DataFrame:
     """doc_id, start, length, doc_tokens and ids (binary, little-endian 32 bit) of every piece, in shared files."""
-    return keep(texts_of(docs).mapInArrow(_tokenize(tokenizer_path, window, piece, end_id), _PIECES), "pack-pieces")
+    return keep(texts_of(docs).mapInArrow(releasing(_tokenize(tokenizer_path, window, piece, end_id)), _PIECES), "pack-pieces")
 
 
 def plan(pieces: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -143,7 +143,7 @@ def plan(pieces: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFra
         .select("*", spread)
         .repartition(min(blocks, 4 * partitions(pieces)), "block")
         .groupBy("block")
-        .applyInPandas(_place(window), _PLACED)
+        .applyInPandas(releasing_group(_place(window)), _PLACED)
     )
 
 

@@ -37,7 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, below, gram_hashes, inverse_powers, keep, keep_by_key, mix, partitions, prefix_hash, release, span_hash, texts_of, utf8
+from haulmark.llm.common import (
+    U64,
+    below,
+    gram_hashes,
+    inverse_powers,
+    keep,
+    keep_by_key,
+    mix,
+    partitions,
+    prefix_hash,
+    releasing,
+    releasing_group,
+    runs_of,
+    span_hash,
+    texts_of,
+    utf8,
+)
 from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, runs_of_equal, unpack
 
 SPAN, GRAM = 50, 24
@@ -47,16 +63,6 @@ _LAST = (1 << 63) - 1
 BUCKET_BYTES = 32_000_000
 
 
-def runs_of(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts of about ``size`` bytes."""
-    _, offsets = utf8(column)
-    first = 0
-    while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
-        yield first, end
-        first = end
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple:
     """Anchor hash and place, first string and number of strings of each stretch; the text it lies in; prefix hashes.
 
@@ -175,7 +181,6 @@ def _deal(buckets: int) -> Callable:
                 values = dict(zip(_DEALT, (short[done], none, none)))
                 part = buckets + part_of(ids[doc[done]], prints[doc[done]], buckets)
                 yield as_batch(pack_by_bucket(part, doc[done], ids, prints, values), packed_schema(*_DEALT))
-        release()
 
     return run
 
@@ -237,7 +242,6 @@ def _stretches(buckets: int) -> Callable:
                 bucket = np.where(later, buckets + part_of(ids[doc], prints[doc], buckets), below(mix(h, 9), buckets))
                 values = dict(zip(_STRETCH, (h, body, (start - offsets[doc]).astype("<u4"), count.astype("<u1"))))
                 yield as_batch(pack_by_bucket(bucket, doc, ids, prints, values), packed_schema(*_STRETCH))
-        release()
 
     return run
 
@@ -532,11 +536,11 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
     buckets = max(partitions(docs), -(-total // BUCKET_BYTES))
     places = (
         keyed.select("doc", "print", "text")
-        .mapInArrow(_deal(buckets), packed_ddl(*_DEALT))
+        .mapInArrow(releasing(_deal(buckets)), packed_ddl(*_DEALT))
         .groupBy("bucket")
-        .applyInPandas(_shared(buckets), packed_ddl("hashes"))
+        .applyInPandas(releasing_group(_shared(buckets)), packed_ddl("hashes"))
         .groupBy("bucket")
-        .applyInPandas(_gather_anchors, "doc long, print long, hashes binary")
+        .applyInPandas(releasing_group(_gather_anchors), "doc long, print long, hashes binary")
     )
     rest = F.col("hashes").isNull() & F.lit(not whole)
     texts = keep_by_key(
@@ -560,9 +564,9 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
     touched = texts.where("hashes is not null")
     found = keep(
         touched.select("doc", "print", "text", "hashes")
-        .mapInArrow(_stretches(buckets), packed_ddl(*_STRETCH))
+        .mapInArrow(releasing(_stretches(buckets)), packed_ddl(*_STRETCH))
         .groupBy("bucket")
-        .applyInPandas(_compare(buckets), _FOUND),
+        .applyInPandas(releasing_group(_compare(buckets)), _FOUND),
         "repeat-stretches",
     )
     open_ = found.where("docs is null").groupBy("doc", "print").agg(F.collect_set(F.struct(*_OPEN)).alias("parts"))
@@ -572,22 +576,22 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
         .join(open_, ["doc", "print"])
         .select("doc", "print", "text", "parts")
         .mapInArrow(
-            _contexts(buckets),
+            releasing(_contexts(buckets)),
             "bucket long, anchor long, doc long, print long, start long, strings long, bytes binary,"
             " further_prints binary, further_starts binary",
         )
     )
-    hits = contexts.groupBy("bucket").applyInPandas(_sort_contexts(buckets), packed_ddl("start", "strings"))
+    hits = contexts.groupBy("bucket").applyInPandas(releasing_group(_sort_contexts(buckets)), packed_ddl("start", "strings"))
     spans = (
         found.where("docs is not null")
         .select(*hits.columns)
         .union(hits)
         .groupBy("bucket")
-        .applyInPandas(_gather_spans, "doc long, print long, start binary, strings binary")
+        .applyInPandas(releasing_group(_gather_spans), "doc long, print long, start binary, strings binary")
     )
     cut = touched.join(spans, ["doc", "print"], "left").select("text", "start", "strings", "doc_id", "n_bytes", *extra)
     schema = f"{_types(cut, 'text', 'start', 'strings')}, kept binary, n_removed long, n_spans long"
-    changed = cut.mapInArrow(_finish, schema).withColumn("kept_sha256", F.sha2("kept", 256))
+    changed = cut.mapInArrow(releasing(_finish), schema).withColumn("kept_sha256", F.sha2("kept", 256))
     same = texts.where("hashes is null").select(
         "doc_id",
         "n_bytes",
@@ -614,7 +618,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             )
 
     chosen = rows.select("kept", "doc_id", *[f"_{p}" for p in plain.values()])
-    done = chosen.mapInArrow(decode, f"{_types(chosen, 'kept')}, text string")
+    done = chosen.mapInArrow(releasing(decode), f"{_types(chosen, 'kept')}, text string")
     return done.select(*[F.col(f"_{plain[c]}" if c in plain else c).alias(c) for c in docs.columns])
 
 

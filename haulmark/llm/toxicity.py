@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.char_grams import fold, held_out, take_by_hash
-from haulmark.llm.common import U64, keep, slices, small_batches, texts_of
+from haulmark.llm.common import U64, keep, releasing, slices, small_batches, texts_of
 
 ORDERS = (3, 4, 5, 6)
 BITS = 21
 SAMPLE = 4_000
 FEATURES = 8_192
 THRESHOLD = 0.3
+RUN = 100_000  # characters whose n-grams are held at a time
 
 
 def grams(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         texts, labels, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-        for some in slices(texts, 300_000):
+        for some in slices(texts, RUN):
             doc, slot = _present(some, None)
             toxic = np.array(labels[at : at + len(some)], bool)[doc]
             np.add.at(counts[1], slot[toxic], 1)
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return none
     a, b = F.col("toxic") / size[True], F.col("clean") / size[False]
     mean = (F.col("toxic") + F.col("clean")) / (size[True] + size[False])
-    counted = learned.mapInArrow(_count, "slot long, toxic long, clean long").groupBy("slot").agg(
+    counted = learned.mapInArrow(releasing(_count), "slot long, toxic long, clean long").groupBy("slot").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
     tell = F.pow(a - b, 2) / (mean * (1.0001 - mean))
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marks, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for some in slices(texts, 300_000):
+            for some in slices(texts, RUN):
                 doc, feature = _present(some, wanted)
                 cut = np.searchsorted(doc, np.arange(len(some) + 1))
                 raw = feature.astype("<i2").tobytes()
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
                 )
                 at += len(some)
 
-    rows = learned.mapInArrow(encode, "toxic boolean, features binary").collect()  # 2 * sample rows at most
+    rows = learned.mapInArrow(releasing(encode), "toxic boolean, features binary").collect()  # 2 * sample rows at most
     sets = [np.frombuffer(bytes(r.features), "<i2").astype(np.int64) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
     truth = np.array([r.toxic for r in rows])
@@ -167,7 +168,7 @@ def _score(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            found = [model.value.scores(some) for some in slices(texts, 300_000)]
+            found = [model.value.scores(some) for some in slices(texts, RUN)]
             scores = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"]
@@ -183,7 +184,7 @@ def scored(docs: DataFrame, model: Model, *columns) -> DataFrame:
     given = docs.select(text, *columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of slots and the weights, whatever the input
-    return given.mapInArrow(_score(shared), f"{schema}, score double")
+    return given.mapInArrow(releasing(_score(shared)), f"{schema}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
