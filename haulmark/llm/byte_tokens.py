@@ -1,7 +1,8 @@
 """Token ids of whole texts, each distinct piece encoded about once per worker.
 
 Both supported pre-tokenizers cut at a lone space and where ASCII letters, digits and marks meet, so texts are split
-there, a run of texts at a time, and the ids of their pieces are joined. Short pieces and their ids are held in arrays
+there, a run of texts at a time, and the ids of their pieces are joined. Pieces of a vocabulary without capitals are
+looked up in lower case. Short pieces and their ids are held in arrays
 under all their bytes; only pieces not held are encoded, many at a time. Texts for which the cut is not safe are encoded
 whole, and those that hold the string of an added token, such as ``<|endoftext|>``, by the library, which gives them that token's id.
 
@@ -21,12 +22,14 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from haulmark.llm.common import U64, mix, slices
 
 # A run of white space is one piece of byte-level pre-tokenization, so a chunk may not touch another white space there.
 _RUN = re.compile(r"\s{2}")
+# Small letters of Latin-1, Greek and Cyrillic, which normalizing does not change whatever letters stand beside them.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u03ac-\u03ce\u0430-\u045f]+")
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?|&%$*#]+)")
 TABLE = 350_000  # chunks held by a worker, about 70 MB
 JOINED = 100  # words encoded by one call
@@ -43,6 +46,17 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def plain_tokenizer(path: str) -> Tokenizer:
+    """The same model for ``_PLAIN`` words with a space between: there is nothing to normalize, and cuts are at the spaces."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    by_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_byte])
+    return plain
+
+
 def _added(path: str) -> tuple[re.Pattern, int]:
     """The strings of the added tokens, which the library looks for before it normalizes, and the largest of their ids."""
     tokens = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
@@ -204,11 +218,14 @@ class Pieces:
         self.marked = _library(path)
         self.table = PieceTable(self.solve)
 
+    def cut(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        return _pieces(texts, self.spaces)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for run in slices(texts):
             how = [self.otherwise(t) for t in run]
-            data, start, size, before = _pieces(["" if other else t for t, other in zip(run, how)], self.spaces)
+            data, start, size, before = self.cut(["" if other else t for t, other in zip(run, how)])
             ids, n = self.table.ids(data, start, size)
             ends = (4 * np.r_[0, np.cumsum(n)][before]).tolist()
             raw = ids.astype("<u4").tobytes()
@@ -266,14 +283,28 @@ class WordLevel(Pieces):
         self.last = np.zeros(max(self.largest, *vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def cut(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """ASCII pieces in lower case, as the vocabulary has no other. In others a letter may first join a mark behind it."""
+        data, start, size, before = _pieces(texts, self.spaces)
+        if not data.isascii():
+            raw = np.frombuffer(data, np.uint8)
+            wide = np.r_[0, np.cumsum(raw > 127, dtype=np.int32)]
+            kept = np.flatnonzero(wide[start + size] > wide[start])
+            n = size[kept]
+            at = np.repeat(start[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            lower = np.frombuffer(data.lower(), np.uint8).copy()
+            lower[at] = raw[at]
+            return lower.tobytes(), start, size, before
+        return data.lower(), start, size, before
+
     def otherwise(self, text: str) -> Callable | None:
         return self.marked if self.added.search(text) else None
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str], library: Callable[[str], Tokenizer]) -> list[bytes]:
         """Runs of letters, joined for a call and told apart by the ids that end a word."""
         out = []
         joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        made = tokenizer(self.path).encode_batch_fast([" ".join(w) for w in joined], add_special_tokens=False)
+        made = library(self.path).encode_batch_fast([" ".join(w) for w in joined], add_special_tokens=False)
         for some, e in zip(joined, made):
             ids = np.array(e.ids, np.int64)
             out += _runs(ids, np.r_[True, self.last[ids][:-1]], len(some)) or self.marked(some)
@@ -282,12 +313,18 @@ class WordLevel(Pieces):
     def solve(self, pieces: list[str]) -> list[bytes]:
         cut = []
         for p in pieces:
-            m = None if p.isalpha() else _WORD_AND_MARKS.fullmatch(p)
+            if p.isalpha():
+                cut.append((p, ""))
+                continue
+            m = _WORD_AND_MARKS.fullmatch(p)
             # In lower case a word may end in a mark (U+0130 does), which the library joins to the marks behind it.
-            cut.append((p, "") if p.isalpha() else m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else ("", p))
-        words = list({w for w, _ in cut if w})
+            cut.append(m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else ("", p))
+        words = {w for w, _ in cut if w}
         other = list({o for _, o in cut if o})
-        found = dict(zip(words, self._words(words))) | {"": b""}
+        found = {"": b""}
+        plain = {w for w in words if _PLAIN.fullmatch(w)}
+        for some, library in ((list(plain), plain_tokenizer), (list(words - plain), tokenizer)):
+            found.update(zip(some, self._words(some, library)))
         rest = dict(zip(other, self.marked(other))) | {"": b""}
         return [found[w] + rest[o] for w, o in cut]
 

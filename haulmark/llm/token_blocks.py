@@ -32,14 +32,34 @@ from pyspark.sql import functions as F
 from haulmark.llm.byte_tokens import word_level
 from haulmark.llm.common import U64, keep, partitions, slices, texts_of
 
-BLOCK_IDS = 1 << 20
-MOST_LANES, LANE_IDS = 2048, 256
+BLOCK_IDS = 1 << 22
+MOST_LANES, LANE_IDS = 8192, 512
 _BOTTOM = U64(1 << 48)
 _WEIGHT = 12  # bits of the weights
 _WHOLE = U64(1 << _WEIGHT)
-_ONE, _TWO, _THREE, _SEVEN = np.array([1, 2, 3, 7], np.uint32)
-# By twice the confidence, and one if the prediction came true: what is added to it (modulo 2**32).
-_STEP = np.array([d % (1 << 32) for k in range(8) for d in ((k >> 1) - k, int(k < 7))], np.uint32)
+_ONE, _THREE, _FOUR, _SEVEN, _EIGHT = (np.uint32(x) for x in (1, 3, 4, 7, 8))
+_LOW, _MIX1, _MIX2, _DROP = (np.uint32(x) for x in (0xFFFF, 0x9E3779B1, 0x61725DC0, 14))
+_SHIFT, _TOP, _HALF, _LOWER = U64(16), U64(48), U64(32), U64(0xFFFFFFFF)
+
+
+def _outcomes() -> tuple[np.ndarray, np.ndarray]:
+    """What follows from each of 512 outcomes of a step: the slot of the weights it counts for (of three times 128), and
+    what changes in the entries of the contexts of one and of two ids.
+
+    An outcome has, from the lowest bit: whether both predictions are equal, the confidence of the order-1 entry, whether
+    its prediction failed, and the same two of the order-2 entry.
+    """
+    v = np.arange(512)
+    same, k1, wrong1, k2, wrong2 = v & 1, v >> 1 & 7, v >> 4 & 1, v >> 5 & 7, v >> 8
+    slot = np.where(wrong2, 1 + wrong1, 0) * 128 + (k2 * 8 + k1) * 2 + same
+    changes = []
+    for k, wrong in ((k1, wrong1), (k2, wrong2)):
+        kept = k ^ np.where(wrong, k >> 1, np.minimum(k + 1, 7))
+        changes.append(np.where(wrong & (k == 0), 0xFFFFFFF9, kept).astype(np.uint32))  # all of the id, confidence one
+    return slot, np.stack(changes)
+
+
+_SLOT, _CHANGE = _outcomes()
 _REFRESH = {1, 2, 4, 8, 16, 32, 48, 64, 96}  # steps after which frequencies are counted anew, besides every 128th
 _MAGIC = b"IDB2"
 _HEADER = struct.Struct("<4s6I")  # magic, ids, documents, lanes, alphabet, crc of the body, crc of the ids
@@ -59,8 +79,8 @@ class Mixer:
         self.bits = U64(self.places + _WEIGHT)
         self.contexts = [np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint32)]
         k2, k1, same = np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij")
-        self.mix = np.stack([1 + 16 * k2, 1 + 8 * k1 * (1 - same), 24 + 0 * k2], -1).reshape(128, 3).astype(np.int64)
-        self.apart = 1 - same.ravel()
+        self.mix = np.stack([1 + 16 * k2, 1 + 8 * k1 * (1 - same), 24 + 0 * k2]).reshape(3, 128).astype(np.float64)
+        self.apart = 1.0 - same.ravel()
         self.counts = np.ones(alphabet, np.int64)
         self.pending: list[np.ndarray] = []
         self.seen: list[np.ndarray] = []
@@ -69,14 +89,25 @@ class Mixer:
         self._refresh()
 
     def _weigh(self) -> None:
+        """Whole numbers throughout, held as floats, whose quotients are cut exactly."""
         if self.seen:
-            self.mix += 4 * np.bincount(np.concatenate(self.seen), minlength=384).reshape(128, 3)
+            often = np.bincount(np.concatenate(self.seen), minlength=512)
+            self.mix += 4 * np.bincount(_SLOT, often, 384).reshape(3, 128)
             self.seen = []
-            while (heavy := self.mix.sum(1) > 1 << 16).any():
-                self.mix[heavy] = (self.mix[heavy] + 1) >> 1
-        part = self.mix * ((1 << _WEIGHT) - 3) // self.mix.sum(1, keepdims=True)
-        first = 1 + part[:, 0]
-        self.first, self.second = first.astype(np.uint64), (first + (1 + part[:, 1]) * self.apart).astype(np.uint64)
+        total = self.mix.sum(0)
+        while (heavy := total > 1 << 16).any():
+            self.mix[:, heavy] = np.floor((self.mix[:, heavy] + 1) / 2)
+            total = self.mix.sum(0)
+        first, second = 1 + np.floor(self.mix[:2] * ((1 << _WEIGHT) - 3) / total)
+        shares = np.zeros((6, 128))  # where the shares of the predictions and of the rest begin, and what they are
+        shares[1] = shares[3] = first
+        shares[4] = second * self.apart
+        shares[2] = first + shares[4]
+        shares[5] = (1 << _WEIGHT) - shares[2]
+        shares = shares.astype(np.uint64)
+        self.first, self.second = shares[1], shares[2]
+        self.lower = (shares[:3] << U64(self.places)).ravel()[_SLOT]
+        self.share = shares[3:].ravel()[_SLOT]
 
     def _refresh(self) -> None:
         if self.pending:
@@ -86,50 +117,78 @@ class Mixer:
         size = 1 + (self.counts * (free / self.counts.sum())).astype(np.int64)
         size[self.counts.argmax()] += (1 << self.places) - size.sum()
         self.size = size.astype(np.uint64)
-        self.begin = (np.cumsum(size) - size).astype(np.uint64)
+        # Begin and size in one, to be looked up at once. The last one is for predicted ids, which have all of their share.
+        self.spans = np.r_[(np.cumsum(size) - size) << 32 | size, 1 << self.places].astype(np.uint64)
         self.holder = None
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """one, two: the last id and the last but one of every lane."""
-        mixed = (one * np.uint32(0x9E3779B1) + two * np.uint32(0x61725DC0)) >> np.uint32(14)
-        self.at = [(one & np.uint32(0xFFFF)).astype(np.intp), mixed.astype(np.intp)]
-        self.e1, self.e2 = (entries.take(at) for entries, at in zip(self.contexts, self.at))
-        self.p1, self.p2 = self.e1 >> _THREE, self.e2 >> _THREE
+        mixed = one * _MIX1
+        mixed += two * _MIX2
+        mixed >>= _DROP
+        self.at = [(one & _LOW).astype(np.intp), mixed.astype(np.intp)]
+        self.e1, self.e2 = (entries[at] for entries, at in zip(self.contexts, self.at))
         self.k1, self.k2 = self.e1 & _SEVEN, self.e2 & _SEVEN
-        self.cell = (((self.k2 << _THREE) + self.k1) * _TWO + (self.p1 == self.p2)).astype(np.intp)
-        self.f1, self.f2 = self.first.take(self.cell), self.second.take(self.cell)
+        self.same = (self.e1 ^ self.e2) < _EIGHT
+
+    @property
+    def p1(self) -> np.ndarray:
+        return self.e1 >> _THREE
+
+    @property
+    def p2(self) -> np.ndarray:
+        return self.e2 >> _THREE
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, size) of the ids, out of ``2**bits``."""
-        self.is1, self.is2 = ids == self.p1, ids == self.p2
-        places = U64(self.places)
-        f1, f2 = self.f1 << places, self.f2 << places
-        rest, at = _WHOLE - self.f2, ids.astype(np.intp)
-        begin, size = f2 + rest * self.begin.take(at), rest * self.size.take(at)
-        np.copyto(begin, f1, where=self.is1)
-        np.copyto(size, f2 - f1, where=self.is1)
-        np.copyto(begin, U64(0), where=self.is2)
-        np.copyto(size, f1, where=self.is2)
+        top = ids << _THREE
+        self.x1, self.x2 = self.e1 ^ top, self.e2 ^ top  # the confidence alone where the prediction is right
+        wrong1, wrong2 = np.minimum(self.x1, self.k1 | _EIGHT), np.minimum(self.x2, self.k2 | _EIGHT)
+        at = np.where(np.minimum(wrong1, wrong2) < _EIGHT, np.uint32(self.alphabet), ids).astype(np.intp)
+        wrong2 <<= _FOUR
+        wrong2 |= wrong1
+        wrong2 <<= _ONE
+        self.outcome = wrong2.astype(np.intp)
+        self.outcome += self.same
+        size = self.spans[at]
+        begin = size >> _HALF
+        size &= _LOWER
+        share = self.share[self.outcome]
+        begin *= share
+        begin += self.lower[self.outcome]
+        size *= share
         return begin, size
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """Ids whose intervals hold the places."""
         if self.holder is None:
-            self.holder = np.repeat(np.arange(self.alphabet, dtype=np.uint32), self.size.astype(np.int64))
+            every = np.arange(self.alphabet, dtype=np.min_scalar_type(self.alphabet))
+            self.holder = np.repeat(every, self.size.astype(np.int64))
+        cell = self.k2 << _THREE
+        cell |= self.k1
+        cell <<= _ONE
+        cell = cell.astype(np.intp)
+        cell += self.same
+        self.f2 = self.second[cell]
         part = place >> U64(self.places)
-        ids = np.where(part < self.f1, self.p2, self.p1)
-        rest = np.flatnonzero(part >= self.f2)
-        f2 = self.f2.take(rest)
-        ids[rest] = self.holder.take(((place.take(rest) - (f2 << U64(self.places))) // (_WHOLE - f2)).astype(np.int64))
+        ids = np.where(part < self.first[cell], self.p2, self.p1)
+        rest = (part >= self.f2).nonzero()[0]
+        f2 = self.f2[rest]
+        # Below 2**53, and over less than 2**12, so that the quotient is never rounded to a whole number above it.
+        inside = (place[rest] - (f2 << U64(self.places))).astype(np.float64)
+        inside /= _WHOLE - f2
+        ids[rest] = self.holder[inside.astype(np.int64)]
         return ids
 
     def update(self, ids: np.ndarray) -> None:
-        self.seen.append(self.cell * 3 + np.where(self.is2, 0, 2 - self.is1.view(np.int8)))
-        fresh = (ids << _THREE) + _ONE
-        for i, entry, right, trust in ((0, self.e1, self.is1, self.k1), (1, self.e2, self.is2, self.k2)):
-            step = (trust << _ONE) + right
-            # Where lanes share a context, the last one's view is kept.
-            self.contexts[i][self.at[i]] = np.where(step == 0, fresh, entry + _STEP.take(step))
+        self.seen.append(self.outcome)
+        for entries, at, entry, x, change in zip(
+            self.contexts, self.at, (self.e1, self.e2), (self.x1, self.x2), _CHANGE
+        ):
+            x |= _SEVEN
+            x &= change[self.outcome]
+            x ^= entry
+            entries[at] = x  # where lanes share a context, the last one's view is kept
         self.pending.append(ids)
         self.step += 1
         if self.step < 16 or self.step % 4 == 0:
@@ -145,11 +204,49 @@ def _layout(n: int) -> tuple[int, int]:
     return -(-n // each), each
 
 
-def _shrunk(low: np.ndarray, size: np.ndarray, lane: np.ndarray) -> None:
-    """Make 16 bits of room in the lanes; where these bits are not settled, the interval is cut so that they are."""
-    l, s = low[lane], size[lane]
-    s = np.where((l ^ (l + s)) < _BOTTOM, s, (~l + U64(1)) & (_BOTTOM - U64(1)))
-    low[lane], size[lane] = l << U64(16), s << U64(16)
+def _shrunk(low: np.ndarray, size: np.ndarray, ready: np.ndarray) -> np.ndarray:
+    """Make 16 bits of room in the ready lanes; where these bits are not settled, the interval is cut so that they are.
+
+    Returns the bits by which each lane moved.
+    """
+    crosses = (low ^ (low + size)) >= _BOTTOM
+    crosses &= ready
+    cut = crosses.nonzero()[0]
+    if len(cut):
+        size[cut] = (~low[cut] + U64(1)) & (_BOTTOM - U64(1))
+    by = ready.astype(np.uint64)
+    by <<= U64(4)
+    low <<= by
+    size <<= by
+    return by
+
+
+class Sent:
+    """What the lanes have sent, 16 bits at a time."""
+
+    def __init__(self, lanes: int, width: int):
+        self.rows, self.most = np.zeros((lanes, width), np.uint16), 0
+        self.at = np.arange(lanes) * width  # the next free place of each lane
+
+    def begins(self) -> np.ndarray:
+        return np.arange(len(self.rows)) * self.rows.shape[1]
+
+    def add(self, low: np.ndarray, ready: np.ndarray, lanes: np.ndarray | slice = slice(None)) -> None:
+        """The upper bits of these lanes: written for each, and kept by those that are ready, which go on behind them."""
+        width = self.rows.shape[1]
+        if self.most == width:  # no lane holds more
+            self.most = int((self.at - self.begins()).max())
+            if 4 * self.most > 3 * width:
+                self.at += self.begins()
+                self.rows = np.pad(self.rows, ((0, 0), (0, width)))
+        self.rows.ravel()[self.at[lanes]] = (low >> _TOP).astype(np.uint16)
+        self.at[lanes] += ready
+        self.most += 1
+
+    def lanes(self, low: np.ndarray) -> list[bytes]:
+        raw, tails = self.rows.astype(">u2").tobytes(), low.astype(">u8").tobytes()
+        begins, ends = 2 * self.begins(), 2 * self.at
+        return [raw[b:e] + tails[8 * i : 8 * i + 8] for i, (b, e) in enumerate(zip(begins.tolist(), ends.tolist()))]
 
 
 def code(ids: np.ndarray, alphabet: int) -> list[bytes]:
@@ -160,7 +257,7 @@ def code(ids: np.ndarray, alphabet: int) -> list[bytes]:
     steps[:n] = ids
     steps = np.ascontiguousarray(steps.reshape(lanes, each).T)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~U64(0))
-    out, at, most = np.zeros((lanes, each + 64), np.uint16), np.zeros(lanes, np.int64), 0
+    sent = Sent(lanes, each + 64)
     one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     model = Mixer(alphabet)
     last = n - (lanes - 1) * each
@@ -170,32 +267,33 @@ def code(ids: np.ndarray, alphabet: int) -> list[bytes]:
         model.predict(one[:a], two[:a])
         start, width = model.interval(now)
         r = size[:a] >> model.bits
-        low[:a] += r * start
-        size[:a] = r * width
-        lane = np.flatnonzero(size[:a] < _BOTTOM)
+        start *= r
+        low[:a] += start
+        np.multiply(r, width, out=size[:a])
+        ready = size < _BOTTOM  # about half of all lanes, so this step is done in all of them
+        sent.add(low, ready)
+        _shrunk(low, size, ready)
+        lane = (size < _BOTTOM).nonzero()[0]
         while len(lane):
-            if most == out.shape[1]:
-                out = np.pad(out, ((0, 0), (0, most)))
-            out[lane, at[lane]] = low[lane] >> U64(48)
-            at[lane] += 1
-            most += 1  # no lane holds more
-            _shrunk(low, size, lane)
-            lane = lane[size[lane] < _BOTTOM]
+            l, s, ready = low[lane], size[lane], np.ones(len(lane), bool)
+            sent.add(l, ready, lane)
+            _shrunk(l, s, ready)
+            low[lane], size[lane] = l, s
+            lane = lane[s < _BOTTOM]
         model.update(now)
         two[:a], one[:a] = one[:a], now
-    tails = low.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return [out[i, : at[i]].astype(">u2").tobytes() + tails[i].tobytes() for i in range(lanes)]
+    return sent.lanes(low)
 
 
 def decode(parts: list[bytes], n: int, alphabet: int) -> np.ndarray:
     lanes, each = _layout(n)
-    longest = max(map(len, parts)) // 2
-    data = np.zeros((lanes, longest), np.uint64)
-    for i, p in enumerate(parts):
-        data[i, : len(p) // 2] = np.frombuffer(p, ">u2")
+    row = max(map(len, parts)) // 2 + 1  # a place more, which is looked at but not taken
+    data = np.frombuffer(b"".join(p.ljust(2 * row, b"\0") for p in parts), ">u2").astype(np.uint16).reshape(lanes, row)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~U64(0))
-    value = data[:, 0] << U64(48) | data[:, 1] << U64(32) | data[:, 2] << U64(16) | data[:, 3]
-    at = np.full(lanes, 4)
+    value = np.zeros(lanes, np.uint64)
+    for i in range(4):
+        value = value << _SHIFT | data[:, i]
+    data, at = data.ravel(), np.arange(lanes) * row + 4
     one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     model = Mixer(alphabet)
     most = (U64(1) << model.bits) - U64(1)
@@ -205,16 +303,24 @@ def decode(parts: list[bytes], n: int, alphabet: int) -> np.ndarray:
         a = lanes if t < last else lanes - 1
         model.predict(one[:a], two[:a])
         r = size[:a] >> model.bits
-        now = model.find(np.minimum((value[:a] - low[:a]) // r, most))
+        place = value[:a] - low[:a]
+        place //= r
+        now = model.find(np.minimum(place, most, out=place))
         start, width = model.interval(now)
-        low[:a] += r * start
-        size[:a] = r * width
-        lane = np.flatnonzero(size[:a] < _BOTTOM)
+        start *= r
+        low[:a] += start
+        np.multiply(r, width, out=size[:a])
+        ready = size < _BOTTOM
+        value <<= _shrunk(low, size, ready)
+        value |= data[at] * ready
+        at += ready
+        lane = (size < _BOTTOM).nonzero()[0]
         while len(lane):
-            value[lane] = value[lane] << U64(16) | data[lane, np.minimum(at[lane], longest - 1)]
+            l, s = low[lane], size[lane]
+            value[lane] = value[lane] << _shrunk(l, s, np.ones(len(lane), bool)) | data[at[lane]]
             at[lane] += 1
-            _shrunk(low, size, lane)
-            lane = lane[size[lane] < _BOTTOM]
+            low[lane], size[lane] = l, s
+            lane = lane[s < _BOTTOM]
         model.update(now)
         ids[t, :a] = now
         two[:a], one[:a] = one[:a], now

@@ -1,6 +1,7 @@
 """The coder of token blocks: intervals tile their whole, and ids of any size and number come back."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -51,3 +52,27 @@ def test_the_library_keeps_to_the_core_of_its_task():
     os.environ.pop("TOKENIZERS_PARALLELISM", None)
     tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_a_full_block_is_coded_in_few_steps_and_little_memory():
+    n = token_blocks.BLOCK_IDS
+    lanes, steps = token_blocks._layout(n)
+    assert lanes >= 8192 and steps <= 512  # a step of few lanes is mostly the cost of its calls
+    ids = np.minimum(np.random.default_rng(3).zipf(1.4, n), 49_408).astype("<u4") - np.uint32(1)
+    tracemalloc.start()
+    block = token_blocks.write_block([1, 2], [n - 5, 5], ids.tobytes(), 49_408)
+    written = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    docs, lengths, got = token_blocks.read_block(block)
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert docs == [1, 2] and lengths == [n - 5, 5] and got == ids.tobytes()
+    assert written < 100e6 and read < 100e6
+
+
+def test_lanes_of_very_different_lengths():
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([np.zeros(40 * 600), rng.integers(0, 300_000, 600), np.zeros(3 * 600 - 7)]).astype("<u4")
+    coded = token_blocks.code(ids, 300_000)
+    assert np.array_equal(token_blocks.decode(coded, len(ids), 300_000), ids)
+    assert max(map(len, coded)) > 50 * min(map(len, coded))

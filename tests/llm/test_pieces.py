@@ -1,11 +1,13 @@
 """Ids by pieces: equal to the library's wherever texts are cut, and each piece encoded about once."""
 
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pytest
 
+from haulmark.llm import byte_tokens
 from haulmark.llm.byte_tokens import ByteLevel, PieceTable, WordLevel, _pieces, tokenizer
 
 FILES = {"byte_bpe_50k.json": ByteLevel, "word_bpe_49k.json": WordLevel}
@@ -58,3 +60,30 @@ def test_pieces_that_share_slots_and_a_full_table():
         ids, n = table.ids(data, start, size)
         assert ids.tolist() == list(text.encode()) and n.tolist() == size.tolist()
     assert table.used < 500 + 30 * 21
+
+
+def test_words_in_capitals_share_the_entry_of_the_small_ones():
+    encoder = WordLevel(public_tokenizers.path("word_bpe_49k.json"))
+    solve, seen = encoder.table.solve, []
+    encoder.table.solve = lambda pieces: (seen.extend(pieces), solve(pieces))[1]
+    small, mixed, large = encoder.encode(["onthering so", "Onthering So", "ONTHERING SO"])
+    assert small == mixed == large and sorted(seen) == ["onthering", "so"]
+
+
+def test_small_letters_need_no_normalizing():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [c for c in map(chr, range(0x600)) if byte_tokens._PLAIN.fullmatch(c)]
+    assert all(c.isalpha() and c == c.lower() == unicodedata.normalize("NFC", c) for c in letters)
+    rnd = random.Random(5)
+    words = letters + ["".join(rnd.choices(letters, k=rnd.randint(1, 9))) for _ in range(5000)]
+    got, want = (t.encode_batch_fast(words, add_special_tokens=False) for t in (byte_tokens.plain_tokenizer(path), tokenizer(path)))
+    assert [e.ids for e in got] == [e.ids for e in want]
+
+
+def test_capitals_beside_marks_that_join_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rnd = random.Random(11)
+    signs = [*"HITEAKSaeh' .,1\n", "\u0331", "\u0301", "\u0307", "\u0308", "\u030a", "\u0130", "\u0131", "\u017f", "\u212a", "\u03a3", "\u00df", "\u1e9e", "\u00c9"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(1, 9))) for _ in range(5000)] + ["H\u0331 h\u0331", "I\u0307", "THE 'S"]
+    want = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordLevel(path).encode(texts)] == want
