@@ -92,6 +92,7 @@ _CLASS[33:127] = _MARK
 _CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[39], _CLASS[32], _CLASS[10] = 0, _SPACE, _BREAK
+_CLASS = _CLASS.tobytes()
 _KEY, _SLOTS, _POOL = 15, 1 << 21, 8_000_000  # bytes of a piece that is held, slots (38 MB for all), ids held
 
 
@@ -191,7 +192,7 @@ def _pieces(texts: list[str], spaces: bool) -> tuple[bytes, np.ndarray, np.ndarr
     raw = [t.encode() for t in texts]
     data = b"".join(raw)
     begin = np.cumsum([0, *map(len, raw)])
-    kind = _CLASS[np.frombuffer(data, np.uint8)]
+    kind = np.frombuffer(data.translate(_CLASS), np.uint8)
     cut = np.zeros(len(data) + 1, bool)
     a, b = kind[:-1], kind[1:]
     cut[1:-1] = (a != b) & (a > 0) & (b > 0) & ((a != _SPACE) | (not spaces)) if len(data) else False
@@ -284,18 +285,16 @@ class WordLevel(Pieces):
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def cut(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-        """ASCII pieces in lower case, as the vocabulary has no other. In others a letter may first join a mark behind it."""
-        data, start, size, before = _pieces(texts, self.spaces)
+        """With small letters, as the vocabulary has no others. A capital before a mark stays, as it may first join that."""
+        data, *rest = _pieces(texts, self.spaces)
+        small = data.lower()  # ASCII letters alone
         if not data.isascii():
             raw = np.frombuffer(data, np.uint8)
-            wide = np.r_[0, np.cumsum(raw > 127, dtype=np.int32)]
-            kept = np.flatnonzero(wide[start + size] > wide[start])
-            n = size[kept]
-            at = np.repeat(start[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            lower = np.frombuffer(data.lower(), np.uint8).copy()
-            lower[at] = raw[at]
-            return lower.tobytes(), start, size, before
-        return data.lower(), start, size, before
+            changed = np.frombuffer(small, np.uint8).copy()
+            stay = np.flatnonzero((raw[1:] > 127) & (changed[:-1] != raw[:-1]))
+            changed[stay] = raw[stay]
+            small = changed.tobytes()
+        return small, *rest
 
     def otherwise(self, text: str) -> Callable | None:
         return self.marked if self.added.search(text) else None
