@@ -1,10 +1,10 @@
 """Token ids of whole texts, each distinct piece encoded about once per worker.
 
 Both supported pre-tokenizers cut at a lone space and where ASCII letters, digits and marks meet, so texts are split
-there, a run of texts at a time, and the ids of their pieces are joined. Pieces of a vocabulary without capitals are
-looked up in lower case. Short pieces and their ids are held in arrays
-under all their bytes; only pieces not held are encoded, many at a time. Texts for which the cut is not safe are encoded
-whole, and those that hold the string of an added token, such as ``<|endoftext|>``, by the library, which gives them that token's id.
+there, a run of texts at a time, and the ids of their pieces are joined. Short pieces and their ids are held in arrays
+under all their bytes, in lower case if the vocabulary has no capitals; only pieces not held are encoded, many at a time.
+Texts for which the cut is not safe are encoded whole, and those that hold the string of an added token, such as
+``<|endoftext|>``, by the library, which gives them that token's id.
 
 The byte-level file is also read as ranks for ``tiktoken``, which gives the same ids several times faster; the tests
 compare it with ``tokenizers`` on odd and real texts.

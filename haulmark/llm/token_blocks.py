@@ -286,7 +286,8 @@ def code(ids: np.ndarray, alphabet: int) -> list[bytes]:
 
 
 def decode(parts: list[bytes], n: int, alphabet: int) -> np.ndarray:
-    lanes, each = _layout(n)
+    lanes = len(parts)  # as coded, whatever the layout is now
+    each = -(-n // lanes)
     row = max(map(len, parts)) // 2 + 1  # a place more, which is looked at but not taken
     data = np.frombuffer(b"".join(p.ljust(2 * row, b"\0") for p in parts), ">u2").astype(np.uint16).reshape(lanes, row)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~U64(0))

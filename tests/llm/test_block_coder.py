@@ -76,3 +76,16 @@ def test_lanes_of_very_different_lengths():
     coded = token_blocks.code(ids, 300_000)
     assert np.array_equal(token_blocks.decode(coded, len(ids), 300_000), ids)
     assert max(map(len, coded)) > 50 * min(map(len, coded))
+
+
+@pytest.mark.parametrize("layout", [(2048, 256), (7, 10), (1, 1)])
+def test_blocks_of_another_layout_are_read(monkeypatch, layout):
+    blocks = {}
+    with monkeypatch.context() as m:
+        m.setattr(token_blocks, "MOST_LANES", layout[0])
+        m.setattr(token_blocks, "LANE_IDS", layout[1])
+        for n in (1, 2, 17, 600, 1001, 5000):
+            ids = (np.arange(n) ** 2 % 97).astype("<u4").tobytes()
+            blocks[n] = ids, token_blocks.write_block([3], [n], ids, 97)
+    for n, (ids, block) in blocks.items():
+        assert token_blocks.read_block(block) == ([3], [n], ids)

@@ -84,6 +84,6 @@ def test_capitals_beside_marks_that_join_them():
     path = public_tokenizers.path("word_bpe_49k.json")
     rnd = random.Random(11)
     signs = [*"HITEAKSaeh' .,1\n", "\u0331", "\u0301", "\u0307", "\u0308", "\u030a", "\u0130", "\u0131", "\u017f", "\u212a", "\u03a3", "\u00df", "\u1e9e", "\u00c9"]
-    texts = ["".join(rnd.choices(signs, k=rnd.randint(1, 9))) for _ in range(5000)] + ["H\u0331 h\u0331", "I\u0307", "THE 'S"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(1, 9))) for _ in range(5000)] + ["H\u0331 h\u0331", "I\u0307", "THE 'S", "<|ENDOFTEXT|>", "a<|EndOfText|>é"]
     want = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in WordLevel(path).encode(texts)] == want
