@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.byte_tokens import word_level
-from haulmark.llm.common import U64, keep, partitions, slices, texts_of
+from haulmark.llm.common import BATCH_ROWS, U64, keep, partitions, releasing, slices, texts_of
 
 BLOCK_IDS = 1 << 22
 MOST_LANES, LANE_IDS = 8192, 512
@@ -401,7 +401,7 @@ def write_blocks(
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     )
     blocks = ordered.mapInArrow(
-        _write(path, end_id, block_ids), "file long, block long, ids_before long, n_ids long, data binary"
+        releasing(_write(path, end_id, block_ids)), "file long, block long, ids_before long, n_ids long, data binary"
     )
     return keep(blocks, "token-blocks")
 
@@ -411,14 +411,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for before, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             docs, lengths, ids = read_block(data.as_py())
             ends = np.cumsum([0, *lengths]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs, pa.int64()),
-                    pa.array([before + s for s in ends[:-1]], pa.int64()),
-                    pa.array([ids[4 * s : 4 * e] for s, e in zip(ends, ends[1:])], pa.binary()),
-                ],
-                names=["doc_id", "start", "ids"],
-            )
+            for first in range(0, len(docs), BATCH_ROWS):
+                some = ends[first : first + BATCH_ROWS + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(docs[first : first + BATCH_ROWS], pa.int64()),
+                        pa.array([before + s for s in some[:-1]], pa.int64()),
+                        pa.array([ids[4 * s : 4 * e] for s, e in zip(some, some[1:])], pa.binary()),
+                    ],
+                    names=["doc_id", "start", "ids"],
+                )
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
@@ -432,7 +434,7 @@ def read_blocks(files: DataFrame) -> DataFrame:
     return (
         files.join(F.broadcast(table), "file")
         .select((F.col("first") + F.col("ids_before")).alias("before"), "data")
-        .mapInArrow(_read, "doc_id long, start long, ids binary")
+        .mapInArrow(releasing(_read), "doc_id long, start long, ids binary")
     )
 
 

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from haulmark.llm import token_blocks
@@ -89,3 +90,17 @@ def test_blocks_of_another_layout_are_read(monkeypatch, layout):
             blocks[n] = ids, token_blocks.write_block([3], [n], ids, 97)
     for n, (ids, block) in blocks.items():
         assert token_blocks.read_block(block) == ([3], [n], ids)
+
+
+def test_a_block_is_handed_on_in_parts():
+    n = 2 * token_blocks.BATCH_ROWS + 1
+    lengths = [1 + i % 3 for i in range(n)]
+    ids = np.arange(sum(lengths), dtype="<u4") % 10
+    block = token_blocks.write_block([*range(n - 1), None], lengths, ids.tobytes(), 10)
+    files = pa.RecordBatch.from_arrays([pa.array([100]), pa.array([block])], names=["before", "data"])
+    parts = list(token_blocks._read(iter([files])))
+    assert [p.num_rows for p in parts] == [token_blocks.BATCH_ROWS] * 2 + [1]
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(n - 1), None]
+    assert [r["start"] for r in rows] == (100 + np.cumsum([0, *lengths[:-1]])).tolist()
+    assert b"".join(r["ids"] for r in rows) == ids.tobytes() and [len(r["ids"]) // 4 for r in rows] == lengths
