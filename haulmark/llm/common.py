@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.staging import staging_root
@@ -27,6 +29,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that no plan needs any more deleted; Spark does so when the driver collects its garbage,
+    which by itself it may do much later.
+    """
+    gc.collect()  # of Python's references to the driver's objects
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_by_key(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
     """``keep`` with Spark's bucketing: joins and groups by the keys read it without a shuffle.
 
@@ -122,6 +132,7 @@ def release() -> None:
 def releasing(work: Callable) -> Callable:
     """``work`` on batches for ``mapInArrow``. Its worker waits small, beside those of other tasks and stages."""
 
+    @wraps(work)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield from work(batches)
         release()
@@ -132,6 +143,7 @@ def releasing(work: Callable) -> Callable:
 def releasing_group(work: Callable) -> Callable:
     """``work`` on the frame of a group for ``applyInPandas``, as ``releasing``."""
 
+    @wraps(work)
     def run(frame):
         out = work(frame)
         release()

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from haulmark.llm.common import (
     U64,
     below,
+    free_shuffles,
     gram_hashes,
     inverse_powers,
     keep,
@@ -54,13 +55,25 @@ from haulmark.llm.common import (
     texts_of,
     utf8,
 )
-from haulmark.llm.packed import as_batch, pack_by_bucket, packed_ddl, packed_schema, runs_of_equal, unpack
+from haulmark.llm.packed import (
+    Packer,
+    as_batch,
+    as_frame,
+    cut_up,
+    pack_by_bucket,
+    packed_ddl,
+    packed_schema,
+    ranges,
+    runs_of_equal,
+    unpack,
+)
 
 SPAN, GRAM = 50, 24
 SIDE = (SPAN - GRAM) // 2
 _PLACE = 32  # bits of a position inside a run of texts, more than a string of Spark can have
 _LAST = (1 << 63) - 1
 BUCKET_BYTES = 32_000_000
+BUCKETS = 256  # of anchors, if they are no larger than that
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple:
@@ -93,45 +106,70 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     return hashes[place], place, start, count, np.searchsorted(ends, start, "right"), prefix
 
 
+def _document_key(docs: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """A hash of the document that ascends with its part."""
+    return mix(docs.astype(np.uint64) ^ mix(prints.astype(np.uint64), 17), 18)
+
+
 def part_of(docs: np.ndarray, prints: np.ndarray, parts: int) -> np.ndarray:
     """The part a document belongs to."""
-    return below(mix(docs.astype(np.uint64) ^ mix(prints.astype(np.uint64), 17), 18), parts)
+    return below(_document_key(docs, prints), parts)
 
 
 def _by_document(docs: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of entries by document, and where each document begins in it (with the end of all)."""
-    order = np.lexsort((prints, docs))
-    d, p = docs[order], prints[order]
-    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])][: len(d)])
-    return order, np.r_[cut, len(d)]
-
-
-def _pack_parts(docs: np.ndarray, prints: np.ndarray, parts: int, values: dict) -> dict[str, list]:
+    """Order of entries by part and document, and where each document begins in it (with the end of all)."""
+    key = _document_key(docs, prints)
+    order = np.argsort(key)
+    for _ in range(2):
+        d, p, k = docs[order], prints[order], key[order]
+        other = (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+        if not (other & (k[1:] == k[:-1])).any():
+            break
+        order = np.lexsort((prints, docs, key))  # two documents have the same key
+    return order, np.r_[np.flatnonzero(np.r_[True, other][: len(d)]), len(d)]
+
+
+def _pack_parts(docs: np.ndarray, prints: np.ndarray, parts: int, values: dict, lists: dict | None = None) -> dict:
     """One row per part with the values of its documents."""
     order, cut = _by_document(docs, prints)
-    ids, names = docs[order][cut[:-1]], prints[order][cut[:-1]]
-    owner = np.repeat(np.arange(len(ids)), np.diff(cut))
-    return pack_by_bucket(part_of(docs[order], prints[order], parts), owner, ids, names, {k: v[order] for k, v in values.items()})
+    ids, names = docs[order[cut[:-1]]], prints[order[cut[:-1]]]
+    n = np.diff(cut)
+    part = np.repeat(part_of(ids, names, parts), n)
+    values = {k: v[order] for k, v in values.items()}
+    lists = {k: (v, first[order], many[order]) for k, (v, first, many) in (lists or {}).items()}
+    return pack_by_bucket(part, np.repeat(np.arange(len(ids)), n), ids, names, values, lists)
+
+
+def _sorted_keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by keys of so many bits, and the sorted keys. Which of equals comes first is open."""
+    free = U64(64 - bits)
+    if len(key) >> (64 - bits):
+        order = np.argsort(key)
+        return order, key[order]
+    both = key << free | np.arange(len(key), dtype=np.uint64)
+    both.sort()  # many times faster than to sort places by their key
+    return (both & U64((1 << int(free)) - 1)).astype(np.int64), both >> free
 
 
-def _two_documents(key: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, run of each sorted entry, and the smallest and largest document of each run."""
-    order = np.argsort(key, kind="stable")
-    bounds, _ = runs_of_equal(key[order])
+def _two_documents(key: np.ndarray, docs: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, run and document of each sorted entry, and the smallest and largest document of each run."""
+    order, key = _sorted_keys(key, bits)
+    bounds, _ = runs_of_equal(key)
+    docs = docs[order]
     if len(bounds) == 1:
-        return order, order, order, order
+        return order, order, docs, order, order
     run = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return order, run, np.minimum.reduceat(docs[order], bounds[:-1]), np.maximum.reduceat(docs[order], bounds[:-1])
+    return order, run, docs, np.minimum.reduceat(docs, bounds[:-1]), np.maximum.reduceat(docs, bounds[:-1])
 
 
 def _shared_places(docs: np.ndarray, h: np.ndarray, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Entries whose anchor two documents have with the same side; entries of a smallest or largest document."""
     shared, outer = np.zeros(len(h), bool), np.zeros(len(h), bool)
     for side in sides:
-        order, run, least, most = _two_documents(h.astype(np.uint64) << U64(8) | side, docs)
+        order, run, who, least, most = _two_documents(h.astype(np.uint64) << U64(8) | side, docs, 40)
         if len(order):
             shared[order] |= (least != most)[run]
-            outer[order] |= (docs[order] == least[run]) | (docs[order] == most[run])
+            outer[order] |= (who == least[run]) | (who == most[run])
     return shared, outer
 
 
@@ -143,11 +181,11 @@ _ANY = 255  # both sides: whatever they are. An anchor whose sides hash to this
 def _of_anchor(docs: np.ndarray, h: np.ndarray, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Entries of anchors in two documents that have a marked entry, or are hot; those in the first and last document."""
     shared, outer = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    order, run, least, most = _two_documents(h, docs)
+    order, run, who, least, most = _two_documents(h.astype(np.uint64), docs, 32)
     if len(order):
         n = np.bincount(run) > HOT if marked is None else np.bincount(run, marked[order]) > 0
         shared[order] = (n & (least != most))[run]
-        outer[order] = (docs[order] == least[run]) | (docs[order] == most[run])
+        outer[order] = (who == least[run]) | (who == most[run])
     return shared, outer
 
 
@@ -155,6 +193,7 @@ def _deal(buckets: int) -> Callable:
     """Anchors by bucket; those that are candidates already, by part, with numbers from ``buckets`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket, by_part = Packer(packed_schema(*_DEALT)), Packer(packed_schema(*_DEALT))
         for whole in batches:
             for s, e in runs_of(whole.column(2)):
                 batch = whole.slice(s, e - s)
@@ -175,12 +214,14 @@ def _deal(buckets: int) -> Callable:
                 dealt = np.flatnonzero(~shared | outer)
                 bucket = below(mix(short[dealt].astype(np.uint64), 9), buckets)
                 values = dict(zip(_DEALT, (short[dealt], sides[0][dealt], sides[1][dealt])))
-                yield as_batch(pack_by_bucket(bucket, doc[dealt], ids, prints, values), packed_schema(*_DEALT))
+                yield from by_bucket.add(bucket, doc[dealt], ids, prints, values)
                 done = np.flatnonzero(shared)
                 none = np.zeros(len(done), "<u1")
                 values = dict(zip(_DEALT, (short[done], none, none)))
-                part = buckets + part_of(ids[doc[done]], prints[doc[done]], buckets)
-                yield as_batch(pack_by_bucket(part, doc[done], ids, prints, values), packed_schema(*_DEALT))
+                part = buckets + part_of(ids, prints, buckets)[doc[done]]
+                yield from by_part.add(part, doc[done], ids, prints, values)
+        yield from by_bucket.rest()
+        yield from by_part.rest()
 
     return run
 
@@ -194,7 +235,7 @@ def _shared(buckets: int) -> Callable:
             any_side = _of_anchor(docs, h, (sides[0] == _ANY) & (sides[1] == _ANY))[0]
             hit = np.flatnonzero(_shared_places(docs, h, sides)[0] | any_side)
             docs, prints, h = docs[hit], prints[hit], h[hit]
-        return pd.DataFrame(_pack_parts(docs, prints, buckets, {"hashes": h}))
+        return as_frame(_pack_parts(docs, prints, buckets, {"hashes": h}))
 
     return run
 
@@ -203,14 +244,12 @@ def _gather_anchors(frame: pd.DataFrame) -> pd.DataFrame:
     """The candidate anchors of each document of a part."""
     docs, prints, h = unpack(frame, {"hashes": "<u4"})
     order, cut = _by_document(docs, prints)
-    docs, prints, h = docs[order], prints[order], h[order]
-    return pd.DataFrame(
-        {
-            "doc": docs[cut[:-1]],
-            "print": prints[cut[:-1]],
-            "hashes": [np.unique(h[s:e]).tobytes() for s, e in zip(cut, cut[1:])],
-        }
-    )
+    first = order[cut[:-1]]
+    key = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(cut)) << U64(32) | h[order]
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+    bounds = np.searchsorted(key >> U64(32), np.arange(len(first) + 1, dtype=np.uint64))
+    return as_frame({"doc": docs[first], "print": prints[first], "hashes": cut_up(key.astype("<u4"), bounds)})
 
 
 _STRETCH = ("anchor", "body", "start", "strings")
@@ -223,6 +262,7 @@ def _stretches(buckets: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(packed_schema(*_STRETCH))
         for whole in batches:
             for s, e in runs_of(whole.column(2)):
                 batch = whole.slice(s, e - s)
@@ -231,41 +271,30 @@ def _stretches(buckets: int) -> Callable:
                 h, place, start, count, doc, prefix = anchors(data, offsets)
                 wanted = [np.frombuffer(b, "<u4").astype(np.uint64) | U64(i << 32) for i, b in enumerate(batch.column(3).to_pylist())]
                 key = doc.astype(np.uint64) << U64(32) | h.astype("<u4")
-                use = np.flatnonzero(np.isin(key, np.concatenate(wanted)))
+                wanted = np.concatenate(wanted)  # ascends, as the hashes of a document do
+                use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
                 h, place, start, count, doc = h[use], place[use], start[use], count[use], doc[use]
                 body = mix(span_hash(prefix, start, start + count - 1 + SPAN), 6)
                 body = mix(body ^ mix((place - start).astype(np.uint64) << U64(8) | count.astype(np.uint64), 7), 8)
-                order, group, least, _ = _two_documents(body ^ mix(h, 19), ids[doc])
+                order, group, who, least, _ = _two_documents(body ^ mix(h, 19), ids[doc])
                 later = np.zeros(len(h), bool)
                 if len(order):
-                    later[order] = ids[doc[order]] > least[group]
-                bucket = np.where(later, buckets + part_of(ids[doc], prints[doc], buckets), below(mix(h, 9), buckets))
+                    later[order] = who > least[group]
+                bucket = np.where(later, buckets + part_of(ids, prints, buckets)[doc], below(mix(h, 9), buckets))
                 values = dict(zip(_STRETCH, (h, body, (start - offsets[doc]).astype("<u4"), count.astype("<u1"))))
-                yield as_batch(pack_by_bucket(bucket, doc, ids, prints, values), packed_schema(*_STRETCH))
+                yield from packer.add(bucket, doc, ids, prints, values)
+        yield from packer.rest()
 
     return run
 
 
-_FOUND = (
-    "bucket long, docs binary, prints binary, counts binary, doc long, print long, anchor binary, start binary, strings binary,"
-    " further binary, further_prints binary, further_starts binary"
-)
+_SPANS = ("start", "strings")
 _OPEN = ("anchor", "start", "strings", "further", "further_prints", "further_starts")
-_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+_FOUND = packed_ddl(*_OPEN)
 
 
 def _found_parts(docs: np.ndarray, prints: np.ndarray, start: np.ndarray, strings: np.ndarray, parts: int) -> pd.DataFrame:
-    return pd.DataFrame(_pack_parts(docs, prints, parts, {"start": start, "strings": strings}))
-
-
-def _found_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    """All columns of ``_FOUND``; nullable integers, as floats would change the ids."""
-    return pd.DataFrame(
-        {
-            c: pd.array(frame[c].tolist() if c in frame else [None] * len(frame), "Int64" if c in ("bucket", "doc", "print") else object)
-            for c in _FOUND_NAMES
-        }
-    )
+    return as_frame(_pack_parts(docs, prints, parts, {"start": start, "strings": strings}))
 
 
 def _compare(buckets: int) -> Callable:
@@ -273,19 +302,42 @@ def _compare(buckets: int) -> Callable:
         columns = unpack(frame, {"anchor": "<u8", "body": "<u8", "start": "<u4", "strings": "<u1"})
         if frame["bucket"].iloc[0] >= buckets:
             docs, prints, _, _, start, strings = columns
-            return _found_rows(_found_parts(docs, prints, start, strings, buckets))
-        return _compared(*columns, buckets)
+            found = [_found_parts(docs, prints, start, strings, buckets)]
+        else:
+            found = _compared(*columns, buckets)
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        return pd.concat([f.reindex(columns=names).astype({"bucket": "int64"}) for f in found], ignore_index=True)
 
     return run
 
 
-def _compared(docs, prints, anchor, body, start, strings, parts: int) -> pd.DataFrame:
-    """Sure (packed by part): stretches of all but the smallest document. Open: one of each, where an anchor has several.
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones, for fewer than 2**32 values."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.uint64)
+    out[order] = np.cumsum(np.r_[False, x[order][1:] != x[order][:-1]][: len(x)])
+    return out
+
+
+def _by_stretch(docs: np.ndarray, prints: np.ndarray, anchor: np.ndarray, body: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Order by anchor, body, document, print and start: as ``lexsort`` gives, with faster sorts of single keys."""
+    key = _ranks(_ranks(anchor) << U64(32) | _ranks(body)) << U64(32) | _ranks(docs)
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    again = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    tied = order[again]
+    order[again] = tied[np.lexsort((start[tied], prints[tied], key[again]))]
+    return order
+
+
+def _compared(docs, prints, anchor, body, start, strings, parts: int) -> list[pd.DataFrame]:
+    """Sure: stretches of all but the smallest document. Open: one of each, where an anchor has several. Packed by part.
 
     ``further`` is how many other places of an open stretch its smallest document has, ``further_prints`` and
-    ``further_starts`` are where they are.
+    ``further_starts`` are where they are. Sure stretches have no anchor.
     """
-    order = np.lexsort((start, prints, docs, body, anchor))
+    order = _by_stretch(docs, prints, anchor, body, start)
     docs, prints, anchor, body, start, strings = (x[order] for x in (docs, prints, anchor, body, start, strings))
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
     new_body = new_anchor | np.r_[True, body[1:] != body[:-1]][: len(anchor)]
@@ -305,47 +357,69 @@ def _compared(docs, prints, anchor, body, start, strings, parts: int) -> pd.Data
     use = np.flatnonzero(sure)
     packed = _found_parts(docs[use], prints[use], start[use], strings[use], parts)
     use = np.flatnonzero(open_)
-    order, cut = _by_document(docs[use], prints[use])
-    use = use[order]
-    rows = []
-    for s, e in zip(cut, cut[1:]):
-        one = use[s:e]
-        n = n_further[group[one]]
-        other = further[_ranges(base[group[one]], n)]
-        values = (anchor[one], start[one], strings[one], n.astype("<u4"), prints[other], start[other])
-        rows.append((docs[one[0]], prints[one[0]], *(v.tobytes() for v in values)))
-    opened = pd.DataFrame(rows, columns=["doc", "print", *_OPEN])
-    return pd.concat([_found_rows(packed), _found_rows(opened)], ignore_index=True)
+    n, first = n_further[group[use]], base[group[use]]
+    values = {"anchor": anchor[use], "start": start[use], "strings": strings[use], "further": n.astype("<u4")}
+    lists = {"further_prints": (prints[further], first, n), "further_starts": (start[further], first, n)}
+    return [packed, as_frame(_pack_parts(docs[use], prints[use], parts, values, lists))]
 
 
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers first ... first + n - 1 of each entry, one behind the other."""
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+def _join(column: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
 
 
-def _contexts(buckets: int) -> Callable:
-    """The bytes of each open stretch."""
+def _gather_open(frame: pd.DataFrame) -> pd.DataFrame:
+    """The open stretches of each document of a part."""
+    kinds = {"anchor": "<u8", "start": "<u4", "strings": "<u1", "further": "<u4"}
+    docs, prints, *columns = unpack(frame, kinds)
+    order, cut = _by_document(docs, prints)
+    first = order[cut[:-1]]
+    out = {"doc": docs[first], "print": prints[first]}
+    out |= {c: cut_up(v[order], cut) for c, v in zip(kinds, columns)}
+    n = columns[-1].astype(np.int64)
+    place = ranges((np.cumsum(n) - n)[order], n[order])
+    bounds = np.r_[0, np.cumsum(n[order])][cut]
+    out["further_prints"] = cut_up(_join(frame["further_prints"], "<i8")[place], bounds)
+    out["further_starts"] = cut_up(_join(frame["further_starts"], "<u4")[place], bounds)
+    return as_frame(out)
+
+
+_CONTEXT = ("anchor", "start", "strings", "further", "bytes", "further_prints", "further_starts")
+
+
+def _contexts(buckets: int, size: int = 8_000_000) -> Callable:
+    """The bytes of the open stretches by bucket. What belongs to about ``size`` of them is packed together."""
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        ids, prints, owner, h, start, strings, further, raw, other_prints, other_starts = (np.concatenate(c) for c in zip(*held))
+        size, many = strings.astype(np.int64) - 1 + SPAN, further.astype(np.int64)
+        values = {"anchor": h, "start": start, "strings": strings, "further": further}
+        first = np.cumsum(many) - many
+        lists = {
+            "bytes": (raw, np.cumsum(size) - size, size),
+            "further_prints": (other_prints, first, many),
+            "further_starts": (other_starts, first, many),
+        }
+        return as_batch(pack_by_bucket(below(mix(h, 9), buckets), owner, ids, prints, values, lists), packed_schema(*_CONTEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "anchor", "doc", "print", "start", "strings", "bytes", "further_prints", "further_starts"]
-        for batch in batches:
-            rows = []
-            for doc, mark, text, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text.encode("utf-8", "surrogatepass")
-                for p in parts:
-                    h = np.frombuffer(p["anchor"], "<u8")
-                    start = np.frombuffer(p["start"], "<u4").tolist()
-                    strings = np.frombuffer(p["strings"], "<u1").tolist()
-                    where = below(mix(h, 9), buckets).tolist()
-                    cut = [0, *np.cumsum(np.frombuffer(p["further"], "<u4"), dtype=np.int64).tolist()]
-                    prints, starts = p["further_prints"], p["further_starts"]
-                    rows += [
-                        (b, a, doc, mark, s, n, raw[s : s + n - 1 + SPAN], prints[8 * f : 8 * e], starts[4 * f : 4 * e])
-                        for b, a, s, n, f, e in zip(where, h.view("<i8").tolist(), start, strings, cut, cut[1:])
-                    ]
-            types = [pa.int64()] * 6 + [pa.binary()] * 3
-            columns = zip(*rows) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        held, docs, n_bytes = [], 0, 0
+        for whole in batches:
+            for s, e in runs_of(whole.column(2)):
+                batch = whole.slice(s, e - s)
+                data, offsets = utf8(batch.column(2))
+                column = dict(zip(_OPEN, (batch.column(i).to_pylist() for i in range(3, 9))))
+                anchors_, start, strings, further = (_join(column[c], k) for c, k in zip(_OPEN, ("<u8", "<u4", "<u1", "<u4")))
+                owner = np.repeat(np.arange(len(batch)), [len(b) // 8 for b in column["anchor"]])
+                raw = data[ranges(offsets[owner] + start, strings.astype(np.int64) - 1 + SPAN)]
+                others = _join(column["further_prints"], "<i8"), _join(column["further_starts"], "<u4")
+                ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                held.append((ids, prints, owner + docs, anchors_, start, strings, further, raw, *others))
+                docs, n_bytes = docs + len(batch), n_bytes + len(raw) + 12 * len(others[0])
+                if n_bytes >= size:
+                    yield packed(held)
+                    held, docs, n_bytes = [], 0, 0
+        if held:
+            yield packed(held)
 
     return run
 
@@ -363,9 +437,9 @@ class Suffixes:
         """Hash of the n bytes from each x."""
         return (self.prefix[x + n] - self.prefix[x]) * self.inverse[x]
 
-    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many leading bytes agree, up to the length, by binary search."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length)
+    def extension(self, x: np.ndarray, y: np.ndarray, least: int = 0) -> np.ndarray:
+        """How many leading bytes agree, up to the length, by binary search. So many are known to agree."""
+        low, high = np.full(len(x), least), np.full(len(x), self.length)
         while True:
             open_ = low < high
             if not open_.any():
@@ -381,21 +455,38 @@ class Suffixes:
         same = key[order][1:] == key[order][:-1]
         return np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(at) > 1 else np.empty(0, np.int64)
 
-    def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        n = self.extension(x, y)
-        a, b = self.bytes[x + np.minimum(n, self.length - 1)], self.bytes[y + np.minimum(n, self.length - 1)]
-        return np.where(n == self.length, or_equal, a < b)
+    def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray, least: int) -> np.ndarray:
+        """Whether x is smaller than y. Their first ``least`` bytes agree."""
+        out = or_equal.copy()
+        other = np.flatnonzero(self.hashes(x, self.length) != self.hashes(y, self.length))
+        x, y = x[other], y[other]
+        n = np.minimum(self.extension(x, y, least), self.length - 1)
+        out[other] = self.bytes[x + n] < self.bytes[y + n]
+        return out
+
+    def heads(self, at: np.ndarray) -> tuple[np.ndarray, int]:
+        """The first eight bytes, or as many as the length has, as a number that sorts as they do."""
+        n = min(8, self.length)
+        out = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            out = out << U64(8) | self.data[at + i]
+        return out, n
 
     def sort(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Order of the suffixes by segment (ascending already) and content: a mergesort of all segments at once."""
-        order = np.arange(len(at))
+        """Order of the suffixes by segment (ascending already) and content: by the first bytes, then a mergesort of all
+        suffixes at once that agree in them.
+        """
+        head, least = self.heads(at)
         bounds, _ = runs_of_equal(segment)
+        order = np.lexsort((head, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
+        alike = (segment[order][1:] == segment[order][:-1]) & (head[order][1:] == head[order][:-1])
+        bounds = np.r_[np.flatnonzero(np.r_[True, ~alike][: len(at)]), len(at)]
         sizes = np.diff(bounds)
         base = np.repeat(bounds[:-1], sizes)
         end = np.repeat(bounds[1:], sizes)
         width = 1
         while width < sizes.max(initial=0):
-            i = np.flatnonzero(end - base > width)  # segments that still have runs to merge
+            i = np.flatnonzero(end - base > width)  # runs of suffixes that still have parts to merge
             local = i - base[i]
             pair = base[i] + local // (2 * width) * 2 * width
             middle = np.minimum(pair + width, end[i])
@@ -412,7 +503,7 @@ class Suffixes:
                 mid = (low[open_] + high[open_]) // 2
                 other = at[order[mid]]
                 # A left element passes right ones that are smaller, a right element left ones that are not larger.
-                passes = self.less(other, mine[open_], ~is_left[open_])
+                passes = self.less(other, mine[open_], ~is_left[open_], least)
                 low[open_] = np.where(passes, mid + 1, low[open_])
                 high[open_] = np.where(passes, high[open_], mid)
             moved = order.copy()
@@ -427,7 +518,8 @@ class Suffixes:
         order = self.sort(at, segment)
         x, seg = at[order], segment[order]
         alike = np.zeros(len(x), bool)
-        alike[1:] = (seg[1:] == seg[:-1]) & (self.extension(x[1:], x[:-1]) == self.length)
+        whole = self.hashes(x, self.length)
+        alike[1:] = (seg[1:] == seg[:-1]) & (whole[1:] == whole[:-1])
         for s in range(0, len(x) - 1, 50_000):  # collision check
             near = 1 + s + np.flatnonzero(alike[1 + s : 50_001 + s])
             span = np.arange(self.length)
@@ -447,32 +539,34 @@ def _sort_contexts(parts: int) -> Callable:
 
 def _sorted(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Strings of open stretches that a smaller document has too."""
-    frame = frame.sort_values(["anchor", "doc", "start"], ignore_index=True)
-    raw = frame["bytes"].tolist()
-    base = np.cumsum([0, *(len(b) for b in raw)])[:-1]
-    n = frame["strings"].to_numpy()
-    row = np.repeat(np.arange(len(frame)), n)
-    shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    segment = frame["anchor"].to_numpy()[row]
-    docs = frame["doc"].to_numpy()[row]
-    suffixes = Suffixes(np.frombuffer(b"".join(raw), np.uint8))
+    docs, prints, anchor, start, strings, further = unpack(frame, {"anchor": "<u8", "start": "<u4", "strings": "<u1", "further": "<u4"})
+    n = strings.astype(np.int64)
+    size = n - 1 + SPAN
+    base = np.cumsum(size) - size
+    row = np.argsort(anchor)
+    row = np.repeat(row, n[row])
+    n = n[row[np.r_[True, row[1:] != row[:-1]][: len(row)]]]
+    shift = ranges(np.zeros(len(n), np.int64), n)
+    segment = anchor[row]
+    suffixes = Suffixes(_join(frame["bytes"], np.uint8))
     # A string whose hash is alone among those of its anchor has no equal, and need not be sorted.
     twin = suffixes.twins(base[row] + shift, segment)
-    row, shift, segment, docs = row[twin], shift[twin], segment[twin], docs[twin]
+    row, shift, segment = row[twin], shift[twin], segment[twin]
+    who = docs[row]
     order, run = suffixes.runs(base[row] + shift, segment)
     bounds, _ = runs_of_equal(run)
-    least = np.repeat(np.minimum.reduceat(docs[order], bounds[:-1]), np.diff(bounds)) if len(run) else docs
-    hit = order[docs[order] > least]
-    start = frame["start"].to_numpy()[row[hit]] + shift[hit]
-    n_further = np.array([len(x) // 4 for x in frame["further_starts"]], np.int64)
-    n = n_further[row[hit]]
-    other = _ranges((np.cumsum(n_further) - n_further)[row[hit]], n)
-    other_print = np.frombuffer(b"".join(frame["further_prints"]), "<i8")[other]
-    other_start = np.frombuffer(b"".join(frame["further_starts"]), "<u4")[other] + np.repeat(shift[hit], n)
-    starts = np.r_[start, other_start].astype("<u4")
+    least = np.repeat(np.minimum.reduceat(who[order], bounds[:-1]), np.diff(bounds)) if len(run) else who
+    hit = order[who[order] > least]
+    row, shift = row[hit], shift[hit]
+    n_further = further.astype(np.int64)
+    n = n_further[row]
+    other = ranges((np.cumsum(n_further) - n_further)[row], n)
+    other_print = _join(frame["further_prints"], "<i8")[other]
+    other_start = _join(frame["further_starts"], "<u4")[other] + np.repeat(shift, n)
+    starts = np.r_[start[row] + shift, other_start].astype("<u4")
     return (
-        np.r_[docs[hit], np.repeat(docs[hit], n)],
-        np.r_[frame["print"].to_numpy()[row[hit]], other_print],
+        np.r_[docs[row], np.repeat(docs[row], n)],
+        np.r_[prints[row], other_print],
         starts,
         np.ones(len(starts), "<u1"),
     )
@@ -482,41 +576,37 @@ def _gather_spans(frame: pd.DataFrame) -> pd.DataFrame:
     """The removed runs of each document of a part."""
     docs, prints, start, strings = unpack(frame, {"start": "<u4", "strings": "<u1"})
     order, cut = _by_document(docs, prints)
-    return pd.DataFrame(
-        {
-            "doc": docs[order][cut[:-1]],
-            "print": prints[order][cut[:-1]],
-            "start": [start[order[s:e]].tobytes() for s, e in zip(cut, cut[1:])],
-            "strings": [strings[order[s:e]].tobytes() for s, e in zip(cut, cut[1:])],
-        }
-    )
+    first = order[cut[:-1]]
+    return as_frame({"doc": docs[first], "print": prints[first], "start": cut_up(start[order], cut), "strings": cut_up(strings[order], cut)})
 
 
-def cut_out(raw: bytes, start: np.ndarray, strings: np.ndarray) -> tuple[bytes, int, int]:
-    """What is left of a text, how many bytes were removed, and in how many runs."""
-    change = np.zeros(len(raw) + 1, np.int64)
-    start = start.astype(np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + strings.astype(np.int64) - 1 + SPAN, -1)
-    gone = np.cumsum(change)[:-1] > 0
-    runs = int((gone & ~np.r_[False, gone[:-1]]).sum())
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+def cut_out(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, start: np.ndarray, strings: np.ndarray) -> tuple:
+    """What is left of each text, how many bytes were removed, and in how many runs. ``owner`` is the text of a stretch."""
+    first = offsets[owner] + start
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, first, 1)
+    np.add.at(change, first + strings.astype(np.int64) - 1 + SPAN, -1)
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+    begins = gone & ~np.r_[False, gone[:-1]][: len(gone)]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begins[heads] = gone[heads]
+    removed = np.r_[0, np.cumsum(gone)][offsets]
+    runs = np.bincount(np.searchsorted(offsets, np.flatnonzero(begins), "right") - 1, minlength=len(offsets) - 1)
+    return cut_up(data[~gone], offsets - removed), np.diff(removed), runs
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first three columns are the text, and first string and number of strings of its runs; the others stay."""
-    for batch in batches:
-        kept, removed, runs = [], [], []
-        for text, start, strings in zip(*(c.to_pylist() for c in batch.columns[:3])):
-            raw = text.encode("utf-8", "surrogatepass")
-            left, gone, n = cut_out(raw, np.frombuffer(start or b"", "<u4"), np.frombuffer(strings or b"", "<u1"))
-            kept.append(left)
-            removed.append(gone)
-            runs.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[3:], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-            names=[*batch.schema.names[3:], "kept", "n_removed", "n_spans"],
-        )
+    for whole in batches:
+        for s, e in runs_of(whole.column(0)):
+            batch = whole.slice(s, e - s)
+            start, strings = ([b or b"" for b in batch.column(i).to_pylist()] for i in (1, 2))
+            owner = np.repeat(np.arange(len(batch)), [len(b) for b in strings])
+            kept, removed, runs = cut_out(*utf8(batch.column(0)), owner, _join(start, "<u4"), _join(strings, "<u1"))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[3:], kept, pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                names=[*batch.schema.names[3:], "kept", "n_removed", "n_spans"],
+            )
 
 
 def _types(df: DataFrame, *without: str) -> str:
@@ -533,15 +623,21 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("print"), "text", "doc_id", *extra
     )
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(docs), -(-total // BUCKET_BYTES))
-    places = (
+    by_size = -(-total // BUCKET_BYTES)
+    buckets = max(partitions(docs), by_size)
+    # A document is named once in every bucket that it has an anchor in, so no more of them than there is use for.
+    dealt = max(min(partitions(docs), BUCKETS), by_size)
+    # Kept, so that the files of the anchors' shuffles are gone before those of the texts and of the stretches are written.
+    places = keep(
         keyed.select("doc", "print", "text")
-        .mapInArrow(releasing(_deal(buckets)), packed_ddl(*_DEALT))
+        .mapInArrow(releasing(_deal(dealt)), packed_ddl(*_DEALT))
         .groupBy("bucket")
-        .applyInPandas(releasing_group(_shared(buckets)), packed_ddl("hashes"))
+        .applyInPandas(releasing_group(_shared(dealt)), packed_ddl("hashes"))
         .groupBy("bucket")
-        .applyInPandas(releasing_group(_gather_anchors), "doc long, print long, hashes binary")
+        .applyInPandas(releasing_group(_gather_anchors), "doc long, print long, hashes binary"),
+        "repeat-places",
     )
+    free_shuffles(docs.sparkSession)
     rest = F.col("hashes").isNull() & F.lit(not whole)
     texts = keep_by_key(
         keyed.repartition(buckets, "doc", "print")
@@ -561,29 +657,31 @@ def remove_repeats(docs: DataFrame, *carry: str, whole: bool = True) -> DataFram
         "doc",
         "print",
     )
+    free_shuffles(docs.sparkSession)
     touched = texts.where("hashes is not null")
     found = keep(
         touched.select("doc", "print", "text", "hashes")
-        .mapInArrow(releasing(_stretches(buckets)), packed_ddl(*_STRETCH))
+        .mapInArrow(releasing(_stretches(dealt)), packed_ddl(*_STRETCH))
         .groupBy("bucket")
-        .applyInPandas(releasing_group(_compare(buckets)), _FOUND),
+        .applyInPandas(releasing_group(_compare(dealt)), _FOUND),
         "repeat-stretches",
     )
-    open_ = found.where("docs is null").groupBy("doc", "print").agg(F.collect_set(F.struct(*_OPEN)).alias("parts"))
+    free_shuffles(docs.sparkSession)
+    open_ = (
+        found.where("anchor is not null")
+        .groupBy("bucket")
+        .applyInPandas(releasing_group(_gather_open), "doc long, print long, " + ", ".join(f"{c} binary" for c in _OPEN))
+    )
     contexts = (
         touched.select("doc", "print", "text")
         .dropDuplicates(["doc", "print"])
         .join(open_, ["doc", "print"])
-        .select("doc", "print", "text", "parts")
-        .mapInArrow(
-            releasing(_contexts(buckets)),
-            "bucket long, anchor long, doc long, print long, start long, strings long, bytes binary,"
-            " further_prints binary, further_starts binary",
-        )
+        .select("doc", "print", "text", *_OPEN)
+        .mapInArrow(releasing(_contexts(dealt)), packed_ddl(*_CONTEXT))
     )
-    hits = contexts.groupBy("bucket").applyInPandas(releasing_group(_sort_contexts(buckets)), packed_ddl("start", "strings"))
+    hits = contexts.groupBy("bucket").applyInPandas(releasing_group(_sort_contexts(dealt)), packed_ddl(*_SPANS))
     spans = (
-        found.where("docs is not null")
+        found.where("anchor is null")
         .select(*hits.columns)
         .union(hits)
         .groupBy("bucket")
