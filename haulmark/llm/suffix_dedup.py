@@ -473,9 +473,17 @@ class Suffixes:
         return out, n
 
     def sort(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Order of the suffixes by segment (ascending already) and content: by the first bytes, then a mergesort of all
-        suffixes at once that agree in them.
-        """
+        """Order of the suffixes by segment (ascending already) and content. One of those with equal hashes is compared for all."""
+        whole = self.hashes(at, self.length)
+        order = np.lexsort((whole, segment))
+        new = (segment[order][1:] != segment[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+        bounds = np.r_[np.flatnonzero(np.r_[True, new][: len(at)]), len(at)]
+        one = order[bounds[:-1]]
+        by = self.sort_different(at[one], segment[one])
+        return order[ranges(bounds[:-1][by], np.diff(bounds)[by])]
+
+    def sort_different(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """``sort`` by the first bytes, then by a mergesort of all suffixes at once that agree in them."""
         head, least = self.heads(at)
         bounds, _ = runs_of_equal(segment)
         order = np.lexsort((head, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))

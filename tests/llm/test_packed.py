@@ -113,3 +113,19 @@ def test_cut_out_of_many_texts():
                 gone[s : s + n + 49] = b"\1" * (n + 49)
         assert kept[i].as_py() == bytes(c for c, g in zip(t, gone) if not g)
         assert (removed[i], runs[i]) == (sum(gone), len([r for r in bytes(gone).split(b"\0") if r]))
+
+
+def test_equal_suffixes_are_compared_once(monkeypatch):
+    """The context of a passage that very many documents have, as at its edge: most of its strings are the same."""
+    rng = np.random.default_rng(8)
+    own = rng.integers(97, 123, (2_000, 40)).astype(np.uint8)
+    data = np.hstack([np.tile(rng.integers(97, 123, 62).astype(np.uint8), (2_000, 1)), own]).ravel()
+    at = (np.arange(2_000)[:, None] * 102 + np.arange(16)).ravel()
+    suffixes, compared = suffix_dedup.Suffixes(data), []
+    less = suffixes.less
+    monkeypatch.setattr(suffixes, "less", lambda x, *a: compared.append(len(x)) or less(x, *a))
+    order, run = suffixes.runs(at, np.zeros(len(at), np.int64))
+    keys = [data[x : x + 50].tobytes() for x in at[order]]
+    assert keys == sorted(keys)
+    assert all((a == b) == (i == j) for a, b, i, j in zip(keys, keys[1:], run, run[1:]))
+    assert sum(compared) < 20 * len(at)  # 107 for each before
